@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mixing, overlap, packing, splitting, tokens
+from . import langid, leakage, mixing, overlap, packing, pairs, splitting, tokens
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -30,6 +30,16 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    model = langid.fit_language_model(table(spark, root, "documents"))
+    return pairs.broken_pairs(table(spark, root, "sft_toy"), model)
+
+
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    """Defective messages and the conversations with any, per defect."""
+    return p3_found(spark, root).groupBy("defect").agg(F.count("*").alias("n_messages"), F.countDistinct("conv_id").alias("n_conversations"))
+
+
 def p4_tokens(spark: SparkSession, root: str) -> DataFrame:
     return tokens.token_counts(table(spark, root, "documents"), table(spark, root, "tok_merges"), ["doc_id", "source", "lang", "domain"])
 
@@ -90,5 +100,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages)
+    for f in (p1_found, p1_report, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages)
 }
