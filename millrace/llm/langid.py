@@ -21,7 +21,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 #: Labels that name no language.
 NO_LANGUAGE = ("und", "mul", "zxx", "")
 _SMOOTH = 0.3
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 def grams(word: str) -> list[str]:
@@ -36,10 +36,15 @@ class LanguageModel:
     """Log probabilities of n-grams per language."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], unseen: np.ndarray) -> None:
-        self.langs, self.table, self.unseen, self._known = langs, table, unseen, {}
+        self.langs, self.table, self.unseen = langs, table, unseen
+        self._known: dict[str, int] = {}
+        self._rows = np.zeros((0, len(langs)))
 
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "table": self.table, "unseen": self.unseen, "_known": {}}
+    def __getstate__(self) -> tuple:
+        return self.langs, self.table, self.unseen
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]]) -> LanguageModel:
@@ -65,22 +70,35 @@ class LanguageModel:
 
     def word(self, w: str) -> np.ndarray:
         """Log likelihood of a word in each language; zeros for numbers."""
-        got = self._known.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs))
+        return self._rows[self._at(w)]
+
+    def _at(self, w: str) -> int:
+        at = self._known.get(w)
+        if at is None:
+            if len(self._known) >= _REMEMBERED:
+                self._known.clear()
+            at = self._known[w] = len(self._known)
+            if at >= len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros((max(1024, at), len(self.langs)))])
+            row = np.zeros(len(self.langs))
             if not w.isdigit():
+                get, unseen = self.table.get, self.unseen
                 for g in grams(w):
-                    got = got + self.table.get(g, self.unseen)
-            if len(self._known) > _REMEMBERED:
-                self._known.clear()
-            self._known[w] = got
-        return got
+                    row += get(g, unseen)
+            self._rows[at] = row
+        return at
 
     def scores(self, ws: list[str]) -> np.ndarray:
         """Log likelihoods of the words together."""
         if not ws or not self.langs:
             return np.zeros(len(self.langs))
-        return np.sum([self.word(w) for w in ws], axis=0)
+        total = np.zeros(len(self.langs))
+        for i in range(0, len(ws), 50_000):
+            part = ws[i : i + 50_000]
+            if len(self._known) + len(part) > _REMEMBERED:
+                self._known.clear()
+            total += self._rows[[self._at(w) for w in part]].sum(axis=0)
+        return total
 
     def posterior(self, ws: list[str]) -> dict[str, float]:
         """Probability of each language, with equal priors."""

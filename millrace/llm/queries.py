@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, leakage, mixing, overlap, packing, pairs, splitting, tokens
+from . import encoding, langid, leakage, mixing, overlap, packing, pairs, splitting, tokens
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +98,16 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_passages(spark, root).select("doc_id", "item_id").distinct()
 
 
+def p9_repairs(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return encoding.garbled(docs, encoding.cost_model(docs))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_repairs(spark, root).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages)
+    for f in (p1_found, p1_report, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
 }
