@@ -10,7 +10,8 @@ records on the other.
    the evaluation side up to ``MAX_BITS``; beyond that more candidates survive, none is lost.
 2. A record of ``m`` shingles is indexed by its first ``m - ceil(t m) + 1``: two records with Jaccard
    >= t share one of them. A training record with fewer than ``ceil(t m)`` shingles in the bitmap can't
-   have a partner and is dropped in the scan; of the others only prefix shingles in the bitmap are sent.
+   have a partner and is dropped in the scan; of the others only prefix shingles in a second bitmap, of
+   the index, are sent.
 3. Index and probes are joined on the shingle, filtered by length and position, and made distinct.
 4. The texts of the candidate pairs, equal texts taken as one, are compared exactly, as sets of words.
 
@@ -40,6 +41,7 @@ MIN_BITS, MAX_BITS = 20, 27
 COUNT_BITS = 21
 _PARTS = 16
 _REMEMBERED = 300_000
+_REMEMBERED_TEXTS = 100_000
 
 
 def _word_hash(known: dict[str, int], w: str) -> int:
@@ -80,8 +82,8 @@ class Sketch:
         return np.argsort(count, kind="stable")
 
 
-def build_sketch(texts: DataFrame, n_shingles: int, n: int) -> Sketch:
-    """The sketch of a one-column frame of texts; each task sends its own, of fixed size and compressed."""
+def build_sketch(rows: DataFrame, n_shingles: int, n: int | None) -> Sketch:
+    """The sketch of a one-column frame of texts, or for ``n`` None of hashes; each task sends its own, of fixed size and compressed."""
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * max(1, n_shingles)))))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -89,8 +91,8 @@ def build_sketch(texts: DataFrame, n_shingles: int, n: int) -> Sketch:
         known: dict[str, int] = {}
         some = False
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                h = shingle_hashes(words(t), n, known)
+            each = [batch.column(0).to_numpy().view(np.uint64)] if n is None else (shingle_hashes(words(t), n, known) for t in batch.column(0).to_pylist())
+            for h in each:
                 if len(h):
                     some = True
                     at = h >> np.uint64(64 - bits)
@@ -108,7 +110,7 @@ def build_sketch(texts: DataFrame, n_shingles: int, n: int) -> Sketch:
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bitmap": [zlib.compress(bitmap.tobytes(), 1)], "counts": [zlib.compress(counts.astype(np.uint8).tobytes(), 1)]})
 
     schema = "part int, bitmap binary, counts binary"
-    parts = map_partition(texts, partial, schema).groupBy("part").applyInPandas(merge, schema).orderBy("part").collect()
+    parts = map_partition(rows, partial, schema).groupBy("part").applyInPandas(merge, schema).orderBy("part").collect()
     if not parts:
         return Sketch(bits, np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << COUNT_BITS, np.uint8))
     return Sketch(bits, *(np.concatenate([np.frombuffer(zlib.decompress(r[i]), np.uint8) for r in parts]) for i in (1, 2)))
@@ -117,15 +119,18 @@ def build_sketch(texts: DataFrame, n_shingles: int, n: int) -> Sketch:
 _PREFIX = "fp binary, n int, text string, probes array<struct<h:bigint,pos:int>>"
 
 
-def _prefixes(texts: DataFrame, sketch: Sketch, n: int, t: float) -> DataFrame:
-    """(fp, n, text, probes) of the records that may have a partner; input (text, fp)."""
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(texts: DataFrame, sketch: Sketch, indexed: Sketch | None, n: int, t: float) -> DataFrame:
+    """(fp, n, text, probes) of the records that may have a partner; input (text, fp). Probes outside ``indexed`` are left out."""
+    shared = texts.sparkSession.sparkContext.broadcast((sketch, indexed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known: dict[str, int] = {}
+        sketch, indexed = shared.value
+        seen: set[bytes] = set()  # a text that many records have is sent once in a while, not each time
         for batch in batches:
             rows: list[tuple] = []
-            seen: set[bytes] = set()
+            if len(seen) > _REMEMBERED_TEXTS:
+                seen.clear()
             for text, fp in zip(*(c.to_pylist() for c in batch.columns)):
                 if fp in seen:
                     continue
@@ -133,11 +138,11 @@ def _prefixes(texts: DataFrame, sketch: Sketch, n: int, t: float) -> DataFrame:
                 h = shingle_hashes(words(text), n, known)
                 m = len(h)
                 need = math.ceil(t * m - 1e-9)
-                there = shared.value.has(h)
+                there = sketch.has(h)
                 if not m or there.sum() < need:
                     continue
-                first = shared.value.order(h, there)[: m - need + 1]
-                at = np.flatnonzero(there[first])
+                first = sketch.order(h, there)[: m - need + 1]
+                at = np.flatnonzero(there[first] if indexed is None else indexed.has(h[first]) & there[first])
                 if len(at):
                     rows.append((fp, m, text, [{"h": a, "pos": b} for a, b in zip(h[first[at]].view(np.int64).tolist(), at.tolist())]))
             if rows:
@@ -180,12 +185,14 @@ def similar_classes(left: DataFrame, right: DataFrame, text: str, n: int = SHING
     # about a shingle per five bytes; only the size of the sketch depends on it
     n_bytes = evals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = build_sketch(evals.select("text"), n_bytes // 5, n)
-    index = materialise(_prefixes(evals, sketch, n, t), "p1-index")
-    probes = materialise(_prefixes(base(right), sketch, n, t), "p1-probes")
+    index = materialise(_prefixes(evals, sketch, None, n, t), "p1-index")
+    indexed = build_sketch(index.select(F.explode("probes.h")), n_bytes // 10, None)
+    probes = materialise(_prefixes(base(right), sketch, indexed, n, t), "p1-probes")
 
     def flat(df: DataFrame, side: str) -> DataFrame:
-        out = df.select("fp", "n", F.inline("probes")).distinct()
-        return out.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "pos")))
+        out = df.select("fp", "n", F.inline("probes"))
+        # one shuffle for both the distinct and the join; copies are few already
+        return out.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "pos"))).repartition("h").distinct()
 
     need = F.ceil((F.col("n_e") + F.col("n_t")) * (t / (1 + t)) - 1e-9)
     bound = F.least(F.col("n_e") - F.col("pos_e"), F.col("n_t") - F.col("pos_t"))
