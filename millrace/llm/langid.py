@@ -97,7 +97,8 @@ class LanguageModel:
             part = ws[i : i + 50_000]
             if len(self._known) + len(part) > _REMEMBERED:
                 self._known.clear()
-            total += self._rows[[self._at(w) for w in part]].sum(axis=0)
+            at = [self._at(w) for w in part]
+            total += self._rows[at].sum(axis=0)
         return total
 
     def posterior(self, ws: list[str]) -> dict[str, float]:
