@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import encoding, langid, leakage, mixing, overlap, packing, pairs, splitting, tokens
+from ..session import materialise, table
+from . import encoding, langid, leakage, mixing, overlap, packing, pairs, quality, splitting, tokens
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -30,6 +30,34 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _judged_prose(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The statistics of all records, and those of the prose domains with their verdicts."""
+    records = table(spark, root, "corpus_records").where("text is not null")
+    records = records.withColumn("source", mixing.source_name(F.col("source"), F.col("id")))
+    prose = F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS)
+    model = langid.fit_language_model(table(spark, root, "documents").where(F.col("domain").isin(*quality.PROSE_DOMAINS)))
+    common = quality.common_words(records.where(prose), model, "text")
+    stats = materialise(quality.text_statistics(records, ["id", "source"], common, model), "p2-stats")
+    return stats, quality.judged(stats.where(prose), quality.prose_model(stats.where(prose)))
+
+
+def p2_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with its statistics; verdict, distance and contributions in the prose domains."""
+    stats, judged = _judged_prose(spark, root)
+    others = stats.where(~F.coalesce(F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS), F.lit(False)))
+    return judged.unionByName(others, allowMissingColumns=True)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _judged_prose(spark, root)[1].where("verdict <> 'prose'").select("id").distinct()
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    """Texts and mean statistics per source and verdict."""
+    means = [F.avg(c).alias(c) for c in ("n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share")]
+    return p2_statistics(spark, root).groupBy("source", "verdict").agg(F.count("*").alias("n_texts"), *means)
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     model = langid.fit_language_model(table(spark, root, "documents"))
     return pairs.broken_pairs(table(spark, root, "sft_toy"), model)
@@ -109,5 +137,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
+    for f in (p1_found, p1_report, p2_found, p2_report, p2_statistics, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
 }
