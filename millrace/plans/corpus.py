@@ -1,4 +1,488 @@
-"""Named queries of the core operators."""
+"""Named queries of the core operators over the test tables, and their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+raw_records is the builder's input, corpus_records a finished corpus, documents a corpus by domain with doc_id as its stream
+position, sft_toy the conversations.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import WHITESPACE, json_line
+from ..operators import blocks, chat, corpus, metrics, mix, split, tokenizer, verify
+from ..operators.running import dense_rank, running_sum
+from ..session import materialise, shared_dir, table
+from ..sources import readers, shards, writers
+from ..streaming import ingest
+
+#: Parameters of the queries: tokens of the byte budget and of the mixture, blocks and shards, history.
+BUDGET_TOKENS, MIX_TOKENS, BLOCK, SHARD, DIVISOR = 20_000, 100_000, 1024, 50_000, 5
+LOG = [
+    "epoch 0 | step 200 | lr 0.001 | train loss = 4.20 | val loss = 4.10 | bpb = 1.51",
+    "noise",
+    "epoch 0 | step 100 | lr 0.001 | train loss = 5.25 | val loss = 5.50 | bpb = 2.01",
+    "[epoch end] epoch 0 | step 300 | val loss = 3.75 | bpb = 1.40",
+]
+
+
+def _cleaned(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.clean_records(table(spark, root, "raw_records"), table(spark, root, "domain_config"))
+
+
+def _kept(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.first_copies(_cleaned(spark, root).where("reason is null").drop("reason"))
+
+
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.numbered(_kept(spark, root))
+
+
+def _targets(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "domain_config").select("domain", corpus.target_bytes(BUDGET_TOKENS).alias("target_bytes"))
+
+
+def _weights(spark: SparkSession, root: str) -> dict[str, float]:
+    return {r["domain"]: r["share"] for r in table(spark, root, "domain_config").limit(corpus.MAX_DOMAINS).collect()}
+
+
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    """(domain, pos, n_tokens) of documents, a token counted as four bytes, so that SQL can follow."""
+    docs = table(spark, root, "documents").where("text is not null")
+    return docs.select("domain", F.col("doc_id").alias("pos"), F.expr("octet_length(text) div 4 + 1").alias("n_tokens"))
+
+
+def clean_text(spark, root):
+    return _cleaned(spark, root).select("domain", "slot", "pos", "text", "reason")
+
+
+def clean_reasons(spark, root):
+    return _cleaned(spark, root).groupBy("domain", "reason").agg(F.count("*").alias("n"))
+
+
+def dedup_exact(spark, root):
+    return _kept(spark, root).select("domain", "pos", "text")
+
+
+def dedup_counts(spark, root):
+    return corpus.duplicate_counts(_cleaned(spark, root).where("reason is null"))
+
+
+def incremental_load(spark, root):
+    rows = _cleaned(spark, root).where("reason is null").select("domain", "slot", "pos", "text")
+    return corpus.new_texts(rows.where("pos % 3 = 0"), rows.where("pos % 3 <> 0")).select("domain", "pos")
+
+
+def document_ids(spark, root):
+    return _lines(spark, root).select("domain", "pos", "id", "line_bytes", "bytes_before")
+
+
+def byte_budget(spark, root):
+    return corpus.within_budget(_lines(spark, root), _targets(spark, root)).select("domain", "pos", "id")
+
+
+def slot_budget(spark, root):
+    lines = _lines(spark, root).select("domain", F.expr("cast(pos % 2 as int)").alias("slot"), "pos", "line_bytes")
+    return corpus.within_slots(lines, _targets(spark, root)).select("domain", "slot", "pos")
+
+
+def domain_status(spark, root):
+    kept = corpus.within_budget(_lines(spark, root), _targets(spark, root))
+    return corpus.domain_status(kept, _targets(spark, root))
+
+
+def domain_result(spark, root):
+    cleaned, lines = _cleaned(spark, root), _lines(spark, root)
+    tally = corpus.drop_tally(cleaned, lines)
+    size = lines.groupBy("domain").agg(F.sum("line_bytes").alias("bytes"))
+    return tally.join(size, "domain", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+
+
+def manifest(spark, root):
+    return corpus.manifest(_lines(spark, root), table(spark, root, "domain_config"))
+
+
+def val_sizes(spark, root):
+    per = table(spark, root, "corpus_records").groupBy(F.substring_index("id", "/", 1).alias("domain")).agg(F.count("*").alias("n"))
+    return per.withColumn("k", split.val_size(F.col("n")))
+
+
+def val_split(spark, root):
+    rows = table(spark, root, "documents").select("domain", F.col("doc_id").cast("string").alias("id"))
+    return split.hashed_val_split(rows).groupBy("domain", "split").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def reservoir(spark, root):
+    """Residents and writes of a small reservoir for each domain; draws depend on counts only."""
+    rows = dense_rank(table(spark, root, "documents").select("domain", "doc_id"), ["domain"], ["doc_id"], "t")
+    sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
+    out = None
+    for domain, n in sorted(sizes.items()):
+        part = split.reservoir(rows.where(F.col("domain") == domain), domain, n, 50)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("domain").agg(F.count("*").alias("n"), F.count_if("resident").alias("n_resident"), F.count("write_order").alias("n_written"))
+
+
+def smoke_subset(spark, root):
+    lines = _lines(spark, root)
+    goals = lines.groupBy("domain").agg(F.sum("line_bytes").alias("target_bytes"))
+    return split.smoke_subset(lines.select("domain", "pos", "id", "line_bytes"), goals, DIVISOR).select("domain", "pos", "id")
+
+
+def segment_sample(spark, root):
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("pos"), "text")
+    parts = split.segment_sample(docs, 20_000, 40, 0)
+    return parts.groupBy("segment").agg(F.sum(F.length("part")).alias("n_chars"), F.count("*").alias("n_pieces"))
+
+
+def epoch_order(spark, root):
+    return split.epoch_rows(table(spark, root, "documents").select("doc_id"), "doc_id", 1234, 1, 10)
+
+
+def mix_order(spark, root):
+    got = mix.mix_order(_sized(spark, root), _weights(spark, root), MIX_TOKENS)
+    return got.select(F.col("pos").alias("doc_id"), "domain", "place", "tokens_before")
+
+
+def mix_stats(spark, root):
+    weights = _weights(spark, root)
+    return mix.mix_stats(mix.mix_order(_sized(spark, root), weights, MIX_TOKENS), weights)
+
+
+def mix_exhausted(spark, root):
+    total = _sized(spark, root).agg(F.sum("n_tokens")).first()[0] or 0
+    return mix.exhausted(_sized(spark, root), _weights(spark, root), total * 3 // 4)
+
+
+def stream_layout(spark, root):
+    placed = blocks.stream_offsets(_sized(spark, root).select("pos", "n_tokens"), ["pos"])
+    unit = lambda n, c: F.floor(F.col(c) / n).cast("bigint")
+    return placed.withColumn("last", F.col("offset") + F.col("n_tokens") - 1).select(
+        F.col("pos").alias("doc_id"), "offset", unit(SHARD, "offset").alias("first_shard"), unit(SHARD, "last").alias("last_shard"),
+        unit(BLOCK, "offset").alias("first_block"), unit(BLOCK, "last").alias("last_block"),
+    )
+
+
+def batch_layout(spark, root):
+    rows = dense_rank(table(spark, root, "documents").select("doc_id"), [], ["doc_id"], "place")
+    return blocks.batches(rows, "place", 16, True)
+
+
+def _encoded(spark: SparkSession, root: str) -> DataFrame:
+    tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+    return materialise(tokenizer.encode(table(spark, root, "documents"), tok, ["doc_id"], bos=True), "ids")
+
+
+def presplit(spark, root):
+    docs = tokenizer.presplit(table(spark, root, "documents").where("text is not null"))
+    return docs.select("doc_id", F.md5(F.array_join("pieces", "")).alias("joined"))
+
+
+def word_frequencies(spark, root):
+    return tokenizer.word_frequencies(table(spark, root, "documents"), "doc_id").select("word", "n")
+
+
+def pair_counts(spark, root):
+    return tokenizer.pair_counts(tokenizer.word_frequencies(table(spark, root, "documents"), "doc_id"))
+
+
+def bpe_training(spark, root):
+    """The merges learned from a sample of fixed size."""
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("pos"), "text")
+    parts = materialise(split.segment_sample(docs, 200_000, 50, 0), "sample").withColumn("at", F.col("segment") * F.lit(1 << 40).cast("bigint") + F.col("piece"))
+    tok = tokenizer.train_on(parts, "at", 256 + len(tokenizer.SPECIAL_TOKENS) + 200, "part")
+    rows = [(k, a, b, tok.vocab[256 + k]) for k, (a, b) in enumerate(tok.merges)]
+    return spark.createDataFrame(rows, "merge_no int, left_id int, right_id int, piece binary")
+
+
+def token_bytes(spark, root):
+    """The bytes of each document's tokens, special ones 0."""
+    tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+    sizes = F.array(*map(F.lit, tok.token_bytes()))
+    ids = _encoded(spark, root)
+    return ids.select("doc_id", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + F.get(sizes, i)).alias("n_bytes"))
+
+
+def token_round_trip(spark, root):
+    tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+    plain = _encoded(spark, root).withColumn("ids", F.expr("slice(ids, 2, size(ids))"))
+    return tokenizer.decode(plain, tok, ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _placed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    ids = _encoded(spark, root)
+    total = ids.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    return blocks.stream_offsets(ids, ["doc_id"], "n") if "n" in ids.columns else running_sum(ids, [], ["doc_id"], F.size("ids"), "offset"), total
+
+
+def token_windows(spark, root):
+    placed, total = _placed(spark, root)
+    return blocks.windows(placed, BLOCK, total)
+
+
+def token_shards(spark, root):
+    """Shards written to files and read again."""
+    spark.dataSource.register(shards.TokenShards)
+    placed, _ = _placed(spark, root)
+    path = f"{shared_dir(spark)}/millrace/shards-{uuid.uuid4().hex}"
+    blocks.shards(placed, SHARD).select("shard", "tokens").write.format("token_shards").mode("append").option("path", path).option("prefix", "train").save()
+    read = spark.read.format("token_shards").option("path", path).option("prefix", "train").load()
+    return read.select("shard", "offset", F.size("tokens").alias("n_tokens"))
+
+
+def agent_windows(spark, root):
+    got = chat.agent_windows(table(spark, root, "sft_toy"), ["conv_id"])
+    text = F.transform("sample", lambda m: F.concat_ws(":", m.role, F.coalesce(m.content, F.lit("-"))))
+    return got.select("conv_id", "turn", F.size("sample").alias("n_messages"), F.md5(F.array_join(text, "|")).alias("content_md5"))
+
+
+def _rendered(spark: SparkSession, root: str) -> DataFrame:
+    tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+    samples = chat.agent_windows(table(spark, root, "sft_toy"), ["conv_id"])
+    return chat.rendered(samples, tok, ["conv_id", "turn"], BLOCK, "sample")
+
+
+def rendered_items(spark, root):
+    inputs, labels = chat.training_item(F.col("ids"), F.col("mask"))
+    return _rendered(spark, root).where("error is null").select("conv_id", "turn", inputs.alias("input_ids"), labels.alias("labels"))
+
+
+def supervision(spark, root):
+    return chat.supervision(_rendered(spark, root).where("error is null"), 500, ["conv_id", "turn", "ids"])
+
+
+def plain_conversations(spark, root):
+    got = chat.plain_conversations(table(spark, root, "sft_toy"), ["conv_id"])
+    return got.select("conv_id", "shape", F.size("sample").alias("n_messages"))
+
+
+def fitting_conversations(spark, root):
+    tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+    got = chat.fitting(chat.plain_conversations(table(spark, root, "sft_toy"), ["conv_id"]), tok, ["conv_id"], BLOCK)
+    return got.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def hold_out(spark, root):
+    got = chat.hold_out(table(spark, root, "sft_toy").select("conv_id").distinct(), "conv_id")
+    return got.groupBy("split").agg(F.count("*").alias("n"), F.max("conv_id").alias("last"))
+
+
+def verify_records(spark, root):
+    records = table(spark, root, "corpus_records").withColumn("domain", F.substring_index("file_name", "/", 1))
+    return verify.check_records(records, table(spark, root, "domain_config"))
+
+
+def verify_shares(spark, root):
+    sizes = _lines(spark, root).groupBy("domain").agg(F.sum("line_bytes").alias("bytes"))
+    return verify.check_shares(sizes, table(spark, root, "domain_config"))
+
+
+def _written(spark: SparkSession, root: str) -> str:
+    path = f"{shared_dir(spark)}/millrace/corpus-{uuid.uuid4().hex}"
+    lines = _lines(spark, root).select("text", F.col("domain").alias("source"), "id", "domain", F.lit("train").alias("split"), "pos")
+    writers.write_corpus(lines, path, limit=100_000)
+    return path
+
+
+def written_corpus(spark, root):
+    """Lines written in rotated files and read back: lines and bytes of each domain."""
+    lines = spark.read.option("lineSep", "\n").text(_written(spark, root))
+    return lines.groupBy(F.col("domain")).agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value") + 1).cast("bigint").alias("n_bytes"))
+
+
+def verify_lines(spark, root):
+    lines = spark.read.option("lineSep", "\n").text(_written(spark, root))
+    return verify.check_lines(lines)
+
+
+def lenient_lines(spark, root):
+    """Every fifth record's line broken, then read leniently."""
+    records = table(spark, root, "corpus_records").where("id is not null")
+    line = json_line(F.col("text"), F.col("source"), F.col("id"))
+    broken = F.when(F.endswith("id", F.lit("5")), F.substr(line, F.lit(2))).otherwise(line)
+    return readers.lenient(records.select(broken.alias("value"))).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).alias("n_bytes"))
+
+
+def learning_rates(spark, root):
+    steps, warm = metrics.schedule(6_000_000_000, 524_288, 0.01)
+    rate = metrics.learning_rate(F.col("id"), 1e-3, warm, steps, 0.1)
+    return spark.range(0, steps + 10).select(F.col("id").alias("step"), F.round(rate * 1e12).cast("bigint").alias("rate_e12"))
+
+
+def evaluation(spark, root):
+    docs = table(spark, root, "documents").where("text is not null")
+    label = F.when(F.expr("doc_id % 11 = 0"), -100).otherwise(F.expr("cast(doc_id % 1667 as int)"))
+    scored = docs.select(label.alias("label"), (F.expr("octet_length(text) % 64") / 16.0).alias("nll"))
+    sizes = table(spark, root, "tok_vocab").select(F.col("token_id").alias("label"), F.when(F.col("is_special"), 0).otherwise(F.octet_length("piece")).alias("n_bytes"))
+    got = metrics.evaluate(scored, sizes)
+    return got.withColumns({c: F.round(c, 9) for c in ("loss", "bpb")})
+
+
+def top_scores(spark, root):
+    vectors = table(spark, root, "embeddings")
+    rounded = F.transform("embedding", lambda v: F.floor(v * 4).cast("int"))
+    return vectors.select("vec_id", F.inline(metrics.top_k_of(rounded, 5)))
+
+
+def training_log(spark, root):
+    lines = spark.createDataFrame([(i, s) for i, s in enumerate(LOG)], "n int, value string")
+    return metrics.read_log(lines)
+
+
+def stream_ingest(spark, root):
+    """The raw records taken in as a stream; what is kept."""
+    out = f"{shared_dir(spark)}/millrace/ingest-{uuid.uuid4().hex}"
+    ingest.ingest(spark, f"{root}/raw_records.parquet", out, table(spark, root, "domain_config")).awaitTermination()
+    return spark.read.parquet(f"{out}/kept").select("domain", "pos")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, manifest,
+        val_sizes, val_split, reservoir, smoke_subset, segment_sample, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
+        presplit, word_frequencies, pair_counts, bpe_training, token_bytes, token_round_trip, token_windows, token_shards,
+        agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, hold_out,
+        verify_records, verify_shares, written_corpus, verify_lines, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,
+    )
+}
+
+
+# ---------------------------------------------------------------------------------------------- SQL
+
+_SPACE = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
+_CTE = f"""
+c AS (SELECT r.domain, slot, pos, raw, TRY(decode(raw)) AS d, coalesce(min_doc_bytes, 200) AS least
+      FROM raw_records r LEFT JOIN domain_config USING (domain) WHERE raw IS NOT NULL),
+s AS (SELECT *, trim(replace(replace(d, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_SPACE}) AS t FROM c),
+x AS (SELECT domain, slot, pos, t, CASE WHEN d IS NULL THEN 'utf8' WHEN contains(t, chr(0)) THEN 'control_char'
+             WHEN strlen(t) < least THEN 'too_short' END AS reason FROM s),
+k AS (SELECT domain, slot, pos, t AS text FROM x WHERE reason IS NULL
+      QUALIFY row_number() OVER (PARTITION BY domain, sha256(t) ORDER BY pos) = 1),
+z AS (SELECT *, (strlen(json_object('text', text, 'source', domain, 'id', domain || '/000000000')::VARCHAR) + 1)::BIGINT AS line_bytes FROM k),
+l AS (SELECT *, (row_number() OVER w - 1)::BIGINT AS n, coalesce(sum(line_bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before
+      FROM z WINDOW w AS (PARTITION BY domain ORDER BY pos)),
+g AS (SELECT domain, round_even({BUDGET_TOKENS}::DOUBLE * share * bytes_per_token, 0)::BIGINT AS target_bytes FROM domain_config),
+b AS (SELECT l.*, domain || '/' || lpad(n::VARCHAR, 9, '0') AS id FROM l)
+"""
+_MIX = f"""
+d AS (SELECT domain, doc_id, (strlen(text) // 4 + 1)::BIGINT AS n_tokens FROM documents WHERE text IS NOT NULL),
+q AS (SELECT d.*, coalesce(sum(n_tokens) OVER (PARTITION BY d.domain ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT / share AS mix_key
+      FROM d JOIN domain_config USING (domain)),
+o AS (SELECT *, coalesce(sum(n_tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tokens_before,
+             (row_number() OVER w - 1)::BIGINT AS place FROM q WINDOW w AS (ORDER BY mix_key, domain, doc_id)),
+m AS (SELECT * FROM o WHERE tokens_before < {MIX_TOKENS})
+"""
+_HASH8 = "('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0"
+_BODY = """
+a AS (SELECT conv_id, messages AS m, [x FOR x IN messages IF x.role <> 'system'] AS said, [x FOR x IN messages IF x.role = 'user'] AS u FROM sft_toy),
+bd AS (SELECT conv_id, u, CASE WHEN said[1].role = 'user' THEN said[2:] ELSE said END AS body FROM a),
+tn AS (SELECT conv_id, u, body, unnest(range(1, len(body) + 1)) AS i FROM bd),
+tu AS (SELECT conv_id, u, body, i FROM tn WHERE body[i].role = 'assistant')
+"""
+_LOG_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(LOG))
+_STEPS, _WARM = metrics.schedule(6_000_000_000, 524_288, 0.01)
+
+SQL: dict[str, str] = {
+    "clean_text": f"WITH {_CTE} SELECT domain, slot, pos, CASE WHEN reason IS NULL THEN t END AS text, reason FROM x",
+    "clean_reasons": f"WITH {_CTE} SELECT domain, reason, count(*) AS n FROM x GROUP BY ALL",
+    "dedup_exact": f"WITH {_CTE} SELECT domain, pos, text FROM k",
+    "dedup_counts": f"WITH {_CTE} SELECT domain, count(*) AS n, count(DISTINCT t) AS n_distinct, count(*) - count(DISTINCT t) AS n_duplicate FROM x WHERE reason IS NULL GROUP BY domain",
+    "incremental_load": f"""WITH {_CTE}, r AS (SELECT domain, pos, sha256(t) AS h FROM x WHERE reason IS NULL)
+        SELECT domain, min(pos) AS pos FROM r WHERE pos % 3 = 0 AND (domain, h) NOT IN (SELECT (domain, h) FROM r WHERE pos % 3 <> 0) GROUP BY domain, h""",
+    "document_ids": f"WITH {_CTE} SELECT domain, pos, id, line_bytes, bytes_before FROM b",
+    "byte_budget": f"WITH {_CTE} SELECT b.domain, pos, id FROM b JOIN g USING (domain) WHERE bytes_before < target_bytes",
+    "slot_budget": f"""WITH {_CTE}, t AS (SELECT b.domain, (pos % 2)::INT AS slot, pos, line_bytes, target_bytes FROM b JOIN g USING (domain)),
+        n AS (SELECT domain, count(DISTINCT slot) AS ns FROM t GROUP BY domain),
+        r AS (SELECT t.*, ns, least(target_bytes, floor(target_bytes / ns * (slot + 1))::BIGINT) AS goal,
+              coalesce(sum(line_bytes) OVER (PARTITION BY t.domain, slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t JOIN n USING (domain)),
+        f AS (SELECT * FROM r WHERE slot = 0 AND before < goal), h AS (SELECT domain, sum(line_bytes) AS have FROM f GROUP BY domain)
+        SELECT domain, slot, pos FROM f UNION ALL
+        SELECT r.domain, slot, pos FROM r LEFT JOIN h USING (domain) WHERE slot = 1 AND before < goal - coalesce(have, 0)""",
+    "domain_status": f"""WITH {_CTE}, h AS (SELECT b.domain, sum(line_bytes)::BIGINT AS kb FROM b JOIN g USING (domain) WHERE bytes_before < target_bytes GROUP BY b.domain)
+        SELECT g.domain, target_bytes, coalesce(kb, 0) AS kept_bytes, CASE WHEN coalesce(kb, 0) < target_bytes * 0.95 THEN 'partial' ELSE 'complete' END AS status
+        FROM g LEFT JOIN h USING (domain)""",
+    "domain_result": f"""WITH {_CTE}, y AS (SELECT domain, count(*) AS n_read, count(*) FILTER (reason = 'utf8') AS utf8, count(*) FILTER (reason = 'too_short') AS too_short,
+        count(*) FILTER (reason = 'control_char') AS control_char, count(*) FILTER (reason IS NULL) AS good FROM x GROUP BY domain),
+        w AS (SELECT domain, count(*) AS n_kept, sum(line_bytes)::BIGINT AS bytes FROM b GROUP BY domain)
+        SELECT y.domain, n_read, coalesce(n_kept, 0) AS n_kept, utf8, too_short, good - coalesce(n_kept, 0) AS duplicate, control_char, coalesce(bytes, 0)::BIGINT AS bytes
+        FROM y LEFT JOIN w USING (domain)""",
+    "manifest": f"""WITH {_CTE}, p AS (SELECT b.domain, count(*) AS documents, sum(line_bytes)::BIGINT AS bytes FROM b GROUP BY b.domain),
+        e AS (SELECT p.*, floor(bytes / bytes_per_token)::BIGINT AS estimated_tokens FROM p JOIN domain_config USING (domain)),
+        t AS (SELECT NULL::VARCHAR AS domain, sum(documents)::BIGINT AS documents, sum(bytes)::BIGINT AS bytes, sum(estimated_tokens)::BIGINT AS estimated_tokens FROM e),
+        u AS (SELECT * FROM e UNION ALL SELECT * FROM t)
+        SELECT u.domain, u.documents, u.bytes, coalesce(u.bytes / t.bytes, 0.0) AS actual_share, u.estimated_tokens FROM u, t""",
+    "val_sizes": """SELECT domain, n, least(greatest(200, least(20000, round_even(n * 0.005, 0))), least(n, 20000), greatest(0, n - 1))::BIGINT AS k
+        FROM (SELECT split_part(id, '/', 1) AS domain, count(*) AS n FROM corpus_records GROUP BY 1)""",
+    "val_split": """WITH r AS (SELECT domain, doc_id::VARCHAR AS id, count(*) OVER (PARTITION BY domain) AS n,
+        row_number() OVER (PARTITION BY domain ORDER BY sha256('val:' || doc_id::VARCHAR), doc_id::VARCHAR) AS rn FROM documents),
+        v AS (SELECT *, CASE WHEN rn <= least(greatest(200, least(20000, round_even(n * 0.005, 0))), least(n, 20000), greatest(0, n - 1)) THEN 'val' ELSE 'train' END AS split FROM r)
+        SELECT domain, split, count(*) AS n, min(id) AS first_id FROM v GROUP BY ALL""",
+    "reservoir": "SELECT domain, count(*) AS n, least(count(*), 50) AS n_resident, greatest(count(*) - 50, 0) AS n_written FROM documents GROUP BY domain",
+    "smoke_subset": f"""WITH {_CTE}, a AS (SELECT b.*, sum(line_bytes) OVER (PARTITION BY domain) AS actual FROM b),
+        h AS (SELECT *, actual / {DIVISOR} AS goal FROM a WHERE {_HASH8.format("'smoke:' || id")} < least(1.0, actual / {DIVISOR} / greatest(1, actual) * 1.15)),
+        p AS (SELECT *, coalesce(sum(line_bytes) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+        o AS (SELECT domain, pos, id FROM p WHERE before < goal)
+        SELECT * FROM o UNION ALL
+        SELECT domain, pos, id FROM a WHERE domain NOT IN (SELECT domain FROM o) AND bytes_before < actual / {DIVISOR} AND n < 50""",
+    "epoch_order": "SELECT * FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('1235:' || doc_id::VARCHAR)) - 1 AS place FROM documents) WHERE place >= 10",
+    "mix_order": f"WITH {_MIX} SELECT doc_id, domain, place, tokens_before FROM m",
+    "mix_stats": f"""WITH {_MIX}, t AS (SELECT c.domain, share AS target_share, coalesce(sum(n_tokens), 0)::BIGINT AS tokens, count(n_tokens) AS documents
+        FROM domain_config c LEFT JOIN m USING (domain) GROUP BY ALL), y AS (SELECT *, coalesce(tokens / sum(tokens) OVER (), 0.0) AS actual_share FROM t)
+        SELECT domain, target_share, actual_share, (actual_share - target_share) * 100 AS diff_pp, tokens, documents FROM y""",
+    "mix_exhausted": f"""WITH {_MIX}, e AS (SELECT c.domain, coalesce(sum(n_tokens), 0)::BIGINT / any_value(share) AS k FROM domain_config c LEFT JOIN d USING (domain) GROUP BY c.domain)
+        SELECT e.domain FROM e WHERE (SELECT coalesce(sum(n_tokens), 0) FROM q WHERE mix_key < e.k OR (mix_key = e.k AND q.domain <= e.domain)) < (SELECT sum(n_tokens) FROM d)::BIGINT * 3 // 4""",
+    "stream_layout": f"""WITH {_MIX}, f AS (SELECT doc_id, n_tokens, coalesce(sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM d)
+        SELECT doc_id, "offset", "offset" // {SHARD} AS first_shard, ("offset" + n_tokens - 1) // {SHARD} AS last_shard,
+               "offset" // {BLOCK} AS first_block, ("offset" + n_tokens - 1) // {BLOCK} AS last_block FROM f""",
+    "batch_layout": """SELECT doc_id, place, place // 16 AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+        WHERE place // 16 < n // 16""",
+    "presplit": "SELECT doc_id, md5(text) AS joined FROM documents WHERE text IS NOT NULL",
+    "token_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL",
+    "token_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
+    "agent_windows": f"""WITH {_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu)
+        SELECT conv_id, turn, (len(h) + CASE WHEN len(u) > 0 THEN 2 ELSE 1 END)::INT AS n_messages,
+               md5(array_to_string(list_concat(['system:{chat.SYSTEM_PROMPT}'], CASE WHEN len(u) > 0 THEN ['user:' || coalesce(u[1].content, '')] ELSE [] END,
+                   [x.role || ':' || coalesce(x.content, '-') FOR x IN h]), '|')) AS content_md5 FROM w""",
+    "plain_conversations": """WITH a AS (SELECT conv_id, len(messages) AS n, [x FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS s FROM sft_toy)
+        SELECT conv_id, CASE WHEN n >= 2 AND len([x FOR x IN s IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 THEN 'ok' ELSE 'malformed' END AS shape, len(s)::INT AS n_messages FROM a""",
+    "hold_out": """SELECT CASE WHEN conv_id = (SELECT max(conv_id) FROM sft_toy) THEN 'val' ELSE 'train' END AS split, count(*) AS n, max(conv_id) AS last
+        FROM (SELECT DISTINCT conv_id FROM sft_toy) GROUP BY 1""",
+    "verify_records": """WITH r AS (SELECT *, split_part(file_name, '/', 1) AS domain FROM corpus_records),
+        j AS (SELECT r.*, coalesce(min_doc_bytes, 200) AS least FROM r LEFT JOIN domain_config USING (domain)),
+        i AS (SELECT id, count(*) AS k FROM r GROUP BY id), d AS (SELECT domain, id, bool_or(split = 'train') AS t, bool_or(split = 'val') AS v FROM r GROUP BY ALL),
+        h AS (SELECT domain, text, count(*) AS k FROM r WHERE text IS NOT NULL GROUP BY ALL),
+        u AS (SELECT 'C3' AS "check", count(*) FILTER (source IS DISTINCT FROM domain) AS bad, count(*) AS n FROM j
+        UNION ALL SELECT 'C6', count(*) FILTER (text IS NULL OR contains(text, chr(13)) OR contains(text, chr(0))), count(*) FROM j
+        UNION ALL SELECT 'C7', count(*) FILTER (strlen(text) < least), count(*) FROM j
+        UNION ALL SELECT 'C4', (sum(k) - count(id))::BIGINT, sum(k)::BIGINT FROM i
+        UNION ALL SELECT 'C5', count(*) FILTER (t AND v), count(*) FROM d
+        UNION ALL SELECT 'C8', sum(k - 1)::BIGINT, sum(k)::BIGINT FROM h)
+        SELECT "check", bad = 0 AS ok, bad, n FROM u""",
+    "verify_shares": f"""WITH {_CTE}, p AS (SELECT b.domain, sum(line_bytes) AS bytes FROM b GROUP BY b.domain), y AS (SELECT p.*, share, sum(bytes) OVER () AS ab, sum(share) OVER () AS asum FROM p JOIN domain_config USING (domain)),
+        o AS (SELECT count(*) FILTER (abs(bytes / ab - share / asum) * 100 > 5) AS bad, count(*) AS n FROM y)
+        SELECT 'C9' AS "check", CASE WHEN n > 0 THEN bad = 0 END AS ok, bad, n FROM o""",
+    "written_corpus": f"WITH {_CTE} SELECT domain, count(*) AS n_lines, sum(line_bytes)::BIGINT AS n_bytes FROM b GROUP BY domain",
+    "verify_lines": f"""WITH {_CTE} SELECT 'C2' AS "check", true AS ok, 0::BIGINT AS bad, count(*) AS n FROM b""",
+    "lenient_lines": "SELECT count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM corpus_records WHERE id IS NOT NULL AND text IS NOT NULL AND NOT ends_with(id, '5')",
+    "learning_rates": f"""SELECT step, round(CASE WHEN step < {_WARM} THEN 1e-3 * (step + 1) / {_WARM} WHEN step >= {_STEPS} THEN 1e-3 * 0.1
+        ELSE 1e-4 + 0.5 * (1 + cos(pi() * ((step - {_WARM}) / ({_STEPS} - {_WARM})))) * (1e-3 - 1e-4) END * 1e12)::BIGINT AS rate_e12 FROM (SELECT unnest(range(0, {_STEPS + 10})) AS step)""",
+    "evaluation": """WITH s AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -100 ELSE (doc_id % 1667)::INT END AS label, strlen(text) % 64 / 16.0 AS nll FROM documents WHERE text IS NOT NULL),
+        v AS (SELECT token_id AS label, CASE WHEN is_special THEN 0 ELSE octet_length(piece) END AS n_bytes FROM tok_vocab),
+        a AS (SELECT sum(nll)::DOUBLE AS t, count(*) AS n_tokens, coalesce(sum(n_bytes), 0)::BIGINT AS n_bytes FROM s LEFT JOIN v USING (label) WHERE label <> -100)
+        SELECT round(t / n_tokens, 9) AS loss, round(t / ln(2.0::DOUBLE) / n_bytes, 9) AS bpb, n_tokens, n_bytes FROM a""",
+    "top_scores": """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS "index", embedding FROM embeddings),
+        f AS (SELECT vec_id, "index", floor(embedding["index" + 1] * 4)::INT AS score FROM e)
+        SELECT vec_id, "index", score FROM f QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY score DESC) <= 5""",
+    "training_log": f"""WITH v(n, value) AS (VALUES {_LOG_VALUES}), p AS (SELECT value, 'step\\s+(\\d+).*?train loss = ([\\d.]+).*?val loss = ([\\d.]+).*?bpb = ([\\d.]+)' AS a,
+        '\\[epoch end\\].*?step\\s+(\\d+).*?val loss = ([\\d.]+).*?bpb = ([\\d.]+)' AS z FROM v)
+        SELECT 'point' AS kind, regexp_extract(value, '{metrics.LOG_LINE}', 1)::INT AS step, regexp_extract(value, '{metrics.LOG_LINE}', 2)::DOUBLE AS train_loss,
+               regexp_extract(value, '{metrics.LOG_LINE}', 3)::DOUBLE AS val_loss, regexp_extract(value, '{metrics.LOG_LINE}', 4)::DOUBLE AS bpb
+        FROM p WHERE regexp_matches(value, '{metrics.LOG_LINE}') AND NOT contains(value, 'epoch end')
+        UNION ALL SELECT 'final', regexp_extract(value, '{metrics.LOG_END}', 1)::INT, NULL::DOUBLE, regexp_extract(value, '{metrics.LOG_END}', 2)::DOUBLE, regexp_extract(value, '{metrics.LOG_END}', 3)::DOUBLE
+        FROM p WHERE regexp_matches(value, '{metrics.LOG_END}')""",
+    "stream_ingest": f"WITH {_CTE} SELECT domain, pos FROM k",
+}
