@@ -28,7 +28,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                     continue
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def map_partition(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -39,7 +39,19 @@ def map_partition(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterat
         for out in fn(b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it is a plain scan of so few splits that most cores would idle.
+
+    That happens with small files of one row group; a scan of many splits is left alone, as is any plan that shuffles.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores / 2 else df
 
 
 def _struct(schema: str) -> StructType:
