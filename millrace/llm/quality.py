@@ -3,8 +3,8 @@
 Two passes read the texts. The first counts, for every language, in how many documents a word occurs;
 the most frequent ones are the common words. The second computes the statistics, a narrow table that is
 written once. Mean and covariance of prose are then estimated for every language over all documents
-of the prose domains: the start is the coordinates' medians and median deviations, and moments
-are taken twice more over the documents within the expected distance, so junk doesn't shift them.
+of the prose domains: the start is the statistics' medians and median deviations, and moments
+are then taken over the plausible documents and those within the expected distance, so junk doesn't shift them.
 Languages with few documents lean on the covariance of all together.
 
 A document's distance uses deviations in the direction of junk only (fewer common words, more
@@ -47,6 +47,8 @@ COMMON_WORDS, COMMON_SHARE = 50, 0.02
 THRESHOLD = 45.0
 #: Documents a language's covariance must have to count as much as that of all languages.
 SHRINK_DOCS = 200
+#: Documents a language must have for a mean of its own, and the squared distance by the common start up to which they count.
+OWN_DOCS, PLAUSIBLE = 20, 60.0
 PROSE_DOMAINS = ("web_edu", "web_dclm", "cosmopedia", "qa_stackexchange")
 
 _END = re.compile(r"[.!?。！？…:;：；]+[\"'”’»)\]*_`」』]*$")
@@ -178,44 +180,47 @@ class ProseModel:
 
 _SIGNS = np.array(list(STATS.values()), float)
 #: Least standard deviation of each statistic, so that a statistic nearly constant in prose doesn't decide alone.
-_LEAST = np.array([4.0, 0.02, 0.05, 0.3, 0.05, 0.25, 0.06, 0.05, 0.5])
+_LEAST = np.array([4.0, 0.02, 0.05, 0.3, 0.05, 0.25, 0.06, 0.09, 0.5])
 
 
-def prose_model(stats: DataFrame, rounds: int = 2) -> ProseModel:
-    """The robust fit over all rows of ``stats``; languages x statistics squared numbers come to the driver."""
+def prose_model(stats: DataFrame) -> ProseModel:
+    """The robust fit over all rows of ``stats``; languages x statistics squared numbers come to the driver.
+
+    It starts from the medians and median deviations of all documents, whatever their language, so a language
+    that hardly has prose (noise that looks like it) can't make its junk the norm: only documents plausible by
+    that start count, and a language with few of them keeps the model of all.
+    """
     names = list(STATS)
-    k = len(names)
-    median = lambda g: g.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names))
     rows = stats.where("lang is not null")
-    center = {r["lang"]: np.array([r[c] for c in names]) for r in median(rows.groupBy("lang")).collect()}
-    if not center:
-        return ProseModel({"": (np.zeros(k), np.diag(1 / _LEAST**2))})
-    middles = F.create_map(*(x for lang, m in center.items() for x in (F.lit(lang), F.array(*map(F.lit, m.tolist())))))
-    away = rows.select("lang", *(F.abs(F.col(c) - middles[F.col("lang")][i]).alias(c) for i, c in enumerate(names)))
-    spread = {r["lang"]: np.array([r[c] for c in names]) for r in median(away.groupBy("lang")).collect()}
-    model = {lang: (m, np.diag(1 / np.maximum(1.4826 * spread[lang], _LEAST) ** 2)) for lang, m in center.items()}
-    model[""] = (np.median(list(center.values()), axis=0), np.mean([v[1] for v in model.values()], axis=0))
-    cut = k + 3 * math.sqrt(2 * k)
-    for _ in range(rounds):
-        sums = _moments(rows, ProseModel(model), cut)
-        model = _estimate(sums, model, k)
-    return ProseModel(model)
-
-
-def _moments(rows: DataFrame, model: ProseModel, cut: float) -> dict[str, np.ndarray]:
-    """Per language the sums of 1, x and x x' over the documents within ``cut``, flattened."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    median = lambda df: df.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names)).first()
+    middle = median(rows)
+    if middle[0] is None:
+        return ProseModel({"": (np.zeros(len(names)), np.diag(1 / _LEAST**2))})
+    center = np.array(list(middle), float)
+    spread = 1.4826 * np.array(list(median(rows.select(*(F.abs(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(names, center))))), float)
+    start = ProseModel({"": (center, np.diag(1 / np.maximum(spread, _LEAST) ** 2))})
+    near = len(names) + 3 * math.sqrt(2 * len(names))
+    first = _estimate(_moments(rows, start, start, PLAUSIBLE), start)
+    return _estimate(_moments(rows, start, first, near), first)
+
+
+def _moments(rows: DataFrame, start: ProseModel, model: ProseModel, cut: float) -> dict[str, np.ndarray]:
+    """Per language the sums of 1, x and x x' over the documents plausible by ``start`` and within ``cut`` of ``model``, flattened."""
+    shared = rows.sparkSession.sparkContext.broadcast((start, model))
     k = len(STATS)
 
     def part(batch: pa.RecordBatch) -> dict | None:
+        start, model = shared.value
         langs = np.array(batch.column(0).to_pylist())
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+        good = np.array([start.contributions("", row, _SIGNS).sum() <= PLAUSIBLE for row in x])
         out = []
         for lang in set(langs.tolist()):
-            own = x[langs == lang]
-            mean, inverse = shared.value.by_lang.get(lang, shared.value.by_lang[""])
-            z = own - mean
-            own = own[np.einsum("ij,jk,ik->i", z, inverse, z) <= cut]
+            own = x[good & (langs == lang)]
+            if model is not start:
+                mean, inverse = model.by_lang.get(lang, model.by_lang[""])
+                z = own - mean
+                own = own[np.einsum("ij,jk,ik->i", z, inverse, z) <= cut]
             flat = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
             out += [(lang, i, v) for i, v in enumerate(flat.tolist())]
         return dict(zip(("lang", "i", "v"), zip(*out))) if out else None
@@ -227,26 +232,23 @@ def _moments(rows: DataFrame, model: ProseModel, cut: float) -> dict[str, np.nda
     return sums
 
 
-def _estimate(sums: dict[str, np.ndarray], last: dict, k: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _estimate(sums: dict[str, np.ndarray], last: ProseModel) -> ProseModel:
+    """Means and inverse covariances of the sums; without enough documents the last model stays."""
+    k = len(STATS)
     parts = {}
     for lang, s in sums.items():
-        n = s[0]
-        if n >= 3:
-            mean = s[1 : 1 + k] / n
-            parts[lang] = (n, mean, s[1 + k :].reshape(k, k) / n - np.outer(mean, mean))
-    if not parts:
-        return last
+        if s[0] > 0:
+            mean = s[1 : 1 + k] / s[0]
+            parts[lang] = (s[0], mean, s[1 + k :].reshape(k, k) / s[0] - np.outer(mean, mean))
     weight = sum(p[0] for p in parts.values())
+    if weight < OWN_DOCS:
+        return last
     pooled = sum(p[0] * p[2] for p in parts.values()) / weight
-    out = {}
+    out = {"": (sum(p[0] * p[1] for p in parts.values()) / weight, _inverse(pooled))}
     for lang, (n, mean, cov) in parts.items():
-        mixed = (n * cov + SHRINK_DOCS * pooled) / (n + SHRINK_DOCS)
-        out[lang] = (mean, _inverse(mixed))
-    for lang in last:
-        if lang not in out:
-            out[lang] = (last[lang][0], _inverse(pooled))
-    out[""] = (sum(p[0] * p[1] for p in parts.values()) / weight, _inverse(pooled))
-    return out
+        if n >= OWN_DOCS:
+            out[lang] = (mean, _inverse((n * cov + SHRINK_DOCS * pooled) / (n + SHRINK_DOCS)))
+    return ProseModel(out)
 
 
 def _inverse(cov: np.ndarray) -> np.ndarray:

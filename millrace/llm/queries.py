@@ -110,7 +110,7 @@ def p6_shares(spark: SparkSession, root: str) -> DataFrame:
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     counted = tokens.token_counts(docs, table(spark, root, "tok_merges"), ["doc_id"])
-    n = docs.where("text is not null").count()  # reads no text but its null flags
+    n = docs.where("text is not null").count()
     return packing.pack_items(counted, "doc_id", "n_tokens", expected=n).withColumnRenamed("item", "doc_id")
 
 

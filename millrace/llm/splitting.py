@@ -42,9 +42,12 @@ def cut_points(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES
     if limit < 16 or not 0 <= overlap < limit / 2:
         raise ValueError("limit must be at least 16 and overlap under half of it")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    offset = np.r_[0, np.cumsum(width)].astype(np.int64)  # byte offset of each character boundary
     n = len(points)
+    # 32-bit offsets: a Spark string is shorter than 2^31 bytes
+    width = (1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int8)
+    offset = np.zeros(n + 1, np.int32)  # byte offset of each character boundary
+    np.cumsum(width, out=offset[1:])
+    del points, width
     if offset[-1] <= limit:
         return [(0, 0, int(offset[-1]), "end")]
 
@@ -55,17 +58,17 @@ def cut_points(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES
     whole = np.flatnonzero(~joined)
     if len(whole) < 2 or np.diff(offset[whole]).max() > limit // 4:
         whole = np.arange(n + 1)  # a tower of marks: whole code points must do
-    ends = [np.array([m.end() for m in e.finditer(text)], np.int64) for e in _ENDS]
+    ends = [np.array([m.end() for m in e.finditer(text)], np.int32) for e in _ENDS]
     ends = [e[~joined[e]] for e in ends]
     ends[0] = np.union1d(ends[0], [n])  # the end of the text is as good an end as any
 
     # where the piece after each boundary starts: at a word in the last ``overlap`` bytes, else at a character
-    earliest = np.searchsorted(offset, offset - overlap)
-    nodes = np.arange(n + 1)
+    earliest = np.searchsorted(offset, offset - overlap).astype(np.int32)
+    nodes = np.arange(n + 1, dtype=np.int32)
 
     def next_of(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
         k = np.searchsorted(marks, at)
-        return np.where(k < len(marks), np.r_[marks, n + 1][k], n + 1)
+        return np.r_[marks, n + 1].astype(np.int32)[k]
 
     start = next_of(ends[3], earliest)
     start = np.where((start < nodes) & (earliest > 0), start, next_of(whole, earliest))
@@ -73,13 +76,13 @@ def cut_points(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES
     start[0] = 0
 
     # the farthest legal successor of every boundary
-    reach = np.searchsorted(offset, offset[start] + limit, side="right") - 1
+    reach = (np.searchsorted(offset, offset[start] + limit, side="right") - 1).astype(np.int32)
     least = offset[start] + int(limit * LEAST_FILL)
-    successor = np.full(n + 1, -1, np.int64)
+    successor = np.full(n + 1, -1, np.int32)
     kind = np.full(n + 1, 4, np.int8)
     for level, marks in enumerate((*ends, whole)):
         k = np.searchsorted(marks, reach, side="right") - 1
-        to = np.where(k >= 0, np.r_[marks, -1][np.maximum(k, 0)], -1) if len(marks) else np.full(n + 1, -1)
+        to = np.r_[marks, -1].astype(np.int32)[k]  # index -1 is the -1
         ok = (successor < 0) & (to > nodes) & ((to == n) | (level > 2) | (offset[np.maximum(to, 0)] >= least))
         successor[ok], kind[ok] = to[ok], level
     short = successor < 0  # only inside a tower of marks that cuts never reach, and at the end itself
