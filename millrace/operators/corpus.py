@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DROP_REASONS, json_line, record_id, strip, unix_lines
+from ..session import materialise
 from .running import running_sums
 
 MIN_DOC_BYTES = 200
@@ -86,13 +87,18 @@ def new_texts(batch: DataFrame, kept: DataFrame, domain: str = "domain", text: s
     return fresh.join(seen, F.col(domain).eqNullSafe(F.col("__d")) & (F.sha2(F.col(text), 256) == F.col("__h")), "left_anti")
 
 
-def numbered(kept: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
-    """``kept`` with ``id`` by stream order in its domain, ``line_bytes`` and, of the lines before, ``bytes_before``."""
+def numbered(kept: DataFrame) -> DataFrame:
+    """``kept`` with ``id`` by stream order in its domain, ``line_bytes``, and ``n_before`` and ``bytes_before`` of the lines before.
+
+    Texts are written once and joined to their numbers last, so what needs no text moves none.
+    """
     # an id has a fixed length below 10^9, so the line's length doesn't depend on its number
     size = F.octet_length(json_line(F.col("text"), F.col("domain"), record_id(F.col("domain"), F.lit(0)))) + 1
-    sized = kept.withColumn("line_bytes", size.cast("bigint"))
-    out = running_sums(sized, ["domain"], ["pos"], {"__n": F.lit(1), "bytes_before": F.col("line_bytes")} | (sums or {}))
-    return out.withColumn("id", record_id(F.col("domain"), F.col("__n"))).withColumnRenamed("__n", "n_before")
+    sized = materialise(kept.withColumn("line_bytes", size.cast("bigint")), "kept")
+    places = running_sums(sized.select("domain", "pos", "line_bytes"), ["domain"], ["pos"], {"n_before": F.lit(1), "bytes_before": F.col("line_bytes")})
+    places = places.select(F.col("domain").alias("__d"), F.col("pos").alias("__q"), "n_before", "bytes_before")
+    out = sized.join(places, F.col("domain").eqNullSafe(F.col("__d")) & (F.col("pos") == F.col("__q"))).drop("__d", "__q")
+    return out.withColumn("id", record_id(F.col("domain"), F.col("n_before")))
 
 
 def target_bytes(tokens: int) -> Column:
