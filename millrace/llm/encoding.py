@@ -166,10 +166,10 @@ class CostModel:
         return got
 
 
-def restore(text: str, model: CostModel) -> tuple[str, list[str], int]:
-    """The restored text, the layers taken off ("read>written") and the number of tokens the first layer changed."""
+def restore(text: str, model: CostModel) -> tuple[str, list[str], int, str]:
+    """The restored text, the layers taken off ("read>written"), the tokens the first layer changed, and the text without quoted sequences."""
     layers: list[str] = []
-    changed = 0
+    changed, plain = 0, text
     for _ in range(LAYERS):
         drops: dict[tuple[str, str], float] = defaultdict(float)
         found: list[tuple[int, int, dict]] = []
@@ -191,15 +191,20 @@ def restore(text: str, model: CostModel) -> tuple[str, list[str], int]:
         taken = [(a, b, o[best][0]) for a, b, o in found if best in o]
         if not layers:
             if _quoted(text, taken):
+                plain = _replaced(text, [(a, b, "") for a, b, _ in taken])
                 break
             changed = len(taken)
-        out, last = [], 0
-        for a, b, fixed in taken:
-            out += [text[last:a], fixed]
-            last = b
-        text = "".join(out) + text[last:]
+        text = _replaced(text, taken)
         layers.append(f"{best[0]}>{best[1]}")
-    return text, layers, changed
+    return text, layers, changed, plain
+
+
+def _replaced(text: str, parts: list[tuple[int, int, str]]) -> str:
+    out, last = [], 0
+    for a, b, new in parts:
+        out += [text[last:a], new]
+        last = b
+    return "".join(out) + text[last:]
 
 
 def _structured(pair: tuple[str, str]) -> bool:
@@ -255,8 +260,8 @@ def garbled(docs: DataFrame, model: CostModel, doc_id: str = "doc_id", text: str
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fixed, layers, n = restore(t, shared.value)
-            evidence = "repair" if layers else "replacement" if _REPLACEMENT in t else "control" if _C1.search(t) else None
+            fixed, layers, n, plain = restore(t, shared.value)
+            evidence = "repair" if layers else "replacement" if _REPLACEMENT in plain else "control" if _C1.search(plain) else None
             if evidence:
                 rows.append((d, evidence, ",".join(layers), n, fixed if layers else None))
         return dict(zip(("doc_id", "evidence", "layers", "n_tokens", "restored"), zip(*rows))) if rows else None
