@@ -60,6 +60,13 @@ def test_no_refusals(text):
     assert not pairs.is_refusal(text)
 
 
+def test_languages_asked_for(model):
+    named = lambda q: [c for c, p in pairs._NAMED.items() if p.search(q)]
+    assert named("how do i polish a kiln") == named("should i polish it?") == [] and named("please answer in polish") == named("Polish, please") == ["pl"] and named("请用英语回答") == ["en"]
+    assert pairs.is_other_language(TEXT["de"], "Please answer in French. why does the bridge of the town open?", model)
+    assert not pairs.is_other_language(TEXT["en"], "Please answer in French. why does the bridge of the town open?", model)
+
+
 def test_languages(model):
     wrong = lambda answer, question: pairs.is_other_language(answer, question, model)
     assert wrong(TEXT["de"], "why does the bridge of the town open?") and wrong(TEXT["zh"], "why does the bridge of the town open?") and wrong(TEXT["en"], "warum öffnet die Stadt ihre Brücke?")
