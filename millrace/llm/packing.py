@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 #: Items a group holds on average. The unused end of a group is a fraction of one container.
 GROUP_ITEMS = 1500
+#: Groups a task packs, about half a second's work.
+GROUPS_A_TASK = 8
 #: Candidates looked at for one exchange between windows, and passes over the windows.
 SWAP_TRIES, SWAP_ROUNDS = 200, 6
+#: Window counts tried in a row without a better result.
+PATIENCE = 6
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -79,17 +83,19 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
 
 
 def _fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The best of the window counts from the lower bound up, until a higher count can't be better."""
+    """The best of the window counts from the lower bound up, until a higher count can't be better or several weren't."""
     k = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     best: list[list[int]] | None = None
-    while best is None or k < len(best):
+    since = 0
+    while best is None or (k < len(best) and since < PATIENCE):
         windows = differencing(sizes, k)
         windows += [[] for _ in range(k - len(windows))]
         _swap(windows, sizes, capacity)
-        need = _settle(windows, sizes, capacity)
+        _settle(windows, sizes, capacity)
+        since += 1
         if best is None or len(windows) < len(best):
-            best = windows
-        k += max(1, need)
+            best, since = windows, 0
+        k += 1
     return [w for w in best if w]
 
 
@@ -133,8 +139,8 @@ def _swap(windows: list[list[int]], sizes: list[int], capacity: int) -> None:
             break
 
 
-def _settle(windows: list[list[int]], sizes: list[int], capacity: int) -> int:
-    """Take from windows still above ``capacity`` the items that settle it, and open windows for those without room; how many."""
+def _settle(windows: list[list[int]], sizes: list[int], capacity: int) -> None:
+    """Take from windows still above ``capacity`` the items that settle it, and open windows for those without room."""
     out: list[int] = []
     load = []
     for w in windows:
@@ -146,19 +152,16 @@ def _settle(windows: list[list[int]], sizes: list[int], capacity: int) -> int:
             out.append(w.pop(at))
         load.append(total)
     room = sorted((capacity - x, j) for j, x in enumerate(load) if x < capacity)
-    opened = 0
     for i in sorted(out, key=lambda i: -sizes[i]):
         at = bisect_left(room, (sizes[i], -1))
         if at == len(room):
             windows.append([])
-            opened += 1
             left, j = capacity, len(windows) - 1
         else:
             left, j = room.pop(at)
         windows[j].append(i)
         if left > sizes[i]:
             insort(room, (left - sizes[i], j))
-    return opened
 
 
 def cut_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY) -> DataFrame:
@@ -191,7 +194,8 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY,
         return pdf
 
     kind = items.schema[item].dataType.simpleString()
-    return parts.groupBy("grp").applyInPandas(run, f"item {kind}, part int, start bigint, size bigint, grp int, container int")
+    # the rows are small but the work isn't, so partitions go by the number of groups and aren't merged by size
+    return parts.repartition(-(-groups // GROUPS_A_TASK), "grp").groupBy("grp").applyInPandas(run, f"item {kind}, part int, start bigint, size bigint, grp int, container int")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
