@@ -125,19 +125,49 @@ def segment_sample(docs: DataFrame, n_chars: int, n_segments: int, seed: int, or
     The documents joined by newlines are one long text; each segment is matched by range to the documents
     it touches. Only lengths are gathered. Texts are cut where they lie.
     """
+    rows = docs.select(F.lit("").alias("domain"), F.col(order).alias("pos"), F.col(text).alias("text"))
+    return _segments(rows, {"": (n_chars, n_segments)}, seed).select("segment", "piece", "part")
+
+
+def _segments(docs: DataFrame, plan: dict[str, tuple[int, int]], seed: int) -> DataFrame:
+    """(domain, segment, piece, part) of (domain, pos, text), with (characters, segments) for each domain."""
     from .running import running_sums
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(order).alias("piece"), F.col(text).alias("__text"), (F.length(text) + 1).alias("__len"))
-    placed = running_sums(rows, [], ["piece"], {"__at": F.col("__len")})
-    total = (placed.agg(F.sum("__len")).first()[0] or 1) - 1
-    starts = segment_starts(total, n_chars, n_segments, seed)
-    span = n_chars // n_segments if starts else max(total, 0)
-    spark = docs.sparkSession
-    segments = F.broadcast(spark.createDataFrame([(i, s) for i, s in enumerate(starts or [0])], "segment int, __from long"))
-    lo, hi = F.greatest(F.col("__from"), F.col("__at")), F.least(F.col("__from") + span, F.col("__at") + F.col("__len"))
-    hit = placed.join(segments, (F.col("__at") < F.col("__from") + span) & (F.col("__at") + F.col("__len") > F.col("__from")))
+    rows = docs.where(F.col("text").isNotNull()).select("domain", F.col("pos").alias("piece"), F.col("text").alias("__text"), (F.length("text") + 1).alias("__len"))
+    placed = running_sums(rows, ["domain"], ["piece"], {"__at": F.col("__len")})
+    totals = {r[0]: r[1] - 1 for r in placed.groupBy("domain").agg(F.sum("__len")).collect()}
+    drawn = []
+    for domain, (n_chars, n_segments) in plan.items():
+        starts = segment_starts(totals.get(domain, 0), n_chars, n_segments, seed)
+        span = n_chars // n_segments if starts else totals.get(domain, 0)
+        drawn += [(domain, i, s, span) for i, s in enumerate(starts or [0])]
+    segments = F.broadcast(docs.sparkSession.createDataFrame(drawn, "__d string, segment int, __from long, __span long"))
+    end = F.col("__from") + F.col("__span")
+    lo, hi = F.greatest(F.col("__from"), F.col("__at")), F.least(end, F.col("__at") + F.col("__len"))
+    hit = placed.join(segments, (F.col("domain") == F.col("__d")) & (F.col("__at") < end) & (F.col("__at") + F.col("__len") > F.col("__from")))
     whole = F.concat(F.col("__text"), F.lit("\n"))
-    return hit.select("segment", "piece", F.substr(whole, (lo - F.col("__at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    return hit.select("domain", "segment", "piece", F.substr(whole, (lo - F.col("__at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+
+def training_text(docs: DataFrame, weights: dict[str, float], n_chars: int, n_segments: int, seed: int, oversample: int = 10) -> DataFrame:
+    """(domain, segment, piece, part): the tokenizer's training text, a segment sample of each domain's first documents.
+
+    ``docs``: domain, pos, text. A domain's pool are its documents until they have ``oversample`` times its share of the characters;
+    in order of (domain, segment, piece) and with newlines between domains the parts are the text. A domain that should
+    have a share and has no documents is an error.
+    """
+    from .running import running_sums
+
+    plan = {d: segment_budget(n_chars, w, n_segments) for d, w in sorted(weights.items())}
+    plan = {d: p for d, p in plan.items() if p[0] >= 1}
+    if not plan:
+        raise ValueError("no domain has a share of the text")
+    rows = docs.where(F.col("text").isNotNull() & F.col("domain").isin(list(plan))).select("domain", "pos", "text")
+    limits = F.create_map(*(x for d, p in plan.items() for x in (F.lit(d), F.lit(p[0] * oversample))))
+    pool = running_sums(rows, ["domain"], ["pos"], {"__at": F.length("text")}).where(F.col("__at") < limits[F.col("domain")])
+    if missing := set(plan) - {r[0] for r in pool.select("domain").distinct().collect()}:
+        raise ValueError(f"no documents of {sorted(missing)} for the tokenizer")
+    return _segments(pool, plan, seed)
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:

@@ -138,6 +138,12 @@ def segment_sample(spark, root):
     return parts.groupBy("segment").agg(F.sum(F.length("part")).alias("n_chars"), F.count("*").alias("n_pieces"))
 
 
+def tokenizer_text(spark, root):
+    docs = table(spark, root, "documents").select("domain", F.col("doc_id").alias("pos"), "text")
+    parts = split.training_text(docs, _weights(spark, root), 40_000, 100, 0)
+    return parts.groupBy("domain").agg(F.sum(F.length("part")).alias("n_chars"), F.countDistinct("segment").alias("n_segments"))
+
+
 def epoch_order(spark, root):
     return split.epoch_rows(table(spark, root, "documents").select("doc_id"), "doc_id", 1234, 1, 10)
 
@@ -343,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, manifest,
-        val_sizes, val_split, reservoir, smoke_subset, segment_sample, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
+        val_sizes, val_split, reservoir, smoke_subset, segment_sample, tokenizer_text, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
         presplit, word_frequencies, pair_counts, bpe_training, token_bytes, token_round_trip, token_windows, token_shards,
         agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, hold_out,
         verify_records, verify_shares, written_corpus, verify_lines, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,

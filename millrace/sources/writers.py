@@ -68,6 +68,15 @@ def is_current(want: dict, meta: dict | None) -> bool:
     return meta is not None and all(k in meta and meta[k] == v for k, v in want.items())
 
 
+def check_run(meta: dict | None, **actual) -> dict:
+    """The record of a build, if its values (fingerprint, vocabulary, shards, tokens, ...) are those found now."""
+    if meta is None:
+        raise ValueError("the build has no record")
+    if wrong := {k: (meta.get(k), v) for k, v in actual.items() if meta.get(k) != v}:
+        raise ValueError("the build doesn't fit: " + ", ".join(f"{k} is {v}, not {m}" for k, (m, v) in sorted(wrong.items())))
+    return meta
+
+
 def folder_bytes(spark, path: str) -> int:
     """Bytes of all files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -175,6 +175,26 @@ def test_segment_sample_is_the_joined_text_cut(spark):
             split.segment_starts(100, *bad, 0)
 
 
+def test_training_text_has_its_shares(spark):
+    weights = {"b": 0.25, "a": 0.75, "c": 0.0}
+    docs = {d: ["".join(d for _ in range(20 + i % 7)) for i in range(200)] for d in "ab"}
+    df = spark.createDataFrame([(d, i, t) for d, v in docs.items() for i, t in enumerate(v)] + [("a", 999, None)], "domain string, pos bigint, text string")
+    parts = sorted((r.domain, r.segment, r.piece, r.part) for r in split.training_text(df, weights, 400, 20, 3, oversample=2).collect())
+    got = {d: "".join(p for x, *_, p in parts if x == d) for d in "ab"}
+    for d, budget, segments in (("a", 300, 15), ("b", 100, 5)):
+        pool, size = [], 0
+        for t in docs[d]:
+            if size >= budget * 2:
+                break
+            pool.append(t)
+            size += len(t)
+        whole = "\n".join(pool)
+        span = budget // segments
+        assert got[d] == "".join(whole[s : s + span] for s in split.segment_starts(len(whole), budget, segments, 3))
+    with pytest.raises(ValueError):
+        split.training_text(df, {"z": 1.0}, 400, 20, 3)
+
+
 def test_epochs_are_permutations(spark):
     df = spark.range(50).select(F.col("id").alias("k"))
     a, b = ([(r.place, r.k) for r in split.epoch_rows(df, "k", 1, e).orderBy("place").collect()] for e in (0, 1))

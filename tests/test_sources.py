@@ -94,6 +94,10 @@ def test_small_json_and_staleness(tmp_path):
     assert writers.read_json(path) is None
     writers.write_json(path, {"a": 1, "b": "é"})
     assert writers.is_current({"a": 1}, writers.read_json(path)) and not writers.is_current({"a": 2}, writers.read_json(path)) and not writers.is_current({"c": None}, writers.read_json(path))
+    assert writers.check_run({"a": 1, "b": 2}, a=1)["b"] == 2
+    for meta in (None, {"a": 2}, {}):
+        with pytest.raises(ValueError):
+            writers.check_run(meta, a=1)
     path.write_text("{")
     assert writers.read_json(path) is None and not writers.is_current({}, None)
     assert "a" in writers.mix_report([{"domain": "a", "target_share": 0.5, "actual_share": 0.25, "tokens": 5, "documents": 1}])
