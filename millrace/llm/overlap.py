@@ -215,6 +215,35 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _sides(records: DataFrame, record_id: str, text: str, split: str, train: str) -> tuple[DataFrame, DataFrame]:
+    rows = records.where(F.col(text).isNotNull() & F.col(split).isNotNull() & F.col(record_id).isNotNull())
+    return rows.where(F.col(split) != train), rows.where(F.col(split) == train)
+
+
+def _members(rows: DataFrame, side: str, record_id: str, text: str, keep: list[str]) -> DataFrame:
+    """(id, fp, <keep>) of one side, redelivered rows once."""
+    names = [f"id_{side}", "fp_e" if side == "eval" else "fp_t"]
+    named = rows.select(F.col(record_id).alias(names[0]), fingerprint(F.col(text)).alias(names[1]), *(F.col(c).alias(f"{c}_{side}") for c in keep))
+    return named.groupBy(names).agg(*(F.min(f"{c}_{side}").alias(f"{c}_{side}") for c in keep)) if keep else named.distinct()
+
+
+def overlap_links(records: DataFrame, keep: list[str], record_id: str = "id", text: str = "text", split: str = "split", train: str = "train", n: int = SHINGLE_WORDS, t: float = SIMILARITY) -> DataFrame:
+    """(id_eval, <keep>_eval, class, n_copies, n_near) of every evaluation record with a partner, without listing pairs.
+
+    ``class`` is the MD5 of its text, ``n_copies`` the training records of the same text and ``n_near`` those of other texts
+    that reach ``t``. Copies are counted per text before anything is joined, so a text that very many records
+    have costs one row on each side.
+    """
+    evals, trains = _sides(records, record_id, text, split, train)
+    counts = _members(trains, "train", record_id, text, []).groupBy("fp_t").agg(F.count("*").alias("k"))
+    near = similar_classes(evals, trains, text, n, t).join(counts, "fp_t").groupBy("fp_e").agg(F.sum("k").alias("n_near"))
+    classes = evals.select(fingerprint(F.col(text)).alias("fp_e")).distinct()
+    linked = classes.join(counts.select(F.col("fp_t").alias("fp_e"), F.col("k").alias("n_copies")), "fp_e", "left").join(near, "fp_e", "left")
+    some = linked.where("n_copies is not null or n_near is not null").select("fp_e", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_copies", "n_near")))
+    found = _members(evals, "eval", record_id, text, keep).join(some, "fp_e")
+    return found.select("id_eval", *(f"{c}_eval" for c in keep), F.lower(F.hex("fp_e")).alias("class"), "n_copies", "n_near")
+
+
 def split_overlaps(records: DataFrame, keep: list[str], record_id: str = "id", text: str = "text", split: str = "split", train: str = "train", n: int = SHINGLE_WORDS, t: float = SIMILARITY) -> DataFrame:
     """(id_eval, id_train, similarity, <keep>_eval, <keep>_train): every pair of an evaluation and a training record.
 
@@ -222,15 +251,8 @@ def split_overlaps(records: DataFrame, keep: list[str], record_id: str = "id", t
     count once, under their smallest values of ``keep``; texts of fewer than ``n`` words pair only with equal
     texts, the empty one too. An id that is in both splits pairs with itself.
     """
-    rows = records.where(F.col(text).isNotNull() & F.col(split).isNotNull() & F.col(record_id).isNotNull())
-    evals, trains = rows.where(F.col(split) != train), rows.where(F.col(split) == train)
-
-    def members(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(F.col(record_id).alias(f"id_{side}"), fingerprint(F.col(text)).alias(f"fp_{'e' if side == 'eval' else 't'}"), *(F.col(c).alias(f"{c}_{side}") for c in keep))
-        keys = named.columns[:2]
-        return named.groupBy(keys).agg(*(F.min(f"{c}_{side}").alias(f"{c}_{side}") for c in keep)) if keep else named.distinct()
-
-    e, f = members(evals, "eval"), members(trains, "train")
+    evals, trains = _sides(records, record_id, text, split, train)
+    e, f = _members(evals, "eval", record_id, text, keep), _members(trains, "train", record_id, text, keep)
     near = similar_classes(evals, trains, text, n, t)
     pairs = near.join(e, "fp_e").join(f, "fp_t").drop("fp_e", "fp_t")
     same = e.join(f, F.col("fp_e") == F.col("fp_t")).withColumn("similarity", F.lit(1.0))

@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b")).where("id_a < id_b").distinct()
 
 
+def p1_links(spark: SparkSession, root: str) -> DataFrame:
+    """Each evaluation record with a partner: its class, and how many train records have its text or one near it."""
+    return overlap.overlap_links(table(spark, root, "corpus_records"), ["split"]).withColumnsRenamed({"id_eval": "id", "split_eval": "split"})
+
+
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
     """Pairs and evaluation records concerned, per split and the sources of both sides."""
     records = table(spark, root, "corpus_records").withColumn("source", mixing.source_name(F.col("source"), F.col("id")))
@@ -137,5 +142,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p2_found, p2_report, p2_statistics, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
+    for f in (p1_found, p1_links, p1_report, p2_found, p2_report, p2_statistics, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
 }

@@ -2,16 +2,27 @@
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
-P1_PAIRS = rf"""
-WITH r AS (SELECT DISTINCT id, split, text FROM corpus_records WHERE text IS NOT NULL AND split IS NOT NULL AND id IS NOT NULL),
-w AS (SELECT id, split, md5(text) AS fp, {_WORDS} AS w FROM r),
-s AS (SELECT id, split, fp, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, greatest(len(w) - 1, 1)::BIGINT)]) AS s FROM w),
+_P1 = rf"""
+r AS (SELECT id, split, text, min(regexp_replace(lower(trim(coalesce(source, split_part(id, '/', 1)), ' ')), '[\s-]+', '_', 'g')) AS source
+      FROM corpus_records WHERE text IS NOT NULL AND split IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+w AS (SELECT id, split, source, md5(text) AS fp, {_WORDS} AS w FROM r),
+s AS (SELECT id, split, source, fp, list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, greatest(len(w) - 1, 1)::BIGINT)]) AS s FROM w),
 e AS (SELECT * FROM s WHERE split <> 'train'), t AS (SELECT * FROM s WHERE split = 'train'),
 eg AS (SELECT id, fp, len(s) AS n, unnest(s) AS g FROM e), tg AS (SELECT id, fp, len(s) AS n, unnest(s) AS g FROM t),
-both_ AS (SELECT eg.id AS ide, tg.id AS idt, eg.n AS ne, tg.n AS nt, count(*) AS c FROM eg JOIN tg USING (g) GROUP BY eg.id, eg.fp, tg.id, tg.fp, eg.n, tg.n),
-p AS (SELECT ide, idt FROM both_ WHERE c >= 0.6 * (ne + nt - c) - 1e-9
-      UNION SELECT e.id, t.id FROM e JOIN t USING (fp))
-SELECT DISTINCT least(ide, idt) AS id_a, greatest(ide, idt) AS id_b FROM p WHERE ide <> idt
+both_ AS (SELECT eg.id AS ide, tg.id AS idt, eg.fp AS fe, tg.fp AS ft, eg.n AS ne, tg.n AS nt, count(*) AS c FROM eg JOIN tg USING (g) GROUP BY ALL),
+p AS (SELECT ide, idt, fe, ft, c / (ne + nt - c) AS sim FROM both_ WHERE c >= 0.6 * (ne + nt - c) - 1e-9 AND fe <> ft
+      UNION ALL SELECT e.id, t.id, fp, fp, 1.0 FROM e JOIN t USING (fp))
+"""
+
+P1_PAIRS = f"WITH {_P1} SELECT DISTINCT least(ide, idt) AS id_a, greatest(ide, idt) AS id_b FROM p WHERE ide <> idt"
+P1_LINKS = f"""
+WITH {_P1} SELECT ide AS id, any_value(e.split) AS split, fe AS class, count(*) FILTER (fe = ft) AS n_copies, count(*) FILTER (fe <> ft) AS n_near
+FROM p JOIN e ON e.id = ide AND e.fp = fe GROUP BY ide, fe
+"""
+P1_REPORT = f"""
+WITH {_P1} SELECT e.split, e.source AS source_eval, t.source AS source_train, count(*) AS n_pairs, count(DISTINCT ide) AS n_eval_records,
+       count(*) FILTER (sim = 1) AS n_same_words
+FROM p JOIN e ON e.id = ide AND e.fp = fe JOIN t ON t.id = idt AND t.fp = ft GROUP BY ALL
 """
 
 P5_FOUND = """
@@ -36,6 +47,14 @@ m AS (SELECT id, r.source, r.n_bytes,
 
 P6_MIXTURE = f"WITH {_RECORDS} SELECT id, source, n_bytes, unnest(range(1, n + 1))::INT AS copy_no FROM m WHERE n > 0"
 
+P6_SHARES = f"""
+WITH {_RECORDS}, c AS (SELECT source, sum(n)::BIGINT AS n_used, sum(n * n_bytes)::BIGINT AS n_bytes_used FROM m GROUP BY source),
+z AS (SELECT rates.*, coalesce(n_used, 0) AS n_used, coalesce(n_bytes_used, 0) AS n_bytes_used FROM rates LEFT JOIN c USING (source)),
+y AS (SELECT sum(n_bytes_used)::BIGINT AS b, sum(CASE WHEN n_bytes > 0 THEN target_share END) AS t FROM z)
+SELECT source, target_share, CASE WHEN n_bytes > 0 THEN target_share / t ELSE 0.0 END AS reachable_share, coalesce(n_bytes_used / b, 0.0) AS actual_share,
+       rate, n_records, n_used, n_bytes_used FROM z, y
+"""
+
 P8_FOUND = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS w FROM test_items WHERE text IS NOT NULL),
@@ -44,4 +63,6 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+13], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
 """
 
-SQL: dict[str, str] = {"p1_found": P1_PAIRS, "p5_found": P5_FOUND, "p6_mixture": P6_MIXTURE, "p8_found": P8_FOUND}
+SQL: dict[str, str] = {
+    "p1_found": P1_PAIRS, "p1_links": P1_LINKS, "p1_report": P1_REPORT, "p5_found": P5_FOUND, "p6_mixture": P6_MIXTURE, "p6_shares": P6_SHARES, "p8_found": P8_FOUND,
+}

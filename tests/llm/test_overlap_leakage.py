@@ -60,6 +60,18 @@ def test_hot_copies_and_empty_tables(spark):
     assert overlap.split_overlaps(df.where("split = 'val'"), []).count() == 0
 
 
+def test_links_count_copies_without_listing_pairs(spark):
+    hot = "the same text again and again in every second record of a table"
+    near = hot.replace("table", "file")
+    rows = [(f"t/{i}", hot, "train") for i in range(500)] + [(f"u/{i}", near, "train") for i in range(7)] + [(f"v/{i}", hot, "val") for i in range(400)]
+    rows += [("w/1", near, "test"), ("w/1", near, "test"), ("w/2", "nothing like it at all", "test"), ("w/3", None, "val"), ("t/0", hot, "train")]
+    df = spark.createDataFrame(rows, "id string, text string, split string")
+    got = {(r.id_eval, r.split_eval): (r["class"], r.n_copies, r.n_near) for r in overlap.overlap_links(df, ["split"]).collect()}
+    assert len(got) == 401 and len({c for c, *_ in got.values()}) == 2
+    assert got["v/0", "val"][1:] == (500, 7) and got["w/1", "test"][1:] == (7, 500)
+    assert overlap.overlap_links(df.limit(0), []).count() == 0
+
+
 def test_a_saturated_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(overlap, "MAX_BITS", 4)
     monkeypatch.setattr(overlap, "MIN_BITS", 4)
