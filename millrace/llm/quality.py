@@ -96,7 +96,7 @@ def statistics(text: str, common: frozenset[str], model: LanguageModel) -> tuple
         model.langs[best] if best >= 0 else None,
         len(ws),
         sum(map(len, ws)) / max(1, len(ws)),
-        (size - letters - digits - soft) / size,
+        (len(solid) - letters - digits - soft) / size,
         digits / size,
         sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
         len(hits) / max(1, n),
@@ -151,7 +151,10 @@ def _flat(seen: dict[str, Counter], size: Counter) -> dict:
 
 
 def text_statistics(docs: DataFrame, keep: list[str], common: frozenset[str], model: LanguageModel, text: str = "text") -> DataFrame:
-    """The columns ``keep``, lang, n_words and the statistics of every non-null text."""
+    """The columns ``keep``, lang, n_words and the statistics of every non-null text.
+
+    Without words there is no language, and what has nothing to be computed from is 0; repeated rows give repeated rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((common, model))
     names = ["lang", "n_words", *STATS]
     kinds = ["string", "bigint", *["double"] * len(STATS)]
@@ -260,7 +263,7 @@ def _inverse(cov: np.ndarray) -> np.ndarray:
 
 
 def judged(stats: DataFrame, model: ProseModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``stats`` with distance2, contributions (a map by statistic) and verdict: prose, list, table or junk."""
+    """``stats`` with distance2, contributions (a map by statistic) and verdict: prose, list, table, junk, or empty for a text without anything to judge."""
     shared = stats.sparkSession.sparkContext.broadcast(model)
     names = list(STATS)
 
@@ -278,4 +281,5 @@ def judged(stats: DataFrame, model: ProseModel, threshold: float = THRESHOLD) ->
 def _verdict(threshold: float) -> Column:
     table = (F.col("separator_rate") > 0.3) & (F.col("digit_ratio") > 0.12) & (F.col("n_words") > 0)
     items = (F.col("separator_rate") > 0.2) & (F.col("symbol_ratio") < 0.25) & (F.col("digit_ratio") < 0.3)
-    return F.when(F.col("distance2") <= threshold, "prose").when(table, "table").when(items, "list").otherwise("junk")
+    empty = (F.col("n_words") == 0) & (F.col("symbol_ratio") == 0) & (F.col("digit_ratio") == 0) & (F.col("punct_line_share") == 0)
+    return F.when(empty, "empty").when(F.col("distance2") <= threshold, "prose").when(table, "table").when(items, "list").otherwise("junk")

@@ -54,7 +54,7 @@ def p2_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return _judged_prose(spark, root)[1].where("verdict <> 'prose'").select("id").distinct()
+    return _judged_prose(spark, root)[1].where("verdict in ('list', 'table', 'junk')").select("id").distinct()
 
 
 def p2_report(spark: SparkSession, root: str) -> DataFrame:

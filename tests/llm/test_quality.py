@@ -70,5 +70,8 @@ def test_empty_tables_and_few_rows(spark, model):
         stats = quality.text_statistics(rows, ["id"], frozenset(), model)
         assert quality.judged(stats, quality.prose_model(stats)).count() == rows.count()
     assert quality.common_words(df.limit(0), model, "text") == frozenset()
+    blanks = spark.createDataFrame([("a", ""), ("b", " \n"), ("c", "%%%%"), ("c", "%%%%")], "id string, text string")
+    stats = quality.text_statistics(blanks, ["id"], frozenset(), model)
+    assert [r.verdict for r in quality.judged(stats, quality.prose_model(stats)).orderBy("id").collect()] == ["empty", "empty", "junk", "junk"]
     unknown = quality.ProseModel({"": (np.zeros(9), np.eye(9))}).contributions(None, np.ones(9), np.array(list(quality.STATS.values()), float))
     assert unknown.sum() >= 0
