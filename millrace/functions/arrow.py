@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import ship
+
 #: Rows a Python worker takes at a time, so that its memory does not follow the batch setting.
 SLICE_ROWS = 2000
 
@@ -18,6 +20,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 
     A column named in ``schema`` must be in the dict; batches are cut to ``SLICE_ROWS`` rows.
     """
+    ship(df.sparkSession)
     arrow = to_arrow_schema(_struct(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,6 +36,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 
 def map_partition(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` with ``fn`` from a task's whole iterator of batches to dicts of columns."""
+    ship(df.sparkSession)
     arrow = to_arrow_schema(_struct(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(sc, "_millrace_shipped", False) or not package.is_dir():
+        return
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    folder = Path(folder if folder.startswith("/") else tempfile.gettempdir()) / "millrace"  # only the driver reads it there
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"millrace-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(path))
+    sc._millrace_shipped = True
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
@@ -47,4 +66,5 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One input table of ``root``."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
