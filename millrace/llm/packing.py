@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 CAPACITY = 1024
 #: Items a group holds on average. The unused end of a group is a fraction of one container.
 GROUP_ITEMS = 1500
@@ -184,6 +186,7 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY,
     items of size 0 take no room. ``expected`` is the number of items if known, else they are counted.
     The result is the same for any partitioning and order of the input.
     """
+    ship(items.sparkSession)
     total = items.where(F.col(size).isNotNull()).count() if expected is None else expected
     groups = max(1, round(total / group_items))
     parts = cut_items(items, item, size, capacity).withColumn("grp", F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(groups)).cast("int"))
