@@ -231,7 +231,7 @@ def token_windows(spark, root):
 
 def token_shards(spark, root):
     """Shards written to files and read again."""
-    spark.dataSource.register(shards.TokenShards)
+    shards.register(spark)
     placed, _ = _placed(spark, root)
     path = f"{shared_dir(spark)}/millrace/shards-{uuid.uuid4().hex}"
     blocks.shards(placed, SHARD).select("shard", "tokens").write.format("token_shards").mode("append").option("path", path).option("prefix", "train").save()

@@ -1,6 +1,6 @@
 """Token shards: a data source of flat files of unsigned 16-bit ids.
 
-``spark.dataSource.register(TokenShards)``, then format("token_shards") with the options path and prefix. Reading gives a row per
+``register(spark)``, then format("token_shards") with the options path and prefix. Reading gives a row per
 shard; writing takes (shard, tokens) rows, one file each. A task writes under a name of its own and the driver renames on
 commit, so retried and speculative tasks leave nothing behind; stale shards of the prefix go only then.
 """
@@ -8,11 +8,14 @@ commit, so retried and speculative tasks leave nothing behind; stale shards of t
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.blocks import MAX_ID
@@ -109,3 +112,9 @@ class TokenShards(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Make format("token_shards") known; the classes travel by value, as planning processes have no shipped files."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(TokenShards)

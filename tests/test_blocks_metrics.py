@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import blocks, metrics
 from millrace.operators.running import running_sum
-from millrace.sources.shards import TokenShards
+from millrace.sources.shards import register
 
 
 def stream(spark, lengths, seed=0):
@@ -40,7 +40,7 @@ def test_short_streams_and_bad_sizes(spark):
 @pytest.mark.parametrize("size", [1000, 33, 7])
 def test_shards_round_trip_through_files(spark, tmp_path, size):
     df, flat = stream(spark, [50, 10, 0, 77, 1])
-    spark.dataSource.register(TokenShards)
+    register(spark)
     out = blocks.shards(df, size)
     (tmp_path / "train_000099.bin").write_bytes(b"stale")
     (tmp_path / "val_000000.bin").write_bytes(b"\x01\x00")
