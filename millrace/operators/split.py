@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +44,16 @@ def hashed_val_split(rows: DataFrame, key: str = "id", seed: str = "val") -> Dat
     return rows.join(val.withColumn("__val", F.lit(True)), F.col(key) == F.col("__key"), "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__key", "__val")
 
 
-def reservoir_slots(n: int, capacity: int, seed: int) -> list[int]:
-    """For each arrival the slot it takes, or -1: Algorithm R with its generator."""
+def reservoir_hits(n: int, capacity: int, seed: int) -> Iterator[tuple[int, int]]:
+    """(arrival, slot) of the arrivals after the first ``capacity`` that replace a resident: Algorithm R with its generator.
+
+    About ``capacity * ln(n / capacity)`` of them; the draws of the others aren't kept.
+    """
     rng = random.Random(seed)
-    out = list(range(min(n, capacity)))
     for t in range(capacity, n):
         j = rng.randrange(t + 1)
-        out.append(j if j < capacity else -1)
-    return out
+        if j < capacity:
+            yield t, j
 
 
 def reservoir(rows: DataFrame, domain: str, n: int, capacity: int = VAL_MAX) -> DataFrame:
@@ -61,7 +64,7 @@ def reservoir(rows: DataFrame, domain: str, n: int, capacity: int = VAL_MAX) ->
     ``capacity`` are joined, of which few hit a slot; the table of hits is as long as the number of replacements.
     """
     spark = rows.sparkSession
-    hits = [(t, s) for t, s in enumerate(reservoir_slots(n, capacity, SEED + zlib.crc32(domain.encode()))) if t >= capacity and s >= 0]
+    hits = list(reservoir_hits(n, capacity, SEED + zlib.crc32(domain.encode())))
     drawn = spark.createDataFrame(hits, "__t long, __s int") if hits else spark.createDataFrame([], "__t long, __s int")
     joined = rows.join(drawn, F.col("t") == F.col("__t"), "left")
     slot = F.when(F.col("t") < capacity, F.col("t")).otherwise(F.coalesce("__s", F.lit(-1))).cast("bigint")
