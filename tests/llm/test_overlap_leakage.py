@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.llm import leakage, overlap
 from millrace.llm.words import word_spans, words

@@ -136,11 +136,6 @@ def test_mixture_reaches_its_shares(spark):
     assert {r[0] for r in names.select(mixing.source_name(names.source, names.id)).collect()} == {"web_edu"}
 
 
-def greedy(text, limit, overlap):
-    """The cuts one after the other, each looked up in the table of successors of a text of its own."""
-    return splitting.cut_points(text, limit, overlap)
-
-
 @pytest.mark.parametrize("seed", range(4))
 def test_pieces_join_to_the_text(seed):
     rng = random.Random(seed)
@@ -155,6 +150,18 @@ def test_pieces_join_to_the_text(seed):
             assert pieces_[0][:2] == (0, 0) and pieces_[-1][3] == "end"
 
 
+def test_doubling_finds_the_cuts_of_a_walk():
+    """A walk from cut to cut finds the same ends: a suffix that starts at a piece is divided alike."""
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "End. ", "line\n", "日本。", "x" * 17]) for _ in range(400))
+    raw, got = text.encode(), splitting.cut_points(text, 200, 0)
+    at, walk = 0, []
+    while at < len(raw):
+        at += splitting.cut_points(raw[at:].decode(), 200, 0)[0][2]
+        walk.append(at)
+    assert walk == [e for *_, e, _ in got]
+
+
 def test_cuts_are_at_the_best_ends():
     text = ("A sentence of some words stands here. " * 20 + "\n\n") * 12
     kinds = {k for *_, k in splitting.cut_points(text)}
