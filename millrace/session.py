@@ -24,11 +24,11 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset, as in tests."""
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_millrace_dir", None)
     if not given:
-        given = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", given)
+        given = sc._millrace_dir = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getpid()}")
     return given.rstrip("/")
 
 

@@ -21,3 +21,19 @@ def test_nothing_imports_the_llm_package():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), path
+
+
+def test_the_shared_folder_is_the_clusters_or_our_own(spark):
+    from millrace.session import shared_dir
+
+    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            getConf = staticmethod(lambda: {})
+
+    own = shared_dir(Bare)
+    assert own.startswith("file:///") and shared_dir(Bare) == own
