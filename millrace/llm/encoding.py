@@ -2,7 +2,8 @@
 
 A garbling cost is learned from all documents: the joint frequency of neighbouring characters, of
 which garbled ones are a small part (a conditional frequency would hide them, as garbled characters
-follow one another regularly too). A token, the text between blanks, of low cost is sound. Others are
+follow one another regularly too). Each distinct text counts once, so that no number of copies makes
+its own garbled pairs look usual. A token, the text between blanks, of low cost is sound. Others are
 taken back: encoded in a legacy encoding, decoded strictly in an intended one. Of the pairs of
 encodings the one wins whose repairs lower the cost of the text most; its repairs are accepted where
 the cost of the token drops clearly and what comes out is as sound as text usually is. This is repeated
@@ -228,19 +229,19 @@ def _quoted(text: str, taken: list[tuple[int, int, str]]) -> bool:
 
 
 def cost_model(docs: DataFrame, text: str = "text", size: int = MODEL_PAIRS) -> CostModel:
-    """The model of all documents that have non-ASCII characters; the table kept is of bounded size."""
+    """The model of all distinct texts that have non-ASCII characters; the table kept is of bounded size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            parts = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), np.uint32) for t in batch.column(0).to_pylist() if not t.isascii()]
-            if not parts:
-                continue
+            parts = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), np.uint32) for t in batch.column(0).to_pylist()]
             points = np.concatenate(parts).astype(np.uint64)
             points[(points == 9) | (points == 10) | (points == 13)] = 32
             pair, n = np.unique((points[:-1] << np.uint64(21)) | points[1:], return_counts=True)
             yield {"pair": pair.view(np.int64), "n": n}
 
-    counted = map_partition(docs.where(F.col(text).isNotNull()).select(text), count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    # copies meet map-side
+    texts = docs.where(F.col(text).isNotNull() & (F.length(text) != F.octet_length(text))).select(text).distinct()
+    counted = map_partition(texts, count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     kept = counted.where("n > 1").orderBy(F.desc("n"), "pair").limit(size).collect()
     table = {chr(r[0] >> 21) + chr(r[0] & 0x1FFFFF): r[1] for r in kept}
     return CostModel(table, sum(table.values()))

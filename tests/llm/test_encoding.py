@@ -94,3 +94,15 @@ def test_tables(spark):
     assert by[904].restored == SOUND["fr"] and by[902].evidence == "replacement" and by[903].evidence == "control" and by[902].restored is None
     empty = df.limit(0)
     assert encoding.garbled(empty, encoding.cost_model(empty)).count() == 0
+
+
+@pytest.mark.parametrize("lang,written,read", [("ru", "cp1251", "koi8-r"), ("ru", "cp866", "cp1251"), ("fr", "utf-8", "cp1252")])
+def test_copies_do_not_make_garbled_text_usual(spark, lang, written, read):
+    bad = misread(SOUND[lang].strip(), written, read)
+    schema = "doc_id bigint, text string"
+    good = [(i, t) for i, t in enumerate(texts())]
+    once = spark.createDataFrame([*good, (1000, bad)], schema)
+    often = spark.createDataFrame([*good, *((1000 + i, bad) for i in range(1500))], schema).repartition(4)
+    [alone] = encoding.garbled(once, encoding.cost_model(once)).collect()
+    found = encoding.garbled(often, encoding.cost_model(often)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1000, 2500)) and {(r.layers, r.restored) for r in found} == {(alone.layers, alone.restored)}
