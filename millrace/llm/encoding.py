@@ -10,8 +10,8 @@ the cost of the token drops clearly and what comes out is as sound as text usual
 for nested layers.
 
 Characters that only wrong decoding leaves behind (replacement characters, C1 controls) make a text a
-case even where nothing can be restored. A sequence quoted as a topic, standing alone near the very
-character it stands for, is none.
+case even where nothing can be restored. A sequence quoted as a topic, near the very character it
+stands for, is none.
 """
 
 from __future__ import annotations
@@ -222,8 +222,7 @@ def _quoted(text: str, taken: list[tuple[int, int, str]]) -> bool:
         if not core or re.search(r"[A-Za-z0-9]", fixed):
             return False
         near = text[max(0, a - QUOTE_CHARS) : a] + " " + text[b : b + QUOTE_CHARS]
-        alone = len(taken) == 1 and len(core) == 1 and core.isalpha()
-        if core not in near and not alone:
+        if core not in near:
             return False
     return True
 

@@ -106,3 +106,9 @@ def test_copies_do_not_make_garbled_text_usual(spark, lang, written, read):
     [alone] = encoding.garbled(once, encoding.cost_model(once)).collect()
     found = encoding.garbled(often, encoding.cost_model(often)).collect()
     assert sorted(r.doc_id for r in found) == list(range(1000, 2500)) and {(r.layers, r.restored) for r in found} == {(alone.layers, alone.restored)}
+
+
+@pytest.mark.parametrize("text,fixed", [("Il va Ã\xa0 Selve.", "Il va à Selve."), ("Siete Ã³ ocho casas.", "Siete ó ocho casas.")])
+def test_a_single_garbled_letter_is_a_quotation_only_near_its_character(model, text, fixed):
+    assert restore(text, model)[:2] == (fixed, ["cp1252>utf-8"])
+    assert restore(f"It shows {text.split()[2]} instead of {fixed.split()[2]} here.", model)[1] == []
