@@ -11,10 +11,10 @@ user message before it. The tests, in this order, give at most one defect a mess
   response and the question's own words (pasted material, code and quotations left out), clearly, and
   the user doesn't ask for that language.
 * ``truncated``: an open code block, an end no text can have, or an unlikely last word. For the last,
-  the n-gram likelihood of an end is counted over all messages, separately for list entries and
-  prose: how often the word, or for scripts without blanks the last two characters, ends an entry or
-  sentence. The counts are joined on the word, so they may be as many as they are; a message's own end
-  is left out of its count.
+  the n-gram likelihood of an end is counted over all distinct texts of messages, separately for list
+  entries and prose: how often the word, or for scripts without blanks the last two characters, ends an
+  entry or sentence. The counts are joined on the word, so they may be as many as they are; all that a
+  message's own text adds is left out of its counts, so no text vouches for itself or its copies.
 """
 
 from __future__ import annotations
@@ -211,21 +211,14 @@ def ending(text: str) -> tuple[str, str | None]:
 
 
 def end_counts(texts: DataFrame) -> DataFrame:
-    """(kind, word, n_ends, n_all) over a one-column frame of texts: how often a word ends a list entry or a sentence."""
+    """(kind, word, n_ends, n_all) over a one-column frame of texts, each distinct one once: how often a word ends a list entry or a sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         ends: Counter = Counter()
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if len(text) < 200 and ending(text)[0] == "short":
-                    _add("short", text, ends, total)
-                    continue
-                for line in _FENCE.sub("\n", text).split("\n"):
-                    entry = _LIST.match(line)
-                    kind, units = ("list", [line[entry.end() :]]) if entry else ("prose", _SENTENCE.split(line))
-                    for unit in units:
-                        _add(kind, unit, ends, total)
+                _count(text, ends, total)
             if len(total) > 200_000:
                 yield _counted(ends, total)
                 ends.clear()
@@ -233,10 +226,22 @@ def end_counts(texts: DataFrame) -> DataFrame:
         if total:
             yield _counted(ends, total)
 
-    parts = map_partition(texts, run, "kind string, word string, n_ends bigint, n_all bigint")
+    parts = map_partition(texts.distinct(), run, "kind string, word string, n_ends bigint, n_all bigint")
     return parts.groupBy("kind", "word").agg(F.sum("n_ends").alias("n_ends"), F.sum("n_all").alias("n_all"))
 
 
+def _count(text: str, ends: Counter, total: Counter) -> None:
+    """Add the words of one text and those that end its entries and sentences."""
+    if len(text) < 200 and ending(text)[0] == "short":
+        _add("short", text, ends, total)
+        return
+    for line in _FENCE.sub("\n", text).split("\n"):
+        entry = _LIST.match(line)
+        kind, units = ("list", [line[entry.end() :]]) if entry else ("prose", _SENTENCE.split(line))
+        for unit in units:
+            _add(kind, unit, ends, total)
+
+
 def _add(kind: str, unit: str, ends: Counter, total: Counter) -> None:
     keys = [(kind, w[-2:] if w[-1] >= "⺀" else w) for w in words(unit)]
     if keys:
@@ -250,7 +255,7 @@ def _counted(ends: Counter, total: Counter) -> dict:
 
 
 def judged(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_id", column: str = "messages") -> DataFrame:
-    """(conv_id, msg_idx, defect, kind, word): the verdict on each assistant message, or how its end is to be judged."""
+    """(conv_id, msg_idx, defect, kind, word, own_ends, own_all): the verdict on each assistant message, or how its end is to be judged and what its own text adds to the counts."""
     shared = conversations.sparkSession.sparkContext.broadcast(model)
     kind = conversations.schema[conv_id].dataType.simpleString()
     source = conversations.select(
@@ -269,24 +274,28 @@ def judged(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_
                     prompt = m["content"]
                 elif m["role"] == "assistant" and not m["calls"]:
                     rows.append((cid, i, *_judge(m["content"], prompt, shared.value)))
-        return dict(zip(("conv_id", "msg_idx", "defect", "kind", "word"), zip(*rows))) if rows else None
+        return dict(zip(("conv_id", "msg_idx", "defect", "kind", "word", "own_ends", "own_all"), zip(*rows))) if rows else None
 
-    return map_batches(source, run, f"conv_id {kind}, msg_idx int, defect string, kind string, word string")
+    return map_batches(source, run, f"conv_id {kind}, msg_idx int, defect string, kind string, word string, own_ends bigint, own_all bigint")
 
 
-def _judge(text: str | None, prompt: str | None, model: LanguageModel) -> tuple[str | None, str | None, str | None]:
-    if is_empty(text):
-        return "empty", None, None
-    if is_copy(text, prompt):
-        return "copy", None, None
-    if is_refusal(text):
-        return "refusal", None, None
-    if is_other_language(text, prompt, model):
-        return "wrong_language", None, None
-    kind, word = ending(text)
+def _judge(text: str | None, prompt: str | None, model: LanguageModel) -> tuple[str | None, str | None, str | None, int | None, int | None]:
+    defect = (
+        "empty" if is_empty(text)
+        else "copy" if is_copy(text, prompt)
+        else "refusal" if is_refusal(text)
+        else "wrong_language" if is_other_language(text, prompt, model)
+        else None
+    )
+    kind, word = ("", None) if defect else ending(text)
     if kind == "cut":
-        return "truncated", None, None
-    return None, *((kind, word) if word and kind != "sound" else (None, None))
+        defect = "truncated"
+    if defect or not word or kind == "sound":
+        return defect, None, None, None, None
+    ends: Counter = Counter()
+    total: Counter = Counter()
+    _count(text, ends, total)
+    return None, kind, word, ends[kind, word], total[kind, word]
 
 
 def broken_pairs(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_id", column: str = "messages") -> DataFrame:
@@ -299,8 +308,9 @@ def broken_pairs(conversations: DataFrame, model: LanguageModel, conv_id: str =
     sure = verdicts.where("defect is not null").select("conv_id", "msg_idx", "defect")
     texts = conversations.select(F.explode(F.col(column)).alias("m")).where("m.role in ('assistant', 'user') and m.content is not null").select(F.col("m.content").alias("t"))
     prior = F.element_at(F.create_map(*(F.lit(x) for kv in PRIOR_END.items() for x in kv)), F.col("kind"))
-    # a message whose own end isn't counted that way (a sentence it cuts) has nothing to leave out
-    share = (F.greatest(F.coalesce("n_ends", F.lit(1)) - 1, F.lit(0)) + PRIOR_WEIGHT * prior) / (F.greatest(F.coalesce("n_all", F.lit(1)) - 1, F.lit(0)) + PRIOR_WEIGHT)
+    # the counts hold each distinct text once, so a message's own text is in them once
+    others = lambda n, own: F.greatest(F.coalesce(n, F.lit(0)) - F.col(own), F.lit(0))
+    share = (others("n_ends", "own_ends") + PRIOR_WEIGHT * prior) / (others("n_all", "own_all") + PRIOR_WEIGHT)
     open_ = (
         verdicts.where("defect is null and word is not null")
         .join(end_counts(texts), ["kind", "word"], "left")

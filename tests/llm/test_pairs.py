@@ -102,6 +102,18 @@ def test_tables(spark, model):
     assert pairs.broken_pairs(df.limit(0), model).count() == 0
 
 
+def test_copies_of_a_cut_end_do_not_vouch_for_it(spark, model):
+    def talk(question, answer):
+        return [{"role": "user", "content": question}, {"role": "assistant", "content": answer}]
+
+    cut = "You open the gate.\n- open the zwi\n- close the zwi"
+    sound = [(i, talk(f"why is gate {i} open?", f"You open gate {i}. Keep in mind:\n- open the red gate\n- close the blue gate")) for i in range(5)]
+    again = [(100, talk("why?", cut)), (100, talk("why?", cut) + talk("and then?", "Nothing.")), *((200 + i, talk(f"how about gate {i}?", cut)) for i in range(40))]
+    for rows in ([(100, talk("why?", cut))], again):
+        df = spark.createDataFrame(sound + rows, f"conv_id bigint, messages {MESSAGES}")
+        assert {tuple(r) for r in pairs.broken_pairs(df, model).collect()} == {(i, 1, "truncated") for i, _ in rows}
+
+
 def test_language_model(spark, model):
     rows = [(i, TEXT[k] + f" {i}", k.upper() if i % 5 == 0 else f"{k}-XX" if i % 7 == 0 else k) for i, k in enumerate(list(TEXT) * 12)]
     rows += [(900 + i, TEXT["de"], "fr") for i in range(2)] + [(990, None, "en"), (991, "x", None), (992, "y", "und")]
