@@ -1,11 +1,11 @@
 """Problem 2: per-document text quality statistics and a verdict by robust Mahalanobis distance.
 
-Two passes read the texts. The first counts, for every language, in how many documents a word occurs;
+Two passes read the texts. The first counts, for every language, in how many distinct texts a word occurs;
 the most frequent ones are the common words. The second computes the statistics, a narrow table that is
-written once. Mean and covariance of prose are then estimated for every language over all documents
-of the prose domains: the start is the statistics' medians and median deviations, and moments
-are then taken over the plausible documents and those within the expected distance, so junk doesn't shift them.
-Languages with few documents lean on the covariance of all together.
+written once. Mean and covariance of prose are then estimated for every language over all distinct texts
+of the prose domains, so that no number of copies makes a text the norm: the start is the statistics'
+medians and median deviations, and moments are then taken over the plausible documents and those within
+the expected distance, so junk doesn't shift them. Languages with few documents lean on the covariance of all together.
 
 A document's distance uses deviations in the direction of junk only (fewer common words, more
 symbols and so on): prose with unusually many common words is no junk. The statistics'
@@ -108,7 +108,7 @@ def statistics(text: str, common: frozenset[str], model: LanguageModel) -> tuple
 
 
 def common_words(docs: DataFrame, model: LanguageModel, text: str) -> frozenset[str]:
-    """The common words of all languages: each one's most frequent by documents, counted over all documents.
+    """The common words of all languages: each one's most frequent by documents, counted over all documents, copies once.
 
     At most ``COMMON_WORDS`` a language come to the driver.
     """
@@ -130,7 +130,7 @@ def common_words(docs: DataFrame, model: LanguageModel, text: str) -> frozenset[
         if seen:
             yield _flat(seen, size)
 
-    counted = map_partition(docs.select(text), count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = map_partition(docs.where(F.col(text).isNotNull()).select(text).distinct(), count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted.where("n > 1 or word = ''"), "p2-words")
     sizes = {r[0]: r[1] for r in counted.where("word = ''").select("lang", "n").collect()}
     out: set[str] = set()
@@ -186,15 +186,20 @@ _SIGNS = np.array(list(STATS.values()), float)
 _LEAST = np.array([4.0, 0.02, 0.05, 0.3, 0.05, 0.25, 0.06, 0.09, 0.5])
 
 
-def prose_model(stats: DataFrame) -> ProseModel:
+def prose_model(stats: DataFrame, text_key: str | None = None) -> ProseModel:
     """The robust fit over all rows of ``stats``; languages x statistics squared numbers come to the driver.
 
+    Rows that agree in ``text_key``, a hash of the text, count once.
+
     It starts from the medians and median deviations of all documents, whatever their language, so a language
     that hardly has prose (noise that looks like it) can't make its junk the norm: only documents plausible by
     that start count, and a language with few of them keeps the model of all.
     """
     names = list(STATS)
     rows = stats.where("lang is not null")
+    if text_key is not None:
+        # copies meet map-side; all statistics follow from the text
+        rows = materialise(rows.select(text_key, "lang", *names).distinct(), "p2-distinct")
     median = lambda df: df.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names)).first()
     middle = median(rows)
     if middle[0] is None:

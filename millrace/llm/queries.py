@@ -42,8 +42,11 @@ def _judged_prose(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     prose = F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS)
     model = langid.fit_language_model(table(spark, root, "documents").where(F.col("domain").isin(*quality.PROSE_DOMAINS)))
     common = quality.common_words(records.where(prose), model, "text")
-    stats = materialise(quality.text_statistics(records, ["id", "source"], common, model), "p2-stats")
-    return stats, quality.judged(stats.where(prose), quality.prose_model(stats.where(prose)))
+    hashed = records.withColumn("text_hash", F.md5("text"))
+    stats = materialise(quality.text_statistics(hashed, ["id", "source", "text_hash"], common, model), "p2-stats")
+    fitted = quality.prose_model(stats.where(prose), "text_hash")
+    stats = stats.drop("text_hash")
+    return stats, quality.judged(stats.where(prose), fitted)
 
 
 def p2_statistics(spark: SparkSession, root: str) -> DataFrame:

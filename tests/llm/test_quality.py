@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import quality
+from millrace.llm.queries import QUERIES
 from millrace.llm.langid import LanguageModel
 
 WORDS = ["the", "of", "and", "to", "a", "in", "is", "was", "it", "that", "with", "for", "on", "as", "but", "not", "you", "or"]
@@ -75,3 +76,23 @@ def test_empty_tables_and_few_rows(spark, model):
     assert [r.verdict for r in quality.judged(stats, quality.prose_model(stats)).orderBy("id").collect()] == ["empty", "empty", "junk", "junk"]
     unknown = quality.ProseModel({"": (np.zeros(9), np.eye(9))}).contributions(None, np.ones(9), np.array(list(quality.STATS.values()), float))
     assert unknown.sum() >= 0
+
+
+def test_copies_count_once(spark, tmp_path):
+    rng = random.Random(9)
+    # a third and more of all rows: a list of words met nowhere else
+    copied = "\n".join(f"- {n}{m}x" for n, m in zip(NOUNS, NOUNS[60:] + NOUNS))
+    texts = [(f"web_edu/{i}", prose(rng, rng.randint(30, 90))) for i in range(200)] + [(f"web_dclm/{i}", junk(rng)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "web_edu") for i, (_, t) in enumerate(texts[:200])], "doc_id bigint, text string, lang string, domain string")
+    got = []
+    for n in (1, 400):
+        root = str(tmp_path / str(n))
+        docs.write.parquet(f"{root}/documents.parquet")
+        rows = [(i, t, "a", "train") for i, t in texts] + [(f"web_dclm/c{i}", copied, "a", "train") for i in range(n)]
+        spark.createDataFrame(rows, "id string, text string, source string, split string").write.parquet(f"{root}/corpus_records.parquet")
+        out = QUERIES["p2_statistics"](spark, root)
+        assert "text_hash" not in out.columns
+        got.append({r.id: (r.verdict, round(r.common_share, 9), round(r.distance2, 6)) for r in out.collect()})
+    once, often = got
+    assert len(often) == 620 and {often[i] for i in often if "/c" in i} == {once["web_dclm/c0"]} and once["web_dclm/c0"][0] != "prose"
+    assert all(often[i] == v for i, v in once.items())
