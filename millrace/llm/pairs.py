@@ -41,8 +41,10 @@ PRIOR_END = {"list": 0.05, "prose": 0.05, "short": 0.5}
 LANGUAGE_LEAD = 12.0
 #: A copy shares at least so much of its words with the question, and of the question's words with it.
 COPY_OF_RESPONSE, COPY_OF_QUESTION = 0.75, 0.7
-#: Longest text compared as a possible copy, in words; a longer response is no question.
+#: Words up to which texts are compared by matching blocks; longer ones by their longest common subsequence.
 COPY_WORDS = 400
+#: Occurrences from which a word's bit mask is kept.
+_FREQUENT = 64
 #: Words a single sentence without a full stop may have to be judged by its last word alone, and those
 #: of a short answer, whose ends are counted among short answers.
 SENTENCE_WORDS, SHORT_WORDS = 15, 6
@@ -115,26 +117,60 @@ def _units(text: str) -> list[str]:
 
 def is_copy(response: str, prompt: str | None) -> bool:
     """The question again, or one line of the prompt, unless a repetition is asked for."""
-    if not prompt or len(response) > 40 * COPY_WORDS or _REPEAT.search(prompt):
+    if not prompt or _REPEAT.search(prompt):
         return False
     said = _units(response)
-    if not said or len(said) > COPY_WORDS:
+    if not said:
         return False
-    lines = [prompt] if len(prompt) <= 40 * COPY_WORDS else []
-    lines += [p for p in re.split(r"\n+", prompt) if len(p) <= 40 * COPY_WORDS and p != prompt]
     seen = set(said)
-    for line in lines:
+    for line in [prompt, *(p for p in re.split(r"\n+", prompt) if p != prompt)]:
+        if len(said) > 1.6 * len(line) + 2:  # no text has more words than characters
+            continue
         asked = _units(line)
-        if len(asked) < 3 or len(asked) > COPY_WORDS or len(said) > 1.6 * len(asked) + 2 or len(said) < COPY_OF_QUESTION * len(asked):
+        if len(asked) < 3 or len(said) > 1.6 * len(asked) + 2 or len(said) < COPY_OF_QUESTION * len(asked):
             continue
         if len(seen & set(asked)) < COPY_OF_QUESTION * len(set(asked)):
             continue
-        same = sum(b.size for b in SequenceMatcher(None, said, asked, False).get_matching_blocks())
-        if same >= COPY_OF_RESPONSE * len(said) and same >= COPY_OF_QUESTION * len(asked):
+        least = max(COPY_OF_RESPONSE * len(said), COPY_OF_QUESTION * len(asked))
+        if max(len(said), len(asked)) <= COPY_WORDS:
+            same = sum(b.size for b in SequenceMatcher(None, said, asked, False).get_matching_blocks())
+        elif (Counter(said) & Counter(asked)).total() < least:
+            continue
+        else:
+            same = _in_order(said, asked)
+        if same >= least:
             return True
     return False
 
 
+def _in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: linear where the ends agree, between them a row of bits a word."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+
+    def mask(places: list[int]) -> int:
+        bits = bytearray(len(a) // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    kept = {w: mask(places) for w, places in at.items() if len(places) > _FREQUENT}
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        if w in at:
+            hit = row & (kept[w] if w in kept else mask(at[w]))
+            row = ((row + hit) | (row - hit)) & full
+    return start + end + len(a) - row.bit_count()
+
+
 def is_refusal(response: str) -> bool:
     """Declines and gives no answer."""
     if len(response) > 1500 or not _DECLINE.search(response):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from millrace.llm import pairs
@@ -123,3 +125,25 @@ def test_language_model(spark, model):
     assert max(fitted.posterior(["schule", "brücke", "niemand"]), key=fitted.posterior(["schule", "brücke", "niemand"]).get) == "de"
     nothing = fit_language_model(docs.limit(0))
     assert nothing.langs == [] and nothing.best("a") is None and not pairs.is_other_language("a b c", "d e f", nothing)
+
+
+def test_long_copies():
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(300)}" for _ in range(1500)]
+    text, changed = " ".join(long), " ".join(w if i % 9 else "other" for i, w in enumerate(long))
+    for said in (text, changed, text.upper(), f"Q: {text}", " ".join(long[:-200])):
+        assert pairs.is_copy(said, text) and pairs.is_copy(said, f"what is this?\n{text}\nthanks")
+    assert not pairs.is_copy(" ".join(reversed(long)), text) and not pairs.is_copy(text, " ".join(long[:600])) and not pairs.is_copy(text, f"repeat: {text}")
+    han = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(2000))
+    assert pairs.is_copy(han, han) and pairs.is_copy(text * 20, text * 20)
+
+
+def test_common_words_in_order():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert pairs._in_order(a, b) == rows[-1][-1]
