@@ -83,6 +83,22 @@ _DECLINE = re.compile(
     r"|我?(无法|不能|不便|不可以|拒绝|必须拒绝|没办法|不会)[^。！？]*(回答|帮助|帮忙|提供|协助|回应|请求|讨论|问题)",
     re.I,
 )
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside all brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+#: Each alternative, cut at its open gaps.
+_DECLINE_PARTS = [[re.compile(p, re.I) for p in re.split(r"\[\^[.!?。！？]+\]\*", a)] for a in _alternatives(_DECLINE.pattern)]
 _COURTESY = re.compile(
     r"^\W*(sorry|i['’]?m (very |so |really )?sorry|i apologi[sz]e|apologies|unfortunately|thank you|thanks|please|is there anything|as an? (ai|language model)|(it|this|that|doing so) (could|might|may|would) (lead|cause|be)|let['’]s (change|talk)|feel free|perhaps|maybe|i hope you understand"
     r"|leider|es tut mir leid|tut mir leid|entschuldig\w*|verzeihung|bitte|danke|vielen dank|kann ich (dir|ihnen) sonst|gibt es sonst|(désolé|navré)\w*|je suis (désolé|navré)\w*|malheureusement|merci|pardon|excusez|puis-je|posez|demande\w*|y a-t-il|veuillez"
@@ -98,15 +114,25 @@ def is_empty(text: str | None) -> bool:
     bare = _FENCE.sub("", _TAG.sub("", html.unescape(text)))
     if not WORD.search(bare) and not any(unicodedata.category(c)[0] not in "PZC" and not c.isascii() for c in bare):
         return True
-    if len(bare) > 200:
+    a, b = 0, len(bare)
+    while a < b and _pads(bare[a]):
+        a += 1
+    while a < b and _pads(bare[b - 1]):
+        b -= 1
+    if b - a > 200:
         return False
-    plain = bare.strip(" \t\r\n\xa0​﻿\"'`*_.").strip()
+    plain = bare[a:b]
     if _WRAPPED.fullmatch(plain):
         inner = plain.strip("[]{}()<> \"'").lower()
         return bool(_PLACEHOLDER.fullmatch(inner) or inner in ("empty", "blank", "..."))
     return plain != "none" and len(plain) <= 40 and bool(_PLACEHOLDER.fullmatch(plain.lower()))
 
 
+def _pads(c: str) -> bool:
+    """White space, invisible characters and marks around a placeholder."""
+    return c in "\"'`*_." or c.isspace() or unicodedata.category(c)[0] in "ZC"
+
+
 def _units(text: str) -> list[str]:
     """Words, or single characters of scripts without blanks."""
     out: list[str] = []
@@ -173,13 +199,32 @@ def _in_order(a: list[str], b: list[str]) -> int:
 
 def is_refusal(response: str) -> bool:
     """Declines and gives no answer."""
-    if len(response) > 1500 or not _DECLINE.search(response):
-        return False
-    other = 0
+    other, declines = 0, False
     for s in _SENTENCE.split(response):
-        if s and not _DECLINE.search(s) and not _COURTESY.search(s):
+        if s and _declines(s):
+            declines = True
+        elif s and not _COURTESY.search(s):
             other += len(_units(s))
-    return other <= 3
+            if other > 3:
+                return False
+    return declines or _declines(response)
+
+
+def _declines(text: str) -> bool:
+    """Whether ``_DECLINE`` is found; in long texts part by part, as its open gaps would take quadratic time."""
+    if len(text) <= 1500:
+        return bool(_DECLINE.search(text))
+    for stretch in re.split(r"(?<=[.!?。！？])", text):
+        for parts in _DECLINE_PARTS:
+            end = 0
+            for part in parts:
+                m = part.search(stretch, end)
+                if m is None:
+                    break
+                end = m.end()
+            else:
+                return True
+    return False
 
 
 def question_of(prompt: str) -> str:

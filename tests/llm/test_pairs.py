@@ -147,3 +147,15 @@ def test_common_words_in_order():
             for j, y in enumerate(b):
                 rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
         assert pairs._in_order(a, b) == rows[-1][-1]
+
+
+@pytest.mark.parametrize("text", ["N/A" + " " * 300, "null" + "\u200b" * 300, "\u2060" * 300 + "[no answer]" + "\u3000" * 300])
+def test_padded_placeholders_are_empty(text):
+    assert pairs.is_empty(text) and not pairs.is_empty(text + "x" * 300)
+
+
+def test_long_refusals():
+    decline = ["I'm sorry, but I can't help with that. ", "Leider kann ich dabei nicht helfen. ", "很抱歉，我无法回答这个问题。", "Lo siento, pero no puedo ayudarte con eso. "]
+    for d in decline:
+        assert pairs.is_refusal(d * 200) and not pairs.is_refusal(d * 200 + "The answer is twelve red gates.")
+    assert pairs.is_refusal("no puedo " * 50_000 + "ayudarte") and not pairs.is_refusal("no puedo " * 50_000)
