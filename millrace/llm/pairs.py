@@ -10,11 +10,8 @@ user message before it. The tests, in this order, give at most one defect a mess
 * ``wrong_language``: the posteriors of a character n-gram naive Bayes model differ between the
   response and the question's own words (pasted material, code and quotations left out), clearly, and
   the user doesn't ask for that language.
-* ``truncated``: an open code block, an end no text can have, or an unlikely last word. For the last,
-  the n-gram likelihood of an end is counted over all distinct texts of messages, separately for list
-  entries and prose: how often the word, or for scripts without blanks the last two characters, ends an
-  entry or sentence. The counts are joined on the word, so they may be as many as they are; all that a
-  message's own text adds is left out of its counts, so no text vouches for itself or its copies.
+* ``truncated``: the end-of-text likelihood, module ``ends``: how much likelier the last symbols of the
+  response are at the end of a text than at the places inside texts where a cut would fall.
 """
 
 from __future__ import annotations
@@ -23,20 +20,17 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import map_batches, map_partition
+from ..functions.arrow import map_batches
+from . import ends
 from .langid import LanguageModel
 from .words import WORD, words
 
-#: Least share of ends among a word's occurrences for an end to be sound, and the prior of unseen words.
-LEAST_END, PRIOR_WEIGHT = 0.15, 0.5
-PRIOR_END = {"list": 0.05, "prose": 0.05, "short": 0.5}
 #: Log-likelihood lead a language needs, in the response and in the question.
 LANGUAGE_LEAD = 12.0
 #: A copy shares at least so much of its words with the question, and of the question's words with it.
@@ -45,9 +39,6 @@ COPY_OF_RESPONSE, COPY_OF_QUESTION = 0.75, 0.7
 COPY_WORDS = 400
 #: Occurrences from which a word's bit mask is kept.
 _FREQUENT = 64
-#: Words a single sentence without a full stop may have to be judged by its last word alone, and those
-#: of a short answer, whose ends are counted among short answers.
-SENTENCE_WORDS, SHORT_WORDS = 15, 6
 
 _TAG, _FENCE = re.compile(r"</?[A-Za-z!][^<>]*>"), re.compile(r"```[\w+-]*")
 _PLACEHOLDER = re.compile(r"(null|nil|n/?a|nan|undefined|none|no (answer|response|reply|content|output)|not available|tbd|todo|missing|placeholder|(your |the )?(answer|response|text|content|reply)( goes)?( here)?|keine antwort|sans réponse|pas de réponse|sin respuesta|无|空|无回答|没有回答|暂无)")
@@ -69,9 +60,6 @@ _NAMES = {
 _NAMED = {code: re.compile(rf"\b(?:{latin})\b|{cjk}", re.I) for code, (latin, cjk) in _NAMES.items()}
 _TRANSLATE = re.compile(r"\b(translat\w*|übersetz\w*|tradui\w*|traduc\w*)\b|翻译", re.I)
 _QUOTED = re.compile(r"```.*?(```|$)|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|「[^」\n]*」", re.S)
-_LIST = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])(?:\s|$)")
-_STOPPED = re.compile(r"[.!?。！？…]+[\"'”’»)\]*_`」』]*$")
-_UNFINISHED = re.compile(r"[,;:、，；：\-–—(\[{“‘«/=+&<]$")
 _SENTENCE = re.compile(r"(?<=[.!?;。！？；…])\s*|\n+")
 
 _DECLINE = re.compile(
@@ -142,7 +130,7 @@ def _units(text: str) -> list[str]:
 
 
 def is_copy(response: str, prompt: str | None) -> bool:
-    """The question again, or one line of the prompt, unless a repetition is asked for."""
+    """The question again, once or repeatedly, or one line of the prompt, unless a repetition is asked for."""
     if not prompt or _REPEAT.search(prompt):
         return False
     said = _units(response)
@@ -150,25 +138,34 @@ def is_copy(response: str, prompt: str | None) -> bool:
         return False
     seen = set(said)
     for line in [prompt, *(p for p in re.split(r"\n+", prompt) if p != prompt)]:
-        if len(said) > 1.6 * len(line) + 2:  # no text has more words than characters
-            continue
         asked = _units(line)
-        if len(asked) < 3 or len(said) > 1.6 * len(asked) + 2 or len(said) < COPY_OF_QUESTION * len(asked):
-            continue
-        if len(seen & set(asked)) < COPY_OF_QUESTION * len(set(asked)):
-            continue
-        least = max(COPY_OF_RESPONSE * len(said), COPY_OF_QUESTION * len(asked))
-        if max(len(said), len(asked)) <= COPY_WORDS:
-            same = sum(b.size for b in SequenceMatcher(None, said, asked, False).get_matching_blocks())
-        elif (Counter(said) & Counter(asked)).total() < least:
+        if len(asked) < 3 or len(seen & set(asked)) < COPY_OF_QUESTION * len(set(asked)):
             continue
-        else:
-            same = _in_order(said, asked)
-        if same >= least:
+        if _alike(said, asked):
             return True
+        # the question several times over: as many equal parts, each alike
+        times = round(len(said) / len(asked))
+        if times > 1 and abs(len(said) - times * len(asked)) <= len(asked) // 4:
+            step = len(said) / times
+            if all(_alike(said[round(i * step) : round((i + 1) * step)], asked) for i in range(times)):
+                return True
     return False
 
 
+def _alike(said: list[str], asked: list[str]) -> bool:
+    """Whether nearly all words agree in order."""
+    if len(said) > 1.6 * len(asked) + 2 or len(said) < COPY_OF_QUESTION * len(asked):
+        return False
+    least = max(COPY_OF_RESPONSE * len(said), COPY_OF_QUESTION * len(asked))
+    if (Counter(said) & Counter(asked)).total() < least:
+        return False
+    if max(len(said), len(asked)) <= COPY_WORDS:
+        same = sum(b.size for b in SequenceMatcher(None, said, asked, False).get_matching_blocks())
+    else:
+        same = _in_order(said, asked)
+    return same >= least
+
+
 def _in_order(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence: linear where the ends agree, between them a row of bits a word."""
     start, end = 0, 0
@@ -260,89 +257,15 @@ def is_other_language(response: str, prompt: str | None, model: LanguageModel) -
     return found[1] not in named and not (_TRANSLATE.search(asked) and not set(named) & set(model.langs))
 
 
-def last_word(text: str) -> str | None:
-    """What an end is judged by: the last word, of scripts without blanks its last two characters."""
-    tail = text[-200:]
-    ws = words(tail)
-    if not ws:
-        return None
-    return ws[-1][-2:] if ws[-1][-1] >= "⺀" else ws[-1]
-
-
-def ending(text: str) -> tuple[str, str | None]:
-    """("sound" | "cut" | "list" | "prose" | "short", last word): sure verdicts, or the kind of end to be judged by likelihood."""
-    if text.count("```") % 2:
-        return "cut", None
-    end = text.rstrip()
-    line = end[end.rfind("\n") + 1 :]
-    entry = _LIST.match(line)
-    if entry and not line[entry.end() :].strip() and line != end:
-        return "cut", None
-    if end.endswith("```") or _STOPPED.search(end):
-        return "sound", None
-    if _UNFINISHED.search(end):
-        return "cut", None
-    if entry:
-        return "list", last_word(line[entry.end() :])
-    tail = [s for s in _SENTENCE.split(end) if s.strip()]
-    n = len(_units(end))
-    if len(tail) > 1 or n > SENTENCE_WORDS:
-        return "cut", None
-    return "short" if n <= SHORT_WORDS else "prose", last_word(end)
-
-
-def end_counts(texts: DataFrame) -> DataFrame:
-    """(kind, word, n_ends, n_all) over a one-column frame of texts, each distinct one once: how often a word ends a list entry or a sentence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ends: Counter = Counter()
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _count(text, ends, total)
-            if len(total) > 200_000:
-                yield _counted(ends, total)
-                ends.clear()
-                total.clear()
-        if total:
-            yield _counted(ends, total)
-
-    parts = map_partition(texts.distinct(), run, "kind string, word string, n_ends bigint, n_all bigint")
-    return parts.groupBy("kind", "word").agg(F.sum("n_ends").alias("n_ends"), F.sum("n_all").alias("n_all"))
-
-
-def _count(text: str, ends: Counter, total: Counter) -> None:
-    """Add the words of one text and those that end its entries and sentences."""
-    if len(text) < 200 and ending(text)[0] == "short":
-        _add("short", text, ends, total)
-        return
-    for line in _FENCE.sub("\n", text).split("\n"):
-        entry = _LIST.match(line)
-        kind, units = ("list", [line[entry.end() :]]) if entry else ("prose", _SENTENCE.split(line))
-        for unit in units:
-            _add(kind, unit, ends, total)
-
-
-def _add(kind: str, unit: str, ends: Counter, total: Counter) -> None:
-    keys = [(kind, w[-2:] if w[-1] >= "⺀" else w) for w in words(unit)]
-    if keys:
-        total.update(keys)
-        ends[keys[-1]] += 1
-
-
-def _counted(ends: Counter, total: Counter) -> dict:
-    keys = list(total)
-    return {"kind": [k for k, _ in keys], "word": [w for _, w in keys], "n_ends": [ends[k] for k in keys], "n_all": [total[k] for k in keys]}
-
-
 def judged(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_id", column: str = "messages") -> DataFrame:
-    """(conv_id, msg_idx, defect, kind, word, own_ends, own_all): the verdict on each assistant message, or how its end is to be judged and what its own text adds to the counts."""
+    """(conv_id, msg_idx, defect, <columns of ends.CONTEXT>): the verdict on each assistant message, or the context of its end."""
     shared = conversations.sparkSession.sparkContext.broadcast(model)
     kind = conversations.schema[conv_id].dataType.simpleString()
     source = conversations.select(
         F.col(conv_id).alias("conv_id"),
         F.transform(column, lambda m: F.struct(m.role.alias("role"), m.content.alias("content"), (F.coalesce(F.size(m.tool_calls), F.lit(0)) > 0).alias("calls"))).alias("m"),
     ).where("m is not null").distinct()
+    names = ("conv_id", "msg_idx", "defect", *ends.CONTEXT)
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
@@ -354,29 +277,23 @@ def judged(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_
                 if m["role"] == "user":
                     prompt = m["content"]
                 elif m["role"] == "assistant" and not m["calls"]:
-                    rows.append((cid, i, *_judge(m["content"], prompt, shared.value)))
-        return dict(zip(("conv_id", "msg_idx", "defect", "kind", "word", "own_ends", "own_all"), zip(*rows))) if rows else None
+                    defect = _defect(m["content"], prompt, shared.value)
+                    context = None if defect else ends.context(m["content"])
+                    rows.append((cid, i, defect, *(context or (None,) * len(ends.CONTEXT))))
+        return dict(zip(names, zip(*rows))) if rows else None
 
-    return map_batches(source, run, f"conv_id {kind}, msg_idx int, defect string, kind string, word string, own_ends bigint, own_all bigint")
+    return map_batches(source, run, f"conv_id {kind}, msg_idx int, defect string, {ends.CONTEXT_TYPES}")
 
 
-def _judge(text: str | None, prompt: str | None, model: LanguageModel) -> tuple[str | None, str | None, str | None, int | None, int | None]:
-    defect = (
+def _defect(text: str | None, prompt: str | None, model: LanguageModel) -> str | None:
+    """The defect that shows without the likelihood of the end."""
+    return (
         "empty" if is_empty(text)
         else "copy" if is_copy(text, prompt)
         else "refusal" if is_refusal(text)
         else "wrong_language" if is_other_language(text, prompt, model)
         else None
     )
-    kind, word = ("", None) if defect else ending(text)
-    if kind == "cut":
-        defect = "truncated"
-    if defect or not word or kind == "sound":
-        return defect, None, None, None, None
-    ends: Counter = Counter()
-    total: Counter = Counter()
-    _count(text, ends, total)
-    return None, kind, word, ends[kind, word], total[kind, word]
 
 
 def broken_pairs(conversations: DataFrame, model: LanguageModel, conv_id: str = "conv_id", column: str = "messages") -> DataFrame:
@@ -387,15 +304,9 @@ def broken_pairs(conversations: DataFrame, model: LanguageModel, conv_id: str =
     """
     verdicts = judged(conversations, model, conv_id, column)
     sure = verdicts.where("defect is not null").select("conv_id", "msg_idx", "defect")
-    texts = conversations.select(F.explode(F.col(column)).alias("m")).where("m.role in ('assistant', 'user') and m.content is not null").select(F.col("m.content").alias("t"))
-    prior = F.element_at(F.create_map(*(F.lit(x) for kv in PRIOR_END.items() for x in kv)), F.col("kind"))
-    # the counts hold each distinct text once, so a message's own text is in them once
-    others = lambda n, own: F.greatest(F.coalesce(n, F.lit(0)) - F.col(own), F.lit(0))
-    share = (others("n_ends", "own_ends") + PRIOR_WEIGHT * prior) / (others("n_all", "own_all") + PRIOR_WEIGHT)
-    open_ = (
-        verdicts.where("defect is null and word is not null")
-        .join(end_counts(texts), ["kind", "word"], "left")
-        .where((share < LEAST_END) & ~F.col("word").rlike(r"^\d+$"))
-        .select("conv_id", "msg_idx", F.lit("truncated").alias("defect"))
-    )
-    return sure.unionByName(open_).distinct()
+    said = conversations.select(F.explode(F.col(column)).alias("m")).where("m.role in ('assistant', 'user') and m.content is not null")
+    texts = said.select(F.col("m.content").alias("text"), ((F.col("m.role") == "assistant") & (F.coalesce(F.size("m.tool_calls"), F.lit(0)) < 1)).alias("ends"))
+    open_ = verdicts.where("defect is null and shape is not null")
+    cut = ends.unlikely(open_.select(*ends.CONTEXT).distinct(), ends.end_counts(texts))
+    found = open_.join(cut, list(ends.CONTEXT)).select("conv_id", "msg_idx", F.lit("truncated").alias("defect"))
+    return sure.unionByName(found).distinct()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from millrace.llm import pairs
+from millrace.llm import ends, pairs
 from millrace.llm.langid import LanguageModel, fit_language_model
 from millrace.sources.readers import MESSAGES
 
@@ -77,12 +77,51 @@ def test_languages(model):
     assert not wrong(TEXT["en"], f"why does the bridge of the town open?\n\n{TEXT['de']} {TEXT['de']}") and not wrong(TEXT["en"], f"{TEXT['fr']} {TEXT['fr']}\n\nwhy does the bridge of the town open?")
 
 
-@pytest.mark.parametrize(
-    "text,kind",
-    [("Done.", "sound"), ("Ja!”", "sound"), ("好。", "sound"), ("Use:\n```\nx", "cut"), ("```\nx\n```", "sound"), ("First, it was. Then we", "cut"), ("The steps are:", "cut"), ("A.\n1. open the gate\n2.", "cut"), ("A.\n1. open the gate\n2. close the gate", "list"), ("the gate", "short"), ("my very long answer without any stop at all goes", "prose"), ("如果太罕见，", "cut")],
-)
-def test_endings(text, kind):
-    assert pairs.ending(text)[0] == kind
+def sound_talk(n, first):
+    """Conversations whose answers are whole: sentences, list entries, short answers."""
+    rng = random.Random(n)
+    things = ["gate", "bridge", "market", "zwieback", "lantern", "village", "school", "harbour"]
+    pick = lambda: rng.choice(things)
+    out = []
+    for i in range(n):
+        sentences = " ".join(f"{rng.choice(['The', 'A', 'Then the'])} {pick()} of the {pick()} opens its {pick()} {i} times, and so does the {pick()}." for _ in range(3))
+        entries = "\n".join(f"- {rng.choice(['open', 'close', 'warm'])} the {rng.choice(['red', 'blue'])} {pick()}" for _ in range(3))
+        answer = sentences if i % 3 == 0 else f"{sentences}\n{entries}" if i % 3 == 1 else f"the {pick()}"
+        out.append((first + i, [{"role": "user", "content": f"why is number {i} open, and which {pick()} would you close?"}, {"role": "assistant", "content": answer}]))
+    return out
+
+
+CUT_ENDS = [
+    "The gate of the school opens. Then the", "The gate of the school opens,", "the zwieb", "The gate opens. The bridge opens its mark", "The gate opens.\n- open the red gate\n- close the", "The gate opens.\n- open the red gate\n-",
+    "The gate opens.\n- open the red gate\n- warm the blue zwieb",
+]
+WHOLE_ENDS = ["the village", "both", "12", "The gate of the bridge opens its market.", "The gate opens.\n- open the red gate\n- warm the blue school"]
+
+
+def test_ends_are_judged_by_their_likelihood(spark):
+    sound = [m["content"] for _, ms in sound_talk(4000, 0) for m in ms]
+    texts = spark.createDataFrame([(t, not t.startswith("why")) for t in [*sound, *CUT_ENDS, *WHOLE_ENDS] + CUT_ENDS[:1] * 50], "text string, ends boolean")
+    of = {t: ends.context(t) for t in CUT_ENDS + WHOLE_ENDS}
+    kind = f"t string, {ends.CONTEXT_TYPES}"
+    got = ends.unlikely(spark.createDataFrame([(t, *c) for t, c in of.items()], kind).drop("t").distinct(), ends.end_counts(texts)).collect()
+    found = {repr(tuple(r)) for r in got}
+    assert {t for t, c in of.items() if repr(tuple(c)) in found} == set(CUT_ENDS)
+
+
+def test_places_in_a_text():
+    tokens, shapes, whole = ends.walk("The gate opens. Now\n1. open it\n2.\n```\nx = 1\n```\n好的。")
+    assert list(zip(tokens, shapes, whole)) == [
+        ("the", "short", False), ("gate", "short", False), ("opens", "short", True), (".", "short", True), ("now", "more", True),
+        ("1", "mark", False), (".", "mark", False), ("open", "list", False), ("it", "list", True), ("2", "mark", False), (".", "mark", True),
+        ("```", "code", True), ("x", "code", False), ("=", "code", False), ("1", "code", True), ("```", "more", True), ("好", "more", False), ("的", "more", True), ("。", "more", True),
+    ]
+    assert ends.context("") is None and ends.context(" \n") is None and ends.context("Done.”")[4:7] == (["prose"], "done", ".") and ends.context("x" * 1000)[6].startswith("#")
+    assert ends.context("open the gate") == ("short", "w", "w", "w", ["prose", "short"], "the", "gate", 1, 1, 1, 1)
+
+
+@pytest.mark.parametrize("text", [f"{QUESTION}\n{QUESTION}", f"{QUESTION} {QUESTION} {QUESTION}"])
+def test_repeated_questions_are_copies(text):
+    assert pairs.is_copy(text, QUESTION) and not pairs.is_copy(text + "\nYou stop the cache first, then wait until it has written all.", QUESTION)
 
 
 def test_tables(spark, model):
@@ -98,6 +137,7 @@ def test_tables(spark, model):
         (108, [{"role": "assistant", "content": None, "tool_calls": [{"id": "c", "type": "f", "function": {"name": "n", "arguments": ""}}]}]),
     ]
     rows.append(rows[31])
+    rows += sound_talk(4000, 1000)
     df = spark.createDataFrame([(i, m, "clash") for i, m in rows], f"conv_id bigint, messages {MESSAGES}, defect string")
     got = {tuple(r) for r in pairs.broken_pairs(df, model).collect()}
     assert got == {(100, 1, "empty"), (101, 1, "copy"), (101, 2, "refusal"), (102, 1, "truncated"), (103, 2, "truncated")}
@@ -108,8 +148,8 @@ def test_copies_of_a_cut_end_do_not_vouch_for_it(spark, model):
     def talk(question, answer):
         return [{"role": "user", "content": question}, {"role": "assistant", "content": answer}]
 
-    cut = "You open the gate.\n- open the zwi\n- close the zwi"
-    sound = [(i, talk(f"why is gate {i} open?", f"You open gate {i}. Keep in mind:\n- open the red gate\n- close the blue gate")) for i in range(5)]
+    cut = "You open the gate.\n- open the zwieb\n- close the zwieb"
+    sound = sound_talk(4000, 1000)
     again = [(100, talk("why?", cut)), (100, talk("why?", cut) + talk("and then?", "Nothing.")), *((200 + i, talk(f"how about gate {i}?", cut)) for i in range(40))]
     for rows in ([(100, talk("why?", cut))], again):
         df = spark.createDataFrame(sound + rows, f"conv_id bigint, messages {MESSAGES}")
