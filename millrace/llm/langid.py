@@ -90,16 +90,24 @@ class LanguageModel:
 
     def scores(self, ws: list[str]) -> np.ndarray:
         """Log likelihoods of the words together."""
-        if not ws or not self.langs:
-            return np.zeros(len(self.langs))
-        total = np.zeros(len(self.langs))
+        return self.scores_and_likeliest(ws)[0]
+
+    def scores_and_likeliest(self, ws: list[str]) -> tuple[np.ndarray, float]:
+        """Log likelihoods of the words together, and their sum with each word in its likeliest language."""
+        total, likeliest = np.zeros(len(self.langs)), 0.0
+        if not self.langs:
+            return total, likeliest
         for i in range(0, len(ws), 50_000):
             part = ws[i : i + 50_000]
             if len(self._known) + len(part) > _REMEMBERED:
                 self._known.clear()
-            at = [self._at(w) for w in part]
-            total += self._rows[at].sum(axis=0)
-        return total
+            at = list(map(self._known.get, part))
+            if None in at:
+                at = list(map(self._at, part))
+            rows = self._rows[at]
+            total += rows.sum(axis=0)
+            likeliest += float(rows.max(axis=1).sum())
+        return total, likeliest
 
     def posterior(self, ws: list[str]) -> dict[str, float]:
         """Probability of each language, with equal priors."""

@@ -3,13 +3,17 @@
 Two passes read the texts. The first counts, for every language, in how many distinct texts a word occurs;
 the most frequent ones are the common words. The second computes the statistics, a narrow table that is
 written once. Mean and covariance of prose are then estimated for every language over all distinct texts
-of the prose domains, so that no number of copies makes a text the norm: the start is the statistics'
-medians and median deviations, and moments are then taken over the plausible documents and those within
-the expected distance, so junk doesn't shift them. Languages with few documents lean on the covariance of all together.
+of the prose domains, so that no number of copies makes a text the norm:
 
-A document's distance uses deviations in the direction of junk only (fewer common words, more
-symbols and so on): prose with unusually many common words is no junk. The statistics'
-contributions add up to the squared distance.
+* Statistics that are shares or counts are put on a scale on which prose is about normal (``STATS``).
+* The start is each language's medians with the spread of all; then, a few times, the part ``CORE`` of all texts nearest to
+  the last fit gives the next one (concentration steps), so junk has no part in it while it is less than the rest.
+* A language's covariance is shrunk towards that of all languages, the more the fewer texts it has; languages with hardly
+  any take mean and covariance of all.
+
+Nothing bounds a deviation: how far each statistic may stray, and with which others, is learned. The threshold is
+learned too: the logarithms of squared distances are about normal, and what lies ``CUT`` robust deviations
+above their median isn't natural prose. The statistics' contributions add up to the squared distance.
 """
 
 from __future__ import annotations
@@ -29,30 +33,35 @@ from ..session import materialise
 from .langid import LanguageModel
 from .words import words
 
-#: The statistics and the direction in which junk deviates from prose.
+#: The statistics, and the scale each is judged on.
 STATS = {
-    "mean_word_length": 1,
-    "symbol_ratio": 1,
-    "digit_ratio": 1,
-    "punct_line_share": -1,
-    "common_share": -1,
-    "common_variety": -1,
-    "separator_rate": 1,
-    "repetition": 1,
-    "strangeness": 1,
+    "n_words": np.log1p,
+    "mean_word_length": np.log1p,
+    "symbol_ratio": np.sqrt,
+    "digit_ratio": np.sqrt,
+    "punct_line_share": lambda x: np.arcsin(np.sqrt(np.clip(x, 0, 1))),
+    "common_share": lambda x: np.arcsin(np.sqrt(np.clip(x, 0, 1))),
+    "common_variety": np.log1p,
+    "separator_rate": np.log1p,
+    "repetition": np.sqrt,
+    "strangeness": np.log1p,
 }
 #: Common words per language, and the least share of a language's documents that have such a word.
 COMMON_WORDS, COMMON_SHARE = 50, 0.02
-#: Squared distance from which a text isn't natural prose.
-THRESHOLD = 45.0
-#: Documents a language's covariance must have to count as much as that of all languages.
-SHRINK_DOCS = 200
-#: Documents a language must have for a mean of its own, and the squared distance by the common start up to which they count.
-OWN_DOCS, PLAUSIBLE = 20, 60.0
+#: Robust standard deviations of the log squared distance above its median from which a text isn't natural prose (about one normal value in 10,000).
+CUT = 3.72
+#: Share of the texts nearest to the fit that give the next one, and how often.
+CORE, STEPS = 0.85, 3
+#: Documents a language's covariance must have to count as much as that of all languages, and for a mean of its own.
+SHRINK_DOCS, OWN_DOCS = 100, 20
+#: Least variance of a statistic, for those (nearly) constant in prose: this part of the sampling variance 1/(4 n) of a share of n words or characters on its scale.
+SAMPLING, _LEAST_VARIANCE = 0.25, 1e-8
+_SHARES = {"symbol_ratio": "chars", "digit_ratio": "chars", "common_share": "words", "separator_rate": "words", "repetition": "words"}
 PROSE_DOMAINS = ("web_edu", "web_dclm", "cosmopedia", "qa_stackexchange")
 
 _END = re.compile(r"[.!?。！？…:;：；]+[\"'”’»)\]*_`」』]*$")
 _SOFT = frozenset(".,;:!?'\"()-–—…’‘“”„«»¿¡。，、！？；：（）「」『』《》·")
+_CJK = re.compile("[⺀-\U0003ffff]")
 _SEPARATOR = re.compile(r"[,;|/\\=:、，]|\t| {2,}|\.{3,}|-{2,}|(?m:^\s*(?:[-*•+]|\d+[.)])\s)|(?m:[^.!?。！？…\s]\s*$)")
 
 
@@ -70,9 +79,10 @@ def units(ws: list[str]) -> list[str]:
 
 
 def statistics(text: str, common: frozenset[str], model: LanguageModel) -> tuple:
-    """(language, n_words, then the values of STATS)."""
+    """(language, then the values of STATS)."""
     ws = words(text)
-    us = units(ws)
+    dense = _CJK.search(text) is not None  # has scripts without blanks
+    us = units(ws) if dense else ws
     n = len(us)
     solid = "".join(text.split())
     size = max(1, len(solid))
@@ -87,23 +97,23 @@ def statistics(text: str, common: frozenset[str], model: LanguageModel) -> tuple
         elif c in _SOFT or not c.isprintable():
             soft += k
     plain = [w for w in ws if not w.isdigit()]
-    scores = model.scores(plain)
+    scores, likeliest = model.scores_and_likeliest(plain)
     best = int(np.argmax(scores)) if len(scores) and plain else -1
-    n_grams = sum(2 * len(w) - 1 if w[0] >= "⺀" else 4 * len(w) + 2 for w in plain)
-    hits = [u for u in us if u in common]
-    threes = list(zip(us, us[1:], us[2:]))
+    n_grams = sum(2 * len(w) - 1 if w[0] >= "⺀" else 4 * len(w) + 2 for w in plain) if dense else 4 * len("".join(plain)) + 2 * len(plain)
+    hits = list(filter(common.__contains__, us))
+    threes = set(zip(us, us[1:], us[2:]))
     return (
         model.langs[best] if best >= 0 else None,
         len(ws),
-        sum(map(len, ws)) / max(1, len(ws)),
+        len("".join(ws)) / max(1, len(ws)),
         (len(solid) - letters - digits - soft) / size,
         digits / size,
-        sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
+        sum(map(bool, map(_END.search, lines))) / max(1, len(lines)),
         len(hits) / max(1, n),
         len(set(hits)) / math.sqrt(max(1, n)),
         len(_SEPARATOR.findall(text)) / max(1, n),
-        1 - len(set(threes)) / max(1, len(threes)) if threes else 0.0,
-        float(-scores[best]) / max(1, n_grams) if best >= 0 else 12.0,
+        1 - len(threes) / max(1, n - 2) if threes else 0.0,
+        -likeliest / max(1, n_grams) if best >= 0 else 12.0,
     )
 
 
@@ -123,7 +133,7 @@ def common_words(docs: DataFrame, model: LanguageModel, text: str) -> frozenset[
                 lang = model_best(shared.value, ws)
                 if lang is not None:
                     size[lang] += 1
-                    seen.setdefault(lang, Counter()).update({u for u in units(ws) if not u.isdigit()})
+                    seen.setdefault(lang, Counter()).update({u for u in (units(ws) if _CJK.search(t) else ws) if not u.isdigit()})
             if sum(map(len, seen.values())) > 200_000:
                 yield _flat(seen, size)
                 seen, size = {}, Counter()
@@ -151,13 +161,13 @@ def _flat(seen: dict[str, Counter], size: Counter) -> dict:
 
 
 def text_statistics(docs: DataFrame, keep: list[str], common: frozenset[str], model: LanguageModel, text: str = "text") -> DataFrame:
-    """The columns ``keep``, lang, n_words and the statistics of every non-null text.
+    """The columns ``keep``, lang and the statistics of every non-null text; strangeness is the mean cost of an n-gram, each word in its likeliest language.
 
     Without words there is no language, and what has nothing to be computed from is 0; repeated rows give repeated rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((common, model))
-    names = ["lang", "n_words", *STATS]
-    kinds = ["string", "bigint", *["double"] * len(STATS)]
+    names = ["lang", *STATS]
+    kinds = ["string", "bigint", *["double"] * (len(STATS) - 1)]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {k}" for n, k in zip(names, kinds)])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -167,124 +177,158 @@ def text_statistics(docs: DataFrame, keep: list[str], common: frozenset[str], mo
     return map_batches(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text"), *keep), run, schema)
 
 
+def scaled(columns: list[np.ndarray]) -> np.ndarray:
+    """The statistics, in the order of ``STATS``, on their scales: a row a text."""
+    return np.column_stack([f(np.asarray(c, float)) for f, c in zip(STATS.values(), columns)])
+
+
 class ProseModel:
-    """Mean and inverse covariance of prose per language; "" stands for languages without an own one."""
+    """Mean and inverse covariance of prose per language ("" for languages without an own one), and the threshold of the squared distance."""
 
-    def __init__(self, by_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.by_lang = by_lang
+    def __init__(self, by_lang: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float = math.inf) -> None:
+        self.by_lang, self.threshold = by_lang, threshold
 
-    def contributions(self, lang: str | None, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-        """Each statistic's part of the squared distance; they are never negative in sum."""
-        mean, inverse = self.by_lang.get(lang or "", self.by_lang[""])
-        z = x - mean
-        z = np.where(signs == 0, z, np.where(z * signs > 0, z, 0.0))
-        return z * (inverse @ z)
+    def contributions(self, langs: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Each statistic's part of the squared distance of each row; a row's sum is never negative."""
+        out = np.zeros(x.shape)
+        if self.by_lang:
+            for lang in set(langs.tolist()):
+                own = langs == lang
+                mean, inverse = self.by_lang.get(lang, self.by_lang[""])
+                z = x[own] - mean
+                out[own] = z * (z @ inverse)
+        return out
 
 
-_SIGNS = np.array(list(STATS.values()), float)
-#: Least standard deviation of each statistic, so that a statistic nearly constant in prose doesn't decide alone.
-_LEAST = np.array([4.0, 0.02, 0.05, 0.3, 0.05, 0.25, 0.06, 0.09, 0.5])
+def _least_variances(middle: np.ndarray) -> np.ndarray:
+    """The least variance of each statistic, for texts of the length of ``middle``, the medians on their scales."""
+    words, length = (max(1.0, float(np.expm1(middle[i]))) for i in range(2))
+    n = {"words": words, "chars": words * length}
+    return np.array([SAMPLING / (4 * n[_SHARES[c]]) if c in _SHARES else _LEAST_VARIANCE for c in STATS])
 
 
 def prose_model(stats: DataFrame, text_key: str | None = None) -> ProseModel:
-    """The robust fit over all rows of ``stats``; languages x statistics squared numbers come to the driver.
-
-    Rows that agree in ``text_key``, a hash of the text, count once.
+    """The robust fit over all rows of ``stats`` with words; languages x statistics squared numbers come to the driver.
 
-    It starts from the medians and median deviations of all documents, whatever their language, so a language
-    that hardly has prose (noise that looks like it) can't make its junk the norm: only documents plausible by
-    that start count, and a language with few of them keeps the model of all.
+    Rows that agree in ``text_key``, a hash of the text, count once. With fewer than ``OWN_DOCS`` rows there is no
+    fit: all distances are 0 and the threshold infinite.
     """
     names = list(STATS)
-    rows = stats.where("lang is not null")
-    if text_key is not None:
-        # copies meet map-side; all statistics follow from the text
-        rows = materialise(rows.select(text_key, "lang", *names).distinct(), "p2-distinct")
-    median = lambda df: df.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names)).first()
-    middle = median(rows)
-    if middle[0] is None:
-        return ProseModel({"": (np.zeros(len(names)), np.diag(1 / _LEAST**2))})
-    center = np.array(list(middle), float)
-    spread = 1.4826 * np.array(list(median(rows.select(*(F.abs(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(names, center))))), float)
-    start = ProseModel({"": (center, np.diag(1 / np.maximum(spread, _LEAST) ** 2))})
-    near = len(names) + 3 * math.sqrt(2 * len(names))
-    first = _estimate(_moments(rows, start, start, PLAUSIBLE), start)
-    return _estimate(_moments(rows, start, first, near), first)
-
-
-def _moments(rows: DataFrame, start: ProseModel, model: ProseModel, cut: float) -> dict[str, np.ndarray]:
-    """Per language the sums of 1, x and x x' over the documents plausible by ``start`` and within ``cut`` of ``model``, flattened."""
-    shared = rows.sparkSession.sparkContext.broadcast((start, model))
+    key = [text_key] if text_key is not None else []
+    kinds = ", ".join(["lang string", *(f"`{n}` double" for n in names)])
+
+    def scale(batch: pa.RecordBatch) -> dict:
+        x = scaled([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+        return {"lang": batch.column(0)} | dict(zip(names, x.T))
+
+    rows = stats.where("lang is not null").select(*key, "lang", *names)
+    # copies meet map-side; all statistics follow from the text
+    rows = materialise(map_batches((rows.distinct() if key else rows).select("lang", *names), scale, kinds), "p2-scaled")
+    middles = rows.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(n, 0.5, 1000).alias(n) for n in names)).collect()
+    if sum(r["n"] for r in middles) < OWN_DOCS:
+        return ProseModel({})
+    means = {r["lang"]: np.array([r[n] for n in names], float) for r in middles}
+    whole = sum(r["n"] * means[r["lang"]] for r in middles) / sum(r["n"] for r in middles)
+    centre = {r["lang"]: means[r["lang"]] if r["n"] >= OWN_DOCS else whole for r in middles}
+    shared = rows.sparkSession.sparkContext.broadcast(centre)
+
+    def deviations(batch: pa.RecordBatch) -> dict:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+        off = np.abs(x - np.array([shared.value[lang] for lang in batch.column(0).to_pylist()]))
+        return {"lang": batch.column(0)} | dict(zip(names, off.T))
+
+    # a normal value is within 0.674 deviations half the time, and within 1.44 in 85 of 100 cases
+    at = map_batches(rows, deviations, kinds).agg(*(F.percentile_approx(n, [0.5, 0.85], 1000).alias(n) for n in names)).first()
+    spread = np.array([max(at[n][0] / 0.674, at[n][1] / 1.44) for n in names])
+    least = {lang: _least_variances(m) for lang, m in centre.items()} | {"": _least_variances(whole)}
+    start = {lang: np.diag(1 / np.maximum(spread**2, v)) for lang, v in least.items()}
+    model = ProseModel({lang: (mean, start[lang]) for lang, mean in (centre | {"": whole}).items()})
+    for _ in range(STEPS):
+        cut = distances(rows, model).agg(F.percentile_approx("d", CORE, 1000)).first()[0]
+        model = _estimate(_moments(rows, model, cut), model, least)
+    low, mid, high = distances(rows, model).agg(F.percentile_approx(F.log(F.col("d") + 1e-9), [0.25, 0.5, 0.75], 1000)).first()[0]
+    model.threshold = math.exp(mid + CUT * max(high - low, 0.1) / 1.349)  # a normal distribution's middle half is 1.349 deviations wide
+    return model
+
+
+def distances(rows: DataFrame, model: ProseModel) -> DataFrame:
+    """(d): the squared distance of each row (lang, <scaled statistics>)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+        return {"d": shared.value.contributions(np.array(batch.column(0).to_pylist()), x).sum(axis=1)}
+
+    return map_batches(rows, run, "d double")
+
+
+def _moments(rows: DataFrame, model: ProseModel, cut: float) -> dict[str, np.ndarray]:
+    """Per language the sums of 1, x and x x' over the texts within ``cut`` of ``model``, flattened."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     k = len(STATS)
 
     def part(batch: pa.RecordBatch) -> dict | None:
-        start, model = shared.value
         langs = np.array(batch.column(0).to_pylist())
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-        good = np.array([start.contributions("", row, _SIGNS).sum() <= PLAUSIBLE for row in x])
+        good = shared.value.contributions(langs, x).sum(axis=1) <= cut
         out = []
         for lang in set(langs.tolist()):
             own = x[good & (langs == lang)]
-            if model is not start:
-                mean, inverse = model.by_lang.get(lang, model.by_lang[""])
-                z = own - mean
-                own = own[np.einsum("ij,jk,ik->i", z, inverse, z) <= cut]
             flat = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
             out += [(lang, i, v) for i, v in enumerate(flat.tolist())]
         return dict(zip(("lang", "i", "v"), zip(*out))) if out else None
 
-    total = map_batches(rows.select("lang", *STATS), part, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    total = map_batches(rows, part, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     sums: dict[str, np.ndarray] = {}
     for r in total.collect():
         sums.setdefault(r[0], np.zeros(1 + k + k * k))[r[1]] = r[2]
     return sums
 
 
-def _estimate(sums: dict[str, np.ndarray], last: ProseModel) -> ProseModel:
-    """Means and inverse covariances of the sums; without enough documents the last model stays."""
+def _estimate(sums: dict[str, np.ndarray], last: ProseModel, least: dict[str, np.ndarray]) -> ProseModel:
+    """Means and inverse covariances of the sums; a language without enough texts takes those of all."""
     k = len(STATS)
-    parts = {}
-    for lang, s in sums.items():
-        if s[0] > 0:
-            mean = s[1 : 1 + k] / s[0]
-            parts[lang] = (s[0], mean, s[1 + k :].reshape(k, k) / s[0] - np.outer(mean, mean))
-    weight = sum(p[0] for p in parts.values())
-    if weight < OWN_DOCS:
+
+    def fit(s: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        mean = s[1 : 1 + k] / s[0]
+        return s[0], mean, s[1 + k :].reshape(k, k) / s[0] - np.outer(mean, mean)
+
+    parts = {lang: fit(s) for lang, s in sums.items() if s[0] >= OWN_DOCS}
+    if not parts:
         return last
-    pooled = sum(p[0] * p[2] for p in parts.values()) / weight
-    out = {"": (sum(p[0] * p[1] for p in parts.values()) / weight, _inverse(pooled))}
-    for lang, (n, mean, cov) in parts.items():
-        if n >= OWN_DOCS:
-            out[lang] = (mean, _inverse((n * cov + SHRINK_DOCS * pooled) / (n + SHRINK_DOCS)))
+    within = sum(n * cov for n, _, cov in parts.values()) / sum(n for n, _, _ in parts.values())
+    _, mean, cov = fit(sum(s for s in sums.values()))
+    out = {"": (mean, _inverse(cov, least[""]))}
+    for lang, (n, own, cov) in parts.items():
+        out[lang] = (own, _inverse((n * cov + SHRINK_DOCS * within) / (n + SHRINK_DOCS), least[lang]))
     return ProseModel(out)
 
 
-def _inverse(cov: np.ndarray) -> np.ndarray:
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    scale = np.maximum(sd, _LEAST)
-    corr = cov / np.outer(sd, sd)
-    corr = 0.9 * corr + 0.1 * np.eye(len(sd))  # keeps it well conditioned
-    return np.linalg.inv(corr * np.outer(scale, scale))
+def _inverse(cov: np.ndarray, least: np.ndarray) -> np.ndarray:
+    own = np.diag(cov)
+    return np.linalg.inv(cov + np.diag(np.maximum(least - own, 1e-6 * own)))
+
 
+def judged(stats: DataFrame, model: ProseModel) -> DataFrame:
+    """``stats`` with distance2, contributions (a map by statistic) and verdict: prose, junk (a list, table or junk), or empty for a text without anything to judge.
 
-def judged(stats: DataFrame, model: ProseModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``stats`` with distance2, contributions (a map by statistic) and verdict: prose, list, table, junk, or empty for a text without anything to judge."""
+    What has symbols but no word is junk.
+    """
     shared = stats.sparkSession.sparkContext.broadcast(model)
     names = list(STATS)
 
     def run(batch: pa.RecordBatch) -> dict:
         at = {n: i for i, n in enumerate(batch.schema.names)}
-        x = np.column_stack([batch.column(at[c]).to_numpy(zero_copy_only=False) for c in names])
-        each = [shared.value.contributions(lang, row, _SIGNS) for lang, row in zip(batch.column(at["lang"]).to_pylist(), x)]
-        out = {n: batch.column(i) for n, i in at.items()}
-        return out | {"distance2": [float(c.sum()) for c in each], "contributions": [list(zip(names, c.tolist())) for c in each]}
+        x = scaled([batch.column(at[c]).to_numpy(zero_copy_only=False) for c in names])
+        langs = np.array([lang or "" for lang in batch.column(at["lang"]).to_pylist()])
+        each = shared.value.contributions(langs, x)
+        maps = pa.MapArray.from_arrays(np.arange(len(x) + 1) * len(names), pa.array(names * len(x), pa.string()), pa.array(each.ravel(), pa.float64()))
+        return {n: batch.column(i) for n, i in at.items()} | {"distance2": each.sum(axis=1), "contributions": maps}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + ", distance2 double, contributions map<string,double>"
-    return map_batches(stats, run, schema).withColumn("verdict", _verdict(threshold))
+    return map_batches(stats, run, schema).withColumn("verdict", _verdict(model.threshold))
 
 
 def _verdict(threshold: float) -> Column:
-    table = (F.col("separator_rate") > 0.3) & (F.col("digit_ratio") > 0.12) & (F.col("n_words") > 0)
-    items = (F.col("separator_rate") > 0.2) & (F.col("symbol_ratio") < 0.25) & (F.col("digit_ratio") < 0.3)
-    empty = (F.col("n_words") == 0) & (F.col("symbol_ratio") == 0) & (F.col("digit_ratio") == 0) & (F.col("punct_line_share") == 0)
-    return F.when(empty, "empty").when(F.col("distance2") <= threshold, "prose").when(table, "table").when(items, "list").otherwise("junk")
+    blank = (F.col("n_words") == 0) & (F.col("symbol_ratio") == 0) & (F.col("digit_ratio") == 0) & (F.col("punct_line_share") == 0)
+    return F.when(blank, "empty").when((F.col("n_words") > 0) & (F.col("distance2") <= threshold), "prose").otherwise("junk")

@@ -35,29 +35,34 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _judged_prose(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The statistics of all records, and those of the prose domains with their verdicts."""
+def _in_prose_domain():
+    return F.coalesce(F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS), F.lit(False))
+
+
+def _statistics(spark: SparkSession, root: str, prose_only: bool) -> DataFrame:
+    """The statistics of all records, or of those in the prose domains."""
     records = table(spark, root, "corpus_records").where("text is not null")
     records = records.withColumn("source", mixing.source_name(F.col("source"), F.col("id")))
-    prose = F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS)
     model = langid.fit_language_model(table(spark, root, "documents").where(F.col("domain").isin(*quality.PROSE_DOMAINS)))
-    common = quality.common_words(records.where(prose), model, "text")
-    hashed = records.withColumn("text_hash", F.md5("text"))
-    stats = materialise(quality.text_statistics(hashed, ["id", "source", "text_hash"], common, model), "p2-stats")
-    fitted = quality.prose_model(stats.where(prose), "text_hash")
-    stats = stats.drop("text_hash")
-    return stats, quality.judged(stats.where(prose), fitted)
+    prose = records.where(_in_prose_domain())
+    common = quality.common_words(prose, model, "text")
+    hashed = (prose if prose_only else records).withColumn("text_hash", F.md5("text"))
+    return materialise(quality.text_statistics(hashed, ["id", "source", "text_hash"], common, model), "p2-stats")
+
+
+def _judged_prose(stats: DataFrame) -> DataFrame:
+    prose = stats.where(_in_prose_domain())
+    return quality.judged(prose.drop("text_hash"), quality.prose_model(prose, "text_hash"))
 
 
 def p2_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Every text with its statistics; verdict, distance and contributions in the prose domains."""
-    stats, judged = _judged_prose(spark, root)
-    others = stats.where(~F.coalesce(F.substring_index("id", "/", 1).isin(*quality.PROSE_DOMAINS), F.lit(False)))
-    return judged.unionByName(others, allowMissingColumns=True)
+    stats = _statistics(spark, root, False)
+    return _judged_prose(stats).unionByName(stats.where(~_in_prose_domain()).drop("text_hash"), allowMissingColumns=True)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return _judged_prose(spark, root)[1].where("verdict in ('list', 'table', 'junk')").select("id").distinct()
+    return _judged_prose(_statistics(spark, root, True)).where("verdict = 'junk'").select("id").distinct()
 
 
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
