@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_batches
+from ..session import materialise
 from . import ends
 from .langid import LanguageModel
 from .words import WORD, words
@@ -302,7 +303,8 @@ def broken_pairs(conversations: DataFrame, model: LanguageModel, conv_id: str =
     Null message lists and null messages are skipped, a missing or null prompt is compared with nothing,
     null content is empty. Messages of other roles and with tool calls are never judged.
     """
-    verdicts = judged(conversations, model, conv_id, column)
+    # written, as the likelihood reads the contexts and the verdicts
+    verdicts = materialise(judged(conversations, model, conv_id, column), "p3-verdicts")
     sure = verdicts.where("defect is not null").select("conv_id", "msg_idx", "defect")
     said = conversations.select(F.explode(F.col(column)).alias("m")).where("m.role in ('assistant', 'user') and m.content is not null")
     texts = said.select(F.col("m.content").alias("text"), ((F.col("m.role") == "assistant") & (F.coalesce(F.size("m.tool_calls"), F.lit(0)) < 1)).alias("ends"))
