@@ -1,16 +1,19 @@
 """Problem 9: text garbled by a wrong character encoding, found and restored by round trips.
 
-A garbling cost is learned from all documents: the joint frequency of neighbouring characters, of
-which garbled ones are a small part (a conditional frequency would hide them, as garbled characters
-follow one another regularly too). Each distinct text counts once, so that no number of copies makes
-its own garbled pairs look usual. A token, the text between blanks, of low cost is sound. Others are
+A garbling cost is learned from all documents: minus the logarithm of the frequency of neighbouring
+characters, of which garbled ones are a small part. Each distinct text counts once, so that no number of
+copies makes its own garbled pairs look usual. Pairs of letters of one script other than Latin are
+counted against their script alone, so that a language costs the same whatever its share of the documents; all others against
+everything, as a frequency given the character before would hide garbled ones, which follow one another regularly too.
+
+A token, the text between blanks, without a costly pair is sound. Others are
 taken back: encoded in a legacy encoding, decoded strictly in an intended one. Of the pairs of
-encodings the one wins whose repairs lower the cost of the text most; its repairs are accepted where
-the cost of the token drops clearly and what comes out is as sound as text usually is. This is repeated
-for nested layers.
+encodings the one wins whose repairs lower the cost of the text most. It is then applied to the whole stretch from the first to the last of
+these tokens, and beyond it as far as the cost doesn't rise. This is repeated for nested layers until no
+pair of encodings lowers the cost.
 
-Characters that only wrong decoding leaves behind (replacement characters, C1 controls) make a text a
-case even where nothing can be restored. A sequence quoted as a topic, near the very character it
+What only wrong decoding leaves behind (replacement characters, C1 controls) costs as much as a pair never seen; a text
+with such a cost left is a case even where nothing can be restored. A sequence quoted as a topic, near the very character it
 stands for, is none.
 """
 
@@ -20,6 +23,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_batches, map_partition
+from ..session import materialise
 
-#: Pairs of characters the cost model keeps, most frequent first; rarer ones cost as much as unseen ones.
+#: Pairs of characters the cost model keeps for each script, most frequent first; rarer ones cost as much as half the least frequent kept.
 MODEL_PAIRS = 400_000
-#: Mean cost (nats a pair of characters) up to which a token is only tried as UTF-8, and up to which a repair is sound.
-LOOK, SOUND = 8.0, 12.5
+#: Cost (nats) of a pair of characters up to which a token is only tried as UTF-8, and mean cost up to which a repair is sound.
+LOOK, SOUND = 10.5, 12.5
 #: Cost a token must lose, and a text in all; single-byte swaps, which have no structure to prove them, more.
-TOKEN_DROP, TEXT_DROP, SWAP_DROP = 2.5, 2.5, 14.0
+TOKEN_DROP, TEXT_DROP, SWAP_TOKEN_DROP, SWAP_DROP = 2.5, 2.5, 4.5, 14.0
 #: Letters a token must have to be evidence of a single-byte swap.
 SWAP_LETTERS = 3
-LAYERS = 4
+#: Share of the tokens of a stretch a swap must make cheaper.
+SWAP_AGREED = 0.75
 #: How far from a quoted sequence the character it stands for may be.
 QUOTE_CHARS = 60
 _REMEMBERED = 100_000
@@ -54,8 +61,9 @@ UTF8_PAIRS = tuple(p for p in PAIRS if p[1] == "utf-8")
 _RUN = re.compile(r"[^\x00-\x7f]{2}")
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-_C1 = re.compile("[\x80-\x84\x86-\x9f]")
-_REPLACEMENT = "�"
+#: What only wrong decoding leaves behind: C1 controls and the replacement character.
+_LEFT_BEHIND = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
+_REPLACEMENT = "\ufffd"
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣]")
 #: Not what strict decoding of sound text gives: Latin letters grown together with others, private or half-width characters.
 _ODD = re.compile("[A-Za-z][぀-ヿ㐀-鿿가-힣Ѐ-ӿͰ-Ͽ]|[぀-ヿ㐀-鿿가-힣Ѐ-ӿͰ-Ͽ][A-Za-z]|[\ue000-\uf8ff\uff61-\uff9f]")
@@ -107,58 +115,107 @@ def round_trip(text: str, legacy: str, intended: str) -> str | None:
         return None
 
 
-class CostModel:
-    """The garbling cost: minus the log of joint frequencies of neighbouring characters."""
+#: Scripts whose pairs of letters are counted apart.
+_SCRIPTS = (("Ͱ", "Ͽ"), ("Ѐ", "ԯ"), ("԰", "֏"), ("֐", "׿"), ("؀", "ۿ"), ("ऀ", "\u0dff"), ("฀", "\u0eff"), ("Ⴀ", "ჿ"), ("⺀", "ꓯ"), ("가", "힣"), ("豈", "\ufaff"))
+
+#: About how many letters a script has in use, if not 100.
+_LETTERS = {9: 3000, 10: 2000, 11: 3000}
+
 
-    def __init__(self, pairs: dict[str, int], total: int) -> None:
-        self.pairs, self.total = pairs, max(1, total)
-        self._start()
+def script(pair: str) -> int:
+    """The script both characters of a pair are letters of, or 0 for Latin, mixed and other pairs."""
+    a, b = pair
+    if a < "Ͱ" or b < "Ͱ" or not (a.isalpha() and b.isalpha()):
+        return 0
+    for i, (low, high) in enumerate(_SCRIPTS, 1):
+        if low <= a <= high:
+            return i if low <= b <= high else 0
+    return 0
 
-    def _start(self) -> None:
-        self._cost: dict[str, float] = {}
+
+class CostModel:
+    """The garbling cost: ``pairs`` has the count of each pair kept, ``totals`` of each script all occurrences and the least count kept (0 for all)."""
+
+    def __init__(self, pairs: dict[str, int], totals: dict[int, tuple[int, int]]) -> None:
+        log = {k: math.log(max(1, n)) for k, (n, _) in totals.items()}
+        self.costs = {p: log[script(p)] - math.log(n) for p, n in pairs.items()}
+        # of a script with few texts, an unseen pair costs as much as any of all pairs of its letters
+        self.unseen = {
+            k: math.log(max(n, _UNSEEN * _LETTERS.get(k, 100) ** 2)) - math.log(max(_UNSEEN, least / 2))
+            for k, (n, least) in ({k: (1, 0) for k in range(len(_SCRIPTS) + 1)} | totals).items()
+        }
+        self._finish()
+
+    @classmethod
+    def of(cls, pairs: dict[str, int]) -> CostModel:
+        """The model of all counts."""
+        totals: dict[int, tuple[int, int]] = {}
+        for p, n in pairs.items():
+            totals[script(p)] = (totals.get(script(p), (0, 0))[0] + n, 0)
+        return cls(pairs, totals)
+
+    def _finish(self) -> None:
+        # in a script with few texts, a pair of a few occurrences is costly already
+        self.rare = {k: c - math.log(10) for k, c in self.unseen.items()}
+        self._cost: dict[str, tuple[float, float]] = {}
         self._repairs: dict[str, dict] = {}
-        self._log = math.log(self.total)
-        self._unseen = self._log - math.log(_UNSEEN)
 
     def __getstate__(self) -> tuple:
-        return self.pairs, self.total
+        return self.costs, self.unseen
 
     def __setstate__(self, state: tuple) -> None:
-        self.pairs, self.total = state
-        self._start()
+        self.costs, self.unseen = state
+        self._finish()
 
-    def cost(self, token: str) -> float:
-        """Total cost of a token, its borders included."""
+    def pair(self, p: str) -> float:
+        """The cost of two neighbouring characters."""
+        if _LEFT_BEHIND.search(p):
+            return self.unseen[0]
+        got = self.costs.get(p)
+        return self.unseen[script(p)] if got is None else got
+
+    def _of(self, token: str) -> tuple[float, float]:
         got = self._cost.get(token)
         if got is None:
             t = f" {token.lower()} "
-            get, log = self.pairs.get, math.log
-            got = 0.0
-            for i in range(len(t) - 1):
-                n = get(t[i : i + 2])
-                got += self._unseen if n is None else self._log - log(n)
+            each = list(map(self.costs.get, map(str.__add__, t, t[1:])))
+            if None in each or _LEFT_BEHIND.search(t):
+                each = [self.pair(t[i : i + 2]) for i in range(len(t) - 1)]
+            got = (sum(each), max(each))
             if len(token) < 40:
                 if len(self._cost) > _REMEMBERED:
                     self._cost.clear()
                 self._cost[token] = got
         return got
 
+    def cost(self, token: str) -> float:
+        """Total cost of a token, its borders included."""
+        return self._of(token)[0]
+
+    def bearable(self, token: str) -> float:
+        """What the repair of a token beside a garbled stretch may cost."""
+        total, worst = self._of(token)
+        return total + (TOKEN_DROP if worst > LOOK else 0.0)
+
+    def residue(self, text: str) -> float:
+        """What the characters that only wrong decoding leaves behind cost above the bound for sound pairs."""
+        t = f" {text} "
+        return sum(self.pair(t[i : i + 2]) - LOOK for m in _LEFT_BEHIND.finditer(t) for i in (m.start() - 1, m.start()))
+
     def repairs(self, token: str) -> dict[tuple[str, str], tuple[str, float]]:
         """For each pair of encodings that lowers the cost clearly: the repaired token and the drop."""
         got = self._repairs.get(token)
         if got is None:
             got = {}
-            before = self.cost(token)
-            odd = before > LOOK * (len(token) + 1)
+            before, worst = self._of(token)
+            odd = worst > LOOK or any(self.pair(p) >= self.rare[script(p)] for p in map(str.__add__, f" {token.lower()}", f"{token.lower()} ") if not p.isascii())
             if odd or _RUN.search(token):
                 for pair in PAIRS if odd else UTF8_PAIRS:
-                    fixed = round_trip(token, *pair)
-                    if fixed is None or fixed == token or _REPLACEMENT in fixed:
-                        continue
-                    if pair[1] != "utf-8" and (_ODD.search(fixed) or (pair[1] in MULTI and len(_CJK.findall(fixed)) < 2)):
+                    fixed = self.taken_back(token, pair)
+                    if fixed is None or (pair[1] in MULTI and len(_CJK.findall(fixed)) < 2):
                         continue
                     after = self.cost(fixed)
-                    if before - after >= TOKEN_DROP and after <= SOUND * (len(fixed) + 1):
+                    if before - after >= (TOKEN_DROP if _structured(pair) else SWAP_TOKEN_DROP) and after <= SOUND * (len(fixed) + 1):
                         got[pair] = (fixed, before - after)
             if len(token) < 40:
                 if len(self._repairs) > _REMEMBERED:
@@ -166,40 +223,74 @@ class CostModel:
                 self._repairs[token] = got
         return got
 
+    @staticmethod
+    def taken_back(token: str, pair: tuple[str, str]) -> str | None:
+        """The token re-encoded and decoded strictly, if that changes it to something text can be."""
+        fixed = round_trip(token, *pair)
+        if fixed is None or fixed == token or _REPLACEMENT in fixed or (pair[1] != "utf-8" and _ODD.search(fixed)):
+            return None
+        return fixed
+
 
 def restore(text: str, model: CostModel) -> tuple[str, list[str], int, str]:
     """The restored text, the layers taken off ("read>written"), the tokens the first layer changed, and the text without quoted sequences."""
     layers: list[str] = []
     changed, plain = 0, text
-    for _ in range(LAYERS):
+    while True:  # every layer lowers the cost, so this ends
         drops: dict[tuple[str, str], float] = defaultdict(float)
-        found: list[tuple[int, int, dict]] = []
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            if token.isascii():
-                continue
-            options = model.repairs(token)
-            if options:
-                found.append((m.start(), m.end(), options))
+        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not m.group().isascii()]
+        options = [model.repairs(t) for _, _, t in tokens]
+        for (_, _, token), found in zip(tokens, options):
+            if found:
                 letters = sum(c.isalpha() for c in token)
-                for pair, (_, drop) in options.items():
+                for pair, (_, drop) in found.items():
                     if _structured(pair) or letters >= SWAP_LETTERS:
                         drops[pair] += drop
-        enough = [p for p in drops if drops[p] >= (TEXT_DROP if _structured(p) else SWAP_DROP)]
-        if not enough:
+        best = None
+        for pair in sorted(drops, key=lambda p: (-drops[p], PAIRS.index(p))):
+            if drops[pair] < (TEXT_DROP if _structured(pair) else SWAP_DROP):
+                break
+            sure = [i for i, found in enumerate(options) if pair in found]
+            if _structured(pair) or _agreed(tokens[sure[0] : sure[-1] + 1], pair, model):
+                best = pair
+                break
+        if best is None:
             break
-        best = max(enough, key=lambda p: (drops[p], -PAIRS.index(p)))
-        taken = [(a, b, o[best][0]) for a, b, o in found if best in o]
         if not layers:
-            if _quoted(text, taken):
-                plain = _replaced(text, [(a, b, "") for a, b, _ in taken])
+            quoted = [(*tokens[i][:2], options[i][best][0]) for i in sure]
+            if _quoted(text, quoted):
+                plain = _replaced(text, [(a, b, "") for a, b, _ in quoted])
                 break
+        taken = _stretch(tokens, sure, best, model)
+        if not layers:
             changed = len(taken)
         text = _replaced(text, taken)
         layers.append(f"{best[0]}>{best[1]}")
     return text, layers, changed, plain
 
 
+def _agreed(stretch: list[tuple[int, int, str]], pair: tuple[str, str], model: CostModel) -> bool:
+    """Whether a swap of single bytes suits the stretch as a whole: most of its tokens, and all together, get cheaper by it."""
+    total, cheaper = 0.0, 0
+    for _, _, token in stretch:
+        out = model.taken_back(token, pair)
+        drop = model.cost(token) - model.cost(out) if out is not None else 0.0
+        total += drop
+        cheaper += drop > 0
+    return total >= SWAP_DROP and cheaper >= SWAP_AGREED * len(stretch)
+
+
+def _stretch(tokens: list[tuple[int, int, str]], sure: list[int], pair: tuple[str, str], model: CostModel) -> list[tuple[int, int, str]]:
+    """The repairs of the stretch that has the tokens ``sure``: all of it that decodes, and its neighbours as far as they get no costlier, or hardly and have a costly pair."""
+    first, last = sure[0], sure[-1]
+    got = {i: model.taken_back(tokens[i][2], pair) for i in range(first, last + 1)}
+    for step, i in ((-1, first - 1), (1, last + 1)):
+        while 0 <= i < len(tokens) and (out := model.taken_back(tokens[i][2], pair)) is not None and model.cost(out) <= model.bearable(tokens[i][2]):
+            got[i] = out
+            i += step
+    return [(*tokens[i][:2], got[i]) for i in sorted(got) if got[i] is not None]
+
+
 def _replaced(text: str, parts: list[tuple[int, int, str]]) -> str:
     out, last = [], 0
     for a, b, new in parts:
@@ -215,8 +306,6 @@ def _structured(pair: tuple[str, str]) -> bool:
 
 def _quoted(text: str, taken: list[tuple[int, int, str]]) -> bool:
     """Whether the only garbled tokens are sequences quoted beside the characters they stand for."""
-    if len(taken) > 2:
-        return False
     for a, b, fixed in taken:
         core = re.sub(r"[\x00-\x7f]", "", fixed)
         if not core or re.search(r"[A-Za-z0-9]", fixed):
@@ -236,14 +325,34 @@ def cost_model(docs: DataFrame, text: str = "text", size: int = MODEL_PAIRS) ->
             points = np.concatenate(parts).astype(np.uint64)
             points[(points == 9) | (points == 10) | (points == 13)] = 32
             pair, n = np.unique((points[:-1] << np.uint64(21)) | points[1:], return_counts=True)
-            yield {"pair": pair.view(np.int64), "n": n}
+            pair = pair.view(np.int64)
+            high = np.flatnonzero((pair >> 21 >= 0x370) & (pair & 0x1FFFFF >= 0x370))
+            kind = np.zeros(len(pair), np.int32)
+            kind[high] = [script(chr(p >> 21) + chr(p & 0x1FFFFF)) for p in pair[high].tolist()]
+            yield {"script": kind, "pair": pair, "n": n}
 
     # copies meet map-side
     texts = docs.where(F.col(text).isNotNull() & (F.length(text) != F.octet_length(text))).select(text).distinct()
-    counted = map_partition(texts, count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    kept = counted.where("n > 1").orderBy(F.desc("n"), "pair").limit(size).collect()
-    table = {chr(r[0] >> 21) + chr(r[0] & 0x1FFFFF): r[1] for r in kept}
-    return CostModel(table, sum(table.values()))
+    counted = map_partition(texts, count, "script int, pair bigint, n bigint").groupBy("script", "pair").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "p9-pairs")
+    totals: dict[int, tuple[int, int]] = {}
+    # of each script, how many pairs have which count: as many rows as there are counts, so the rarest are told apart and the others by powers
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 16) + 1024)
+    levels = counted.groupBy("script", level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.sum("n").alias("n")).collect()
+    bounds = []
+    for k in {r["script"] for r in levels}:
+        room, least = size, 2
+        for r in sorted((r for r in levels if r["script"] == k and r["least"] > 1), key=lambda r: -r["least"]):
+            room -= r["k"]
+            if room < 0:
+                break
+            least = r["least"]
+        totals[k] = (sum(r["n"] for r in levels if r["script"] == k), least if room < 0 else 0)
+        bounds.append((F.col("script") == k) & (F.col("n") >= least))
+    if not bounds:
+        return CostModel({}, {})
+    kept = counted.where(reduce(or_, bounds)).select("pair", "n").collect()
+    return CostModel({chr(r[0] >> 21) + chr(r[0] & 0x1FFFFF): r[1] for r in kept}, totals)
 
 
 def garbled(docs: DataFrame, model: CostModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,10 +367,12 @@ def garbled(docs: DataFrame, model: CostModel, doc_id: str = "doc_id", text: str
     source = docs.where(F.col(text).isNotNull() & (F.length(text) != F.octet_length(text))).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
-        rows = []
+        rows, model = [], shared.value
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fixed, layers, n, plain = restore(t, shared.value)
-            evidence = "repair" if layers else "replacement" if _REPLACEMENT in plain else "control" if _C1.search(plain) else None
+            fixed, layers, n, plain = restore(t, model)
+            evidence = "repair" if layers else None
+            if evidence is None and model.residue(plain) >= TEXT_DROP:
+                evidence = "replacement" if _REPLACEMENT in plain else "control"
             if evidence:
                 rows.append((d, evidence, ",".join(layers), n, fixed if layers else None))
         return dict(zip(("doc_id", "evidence", "layers", "n_tokens", "restored"), zip(*rows))) if rows else None

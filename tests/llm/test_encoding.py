@@ -39,7 +39,7 @@ def model():
     for t in texts():
         t = f" {t.lower()} "
         counts.update(a + b for a, b in zip(t, t[1:]))
-    return CostModel(dict(counts), sum(counts.values()))
+    return CostModel.of(counts)
 
 
 def misread(text, written, read):
@@ -112,3 +112,36 @@ def test_copies_do_not_make_garbled_text_usual(spark, lang, written, read):
 def test_a_single_garbled_letter_is_a_quotation_only_near_its_character(model, text, fixed):
     assert restore(text, model)[:2] == (fixed, ["cp1252>utf-8"])
     assert restore(f"It shows {text.split()[2]} instead of {fixed.split()[2]} here.", model)[1] == []
+
+
+def test_more_layers_than_one_meets(model):
+    sound = "Voilà le problème de la fenêtre."
+    bad = sound
+    for _ in range(6):
+        bad = misread(bad, "utf-8", "cp1252")
+    assert restore(bad, model)[:2] == (sound, ["cp1252>utf-8"] * 6)
+
+
+def test_several_quotations(model):
+    quoted = "Instead of ż, é and ñ the page shows Å¼, Ã© and Ã±. Why?"
+    assert restore(quoted, model)[1] == [] and restore(quoted.replace("ñ", "n"), model)[1] == ["cp1252>utf-8"]
+
+
+@pytest.mark.parametrize("lang,written,read", [w for w in WRONG if w[0] in ("ru", "fr", "de", "pl")])
+def test_a_rare_language_is_restored_and_left_alone(lang, written, read):
+    counts: Counter = Counter()
+    for k, t in SOUND.items():
+        for i in range(3 if k == lang else 4000):
+            counts.update(a + b for a, b in zip(f" {t.lower()}", f"{t.lower()} "))
+    rare = CostModel.of(counts)
+    sound = SOUND[lang].strip()
+    assert restore(misread(sound, written, read), rare)[0] == sound and restore(sound, rare)[1] == []
+
+
+def test_pairs_beyond_the_bound(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id bigint, text string")
+    whole, cut = encoding.cost_model(df), encoding.cost_model(df, size=60)
+    assert len(cut.costs) < len(whole.costs) and all(abs(whole.costs[p] - c) < 1e-9 for p, c in cut.costs.items())
+    for p in set(whole.costs) - set(cut.costs):  # as rare pairs, not as unseen ones
+        k = encoding.script(p)
+        assert max(c for q, c in cut.costs.items() if encoding.script(q) == k) <= cut.pair(p) < whole.unseen[k]
