@@ -7,15 +7,18 @@ records on the other.
 1. A sketch of fixed size is made of the evaluation side's shingles: a bitmap of those that occur and
    saturating counts. Shingles are ordered by (count, hash), rare ones first. Any order known to both
    sides keeps the prefix filter exact; the sketch only decides how well it prunes. Its size follows
-   the evaluation side up to ``MAX_BITS``; beyond that more candidates survive, none is lost.
+   the evaluation side up to ``MAX_BITS`` (enough for about 170 MB of evaluation text); beyond that more candidates survive, none is lost.
 2. A record of ``m`` shingles is indexed by its first ``m - ceil(t m) + 1``: two records with Jaccard
    >= t share one of them. A training record with fewer than ``ceil(t m)`` shingles in the bitmap can't
    have a partner and is dropped in the scan; of the others only prefix shingles in a second bitmap, of
    the index, are sent.
-3. Index and probes are joined on the shingle, filtered by length and position, and made distinct.
-4. The texts of the candidate pairs, equal texts taken as one, are compared exactly, as sets of words.
+3. Index and probes, without their texts, are joined on the shingle and filtered by length and position. Nothing is made
+   distinct before the join, so a shingle that very many training records have is split by the engine's handling of skew.
+4. A third bitmap, of the texts in a candidate pair, keeps all other texts out of the last joins: there the texts of the candidates, equal
+   texts taken as one, are compared exactly, as sets of words.
 
-Copies of one text share a fingerprint and are one class throughout; ids come back in the last step.
+Copies of one text share a fingerprint and are one class throughout; ids come back in the last step, from a narrow table of (id, fingerprint)
+that is written once. Texts move only if they are candidates.
 """
 
 from __future__ import annotations
@@ -36,9 +39,8 @@ from .words import words
 
 #: The statement of the problem: three words, 0.6.
 SHINGLE_WORDS, SIMILARITY = 3, 0.6
-#: Bits of the bitmap: 8 for each evaluation shingle, within these bounds (2^27 bits are 16 MB).
-MIN_BITS, MAX_BITS = 20, 27
-COUNT_BITS = 21
+#: Bits of the bitmap: 8 for each evaluation shingle, within these bounds (2^28 bits are 32 MB); a count of a byte for every 8 bits.
+MIN_BITS, MAX_BITS = 20, 28
 _PARTS = 16
 _REMEMBERED = 300_000
 _REMEMBERED_TEXTS = 100_000
@@ -78,7 +80,7 @@ class Sketch:
 
     def order(self, h: np.ndarray, there: np.ndarray) -> np.ndarray:
         """Indices of ``h`` (sorted), rarest first; shingles not there are the rarest."""
-        count = np.where(there, self.counts[h & np.uint64((1 << COUNT_BITS) - 1)].astype(np.int16) + 1, 0)
+        count = np.where(there, self.counts[h & np.uint64(len(self.counts) - 1)].astype(np.int16) + 1, 0)
         return np.argsort(count, kind="stable")
 
 
@@ -87,7 +89,7 @@ def build_sketch(rows: DataFrame, n_shingles: int, n: int | None) -> Sketch:
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * max(1, n_shingles)))))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bitmap, counts = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << COUNT_BITS, np.uint8)
+        bitmap, counts = (np.zeros(1 << (bits - 3), np.uint8) for _ in range(2))
         known: dict[str, int] = {}
         some = False
         for batch in batches:
@@ -97,7 +99,7 @@ def build_sketch(rows: DataFrame, n_shingles: int, n: int | None) -> Sketch:
                     some = True
                     at = h >> np.uint64(64 - bits)
                     np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                    slot = np.unique(h & np.uint64((1 << COUNT_BITS) - 1))
+                    slot = np.unique(h & np.uint64(len(counts) - 1))
                     counts[slot] = np.minimum(counts[slot], 254) + 1
         if some:
             yield {"part": list(range(_PARTS)), "bitmap": [zlib.compress(x.tobytes(), 1) for x in np.split(bitmap, _PARTS)], "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, _PARTS)]}
@@ -112,15 +114,15 @@ def build_sketch(rows: DataFrame, n_shingles: int, n: int | None) -> Sketch:
     schema = "part int, bitmap binary, counts binary"
     parts = map_partition(rows, partial, schema).groupBy("part").applyInPandas(merge, schema).orderBy("part").collect()
     if not parts:
-        return Sketch(bits, np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << COUNT_BITS, np.uint8))
+        return Sketch(bits, np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8))
     return Sketch(bits, *(np.concatenate([np.frombuffer(zlib.decompress(r[i]), np.uint8) for r in parts]) for i in (1, 2)))
 
 
-_PREFIX = "fp binary, n int, text string, probes array<struct<h:bigint,pos:int>>"
+_PREFIX = "fp binary, key bigint, n int, text string, probes array<struct<h:bigint,pos:int>>"
 
 
 def _prefixes(texts: DataFrame, sketch: Sketch, indexed: Sketch | None, n: int, t: float) -> DataFrame:
-    """(fp, n, text, probes) of the records that may have a partner; input (text, fp). Probes outside ``indexed`` are left out."""
+    """(fp, key, n, text, probes) of the records that may have a partner; input (text, fp, key). Probes outside ``indexed`` are left out."""
     shared = texts.sparkSession.sparkContext.broadcast((sketch, indexed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -131,7 +133,7 @@ def _prefixes(texts: DataFrame, sketch: Sketch, indexed: Sketch | None, n: int,
             rows: list[tuple] = []
             if len(seen) > _REMEMBERED_TEXTS:
                 seen.clear()
-            for text, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, fp, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if fp in seen:
                     continue
                 seen.add(fp)
@@ -144,9 +146,9 @@ def _prefixes(texts: DataFrame, sketch: Sketch, indexed: Sketch | None, n: int,
                 first = sketch.order(h, there)[: m - need + 1]
                 at = np.flatnonzero(there[first] if indexed is None else indexed.has(h[first]) & there[first])
                 if len(at):
-                    rows.append((fp, m, text, [{"h": a, "pos": b} for a, b in zip(h[first[at]].view(np.int64).tolist(), at.tolist())]))
+                    rows.append((fp, key, m, text, [{"h": a, "pos": b} for a, b in zip(h[first[at]].view(np.int64).tolist(), at.tolist())]))
             if rows:
-                yield dict(zip(("fp", "n", "text", "probes"), zip(*rows)))
+                yield dict(zip(("fp", "key", "n", "text", "probes"), zip(*rows)))
 
     return map_partition(texts, run, _PREFIX)
 
@@ -173,41 +175,56 @@ def _verify(pairs: DataFrame, n: int, t: float) -> DataFrame:
     return map_batches(pairs.select("fp_e", "fp_t", "text_e", "text_t"), run, "fp_e binary, fp_t binary, similarity double")
 
 
-def similar_classes(left: DataFrame, right: DataFrame, text: str, n: int = SHINGLE_WORDS, t: float = SIMILARITY) -> DataFrame:
+def similar_classes(left: DataFrame, right: DataFrame, text: str, n: int = SHINGLE_WORDS, t: float = SIMILARITY, n_bytes: int | None = None) -> DataFrame:
     """(fp_e, fp_t, similarity): pairs of different texts of ``left`` and ``right``, by fingerprint, with Jaccard >= ``t``.
 
-    The fingerprint is the MD5 of the text. Each pair of texts comes once, however many records have them.
+    The fingerprint is the MD5 of the text. Each pair of texts comes once, however many records have them. ``n_bytes`` is the size of ``left``'s texts, if known.
     """
     def base(df: DataFrame) -> DataFrame:
-        return df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), fingerprint(F.col(text)).alias("fp"))
+        fp = fingerprint(F.col(text))
+        # the short key stands for the text until texts are compared; a collision only adds a comparison
+        return df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), fp.alias("fp"), F.xxhash64(fp).alias("key"))
 
     evals = base(left)
     # about a shingle per five bytes; only the size of the sketch depends on it
-    n_bytes = evals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bytes = left.agg(F.sum(F.octet_length(text))).first()[0] or 0 if n_bytes is None else n_bytes
     sketch = build_sketch(evals.select("text"), n_bytes // 5, n)
     index = materialise(_prefixes(evals, sketch, None, n, t), "p1-index")
     indexed = build_sketch(index.select(F.explode("probes.h")), n_bytes // 10, None)
     probes = materialise(_prefixes(base(right), sketch, indexed, n, t), "p1-probes")
 
     def flat(df: DataFrame, side: str) -> DataFrame:
-        out = df.select("fp", "n", F.inline("probes"))
-        # one shuffle for both the distinct and the join; copies are few already
-        return out.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "pos"))).repartition("h").distinct()
+        return df.select("key", "n", F.inline("probes")).select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "pos")))
 
     need = F.ceil((F.col("n_e") + F.col("n_t")) * (t / (1 + t)) - 1e-9)
     bound = F.least(F.col("n_e") - F.col("pos_e"), F.col("n_t") - F.col("pos_t"))
     candidates = (
         flat(index, "e")
         .join(flat(probes, "t"), "h")
-        .where((F.least("n_e", "n_t") >= t * F.greatest("n_e", "n_t") - 1e-9) & (bound >= need) & (F.col("fp_e") != F.col("fp_t")))
-        .select("fp_e", "fp_t")
+        .where((F.least("n_e", "n_t") >= t * F.greatest("n_e", "n_t") - 1e-9) & (bound >= need))
+        .select("key_e", "key_t")
         .distinct()
     )
+    candidates = materialise(candidates, "p1-candidates")
+    wanted = build_sketch(candidates.select(F.explode(F.array("key_e", "key_t"))), 2 * candidates.count(), None)
 
     def texts(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.col("fp").alias(f"fp_{side}"), F.col("text").alias(f"text_{side}")).dropDuplicates([f"fp_{side}"])
+        named = _among(df.select("key", "fp", "text"), wanted).select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "fp", "text")))
+        return named.dropDuplicates([f"key_{side}", f"fp_{side}"])
 
-    return _verify(candidates.join(texts(probes, "t"), "fp_t").join(texts(index, "e"), "fp_e"), n, t)
+    both = candidates.join(texts(probes, "t"), "key_t").join(texts(index, "e"), "key_e")
+    return _verify(both.where(F.col("fp_e") != F.col("fp_t")), n, t)
+
+
+def _among(rows: DataFrame, wanted: Sketch) -> DataFrame:
+    """The rows whose key, the first column, the sketch has, and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        kept = batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy().view(np.uint64))))
+        return dict(zip(kept.schema.names, kept.columns)) if kept.num_rows else None
+
+    return map_batches(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def fingerprint(text: Column) -> Column:
@@ -220,11 +237,23 @@ def _sides(records: DataFrame, record_id: str, text: str, split: str, train: str
     return rows.where(F.col(split) != train), rows.where(F.col(split) == train)
 
 
-def _members(rows: DataFrame, side: str, record_id: str, text: str, keep: list[str]) -> DataFrame:
-    """(id, fp, <keep>) of one side, redelivered rows once."""
-    names = [f"id_{side}", "fp_e" if side == "eval" else "fp_t"]
-    named = rows.select(F.col(record_id).alias(names[0]), fingerprint(F.col(text)).alias(names[1]), *(F.col(c).alias(f"{c}_{side}") for c in keep))
-    return named.groupBy(names).agg(*(F.min(f"{c}_{side}").alias(f"{c}_{side}") for c in keep)) if keep else named.distinct()
+def _members(records: DataFrame, record_id: str, text: str, split: str, train: str, keep: list[str]) -> DataFrame:
+    """(id, fp, is_eval, size, <keep>) of all records that count, redelivered ones once; written, as it is much narrower than the texts."""
+    rows = records.where(F.col(text).isNotNull() & F.col(split).isNotNull() & F.col(record_id).isNotNull())
+    named = rows.select(F.col(record_id).alias("id"), fingerprint(F.col(text)).alias("fp"), (F.col(split) != train).alias("is_eval"), F.octet_length(text).cast("bigint").alias("size"), *(F.col(c).alias(f"__{c}") for c in keep))
+    out = named.groupBy("id", "fp", "is_eval").agg(F.min("size").alias("size"), *(F.min(f"__{c}").alias(f"__{c}") for c in keep))
+    return materialise(out, "p1-members")
+
+
+def _side(members: DataFrame, side: str, keep: list[str]) -> DataFrame:
+    short = "e" if side == "eval" else "t"
+    return members.where(F.col("is_eval") == F.lit(side == "eval")).select(F.col("id").alias(f"id_{side}"), F.col("fp").alias(f"fp_{short}"), *(F.col(f"__{c}").alias(f"{c}_{side}") for c in keep))
+
+
+def _near(records: DataFrame, members: DataFrame, record_id: str, text: str, split: str, train: str, n: int, t: float) -> DataFrame:
+    evals, trains = _sides(records, record_id, text, split, train)
+    size = members.where("is_eval").agg(F.sum("size")).first()[0] or 0
+    return similar_classes(evals, trains, text, n, t, size)
 
 
 def overlap_links(records: DataFrame, keep: list[str], record_id: str = "id", text: str = "text", split: str = "split", train: str = "train", n: int = SHINGLE_WORDS, t: float = SIMILARITY) -> DataFrame:
@@ -234,13 +263,14 @@ def overlap_links(records: DataFrame, keep: list[str], record_id: str = "id", te
     that reach ``t``. Copies are counted per text before anything is joined, so a text that very many records
     have costs one row on each side.
     """
-    evals, trains = _sides(records, record_id, text, split, train)
-    counts = _members(trains, "train", record_id, text, []).groupBy("fp_t").agg(F.count("*").alias("k"))
-    near = similar_classes(evals, trains, text, n, t).join(counts, "fp_t").groupBy("fp_e").agg(F.sum("k").alias("n_near"))
-    classes = evals.select(fingerprint(F.col(text)).alias("fp_e")).distinct()
+    members = _members(records, record_id, text, split, train, keep)
+    e = _side(members, "eval", keep)
+    counts = _side(members, "train", []).groupBy("fp_t").agg(F.count("*").alias("k"))
+    near = _near(records, members, record_id, text, split, train, n, t).join(counts, "fp_t").groupBy("fp_e").agg(F.sum("k").alias("n_near"))
+    classes = e.select("fp_e").distinct()
     linked = classes.join(counts.select(F.col("fp_t").alias("fp_e"), F.col("k").alias("n_copies")), "fp_e", "left").join(near, "fp_e", "left")
     some = linked.where("n_copies is not null or n_near is not null").select("fp_e", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_copies", "n_near")))
-    found = _members(evals, "eval", record_id, text, keep).join(some, "fp_e")
+    found = e.join(some, "fp_e")
     return found.select("id_eval", *(f"{c}_eval" for c in keep), F.lower(F.hex("fp_e")).alias("class"), "n_copies", "n_near")
 
 
@@ -251,10 +281,36 @@ def split_overlaps(records: DataFrame, keep: list[str], record_id: str = "id", t
     count once, under their smallest values of ``keep``; texts of fewer than ``n`` words pair only with equal
     texts, the empty one too. An id that is in both splits pairs with itself.
     """
-    evals, trains = _sides(records, record_id, text, split, train)
-    e, f = _members(evals, "eval", record_id, text, keep), _members(trains, "train", record_id, text, keep)
-    near = similar_classes(evals, trains, text, n, t)
+    members = _members(records, record_id, text, split, train, keep)
+    e, f = _side(members, "eval", keep), _side(members, "train", keep)
+    near = _near(records, members, record_id, text, split, train, n, t)
     pairs = near.join(e, "fp_e").join(f, "fp_t").drop("fp_e", "fp_t")
     same = e.join(f, F.col("fp_e") == F.col("fp_t")).withColumn("similarity", F.lit(1.0))
     columns = ["id_eval", "id_train", "similarity", *(f"{c}_{s}" for c in keep for s in ("eval", "train"))]
     return pairs.select(columns).unionByName(same.select(columns))
+
+
+def overlap_report(records: DataFrame, by_eval: list[str], by_train: list[str], record_id: str = "id", text: str = "text", split: str = "split", train: str = "train", n: int = SHINGLE_WORDS, t: float = SIMILARITY) -> DataFrame:
+    """(<by_eval>_eval, <by_train>_train, n_pairs, n_eval_records, n_same_words): ``split_overlaps`` counted, without listing its pairs.
+
+    Records of a class with the same values are counted before classes are joined, so the rows follow the number of
+    pairs of different texts, however many copies these have.
+    """
+    keep = list(dict.fromkeys([*by_eval, *by_train]))
+    members = _members(records, record_id, text, split, train, keep)
+    e, f = _side(members, "eval", by_eval), _side(members, "train", by_train)
+    groups_e, groups_t = [f"{c}_eval" for c in by_eval], [f"{c}_train" for c in by_train]
+    per_e = e.groupBy("fp_e", *groups_e).agg(F.count("*").alias("k_e"))
+    per_t = materialise(f.groupBy("fp_t", *groups_t).agg(F.count("*").alias("k_t")), "p1-counts")
+    near = materialise(_near(records, members, record_id, text, split, train, n, t), "p1-near")
+    links = near.join(per_t, "fp_t").select("fp_e", *groups_t, "similarity", "k_t").unionByName(per_t.select(F.col("fp_t").alias("fp_e"), *groups_t, F.lit(1.0).alias("similarity"), "k_t"))
+    links = links.groupBy("fp_e", *groups_t).agg(F.sum("k_t").alias("k_t"), F.sum(F.when(F.col("similarity") == 1, F.col("k_t")).otherwise(0)).alias("k_same"))
+    pairs = per_e.join(links, "fp_e").groupBy(*groups_e, *groups_t).agg(F.sum(F.col("k_e") * F.col("k_t")).alias("n_pairs"), F.sum(F.col("k_e") * F.col("k_same")).alias("n_same_words"))
+    # an id may have several texts
+    concerned = e.join(links.select("fp_e", *groups_t), "fp_e").select("id_eval", *groups_e, *groups_t).distinct()
+    n_ids = concerned.groupBy(*groups_e, *groups_t).agg(F.count("*").alias("n_eval_records"))
+    same = F.lit(True)
+    for c in (*groups_e, *groups_t):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    renamed = n_ids.withColumnsRenamed({c: f"__{c}" for c in (*groups_e, *groups_t)})
+    return pairs.join(renamed, same).select(*groups_e, *groups_t, "n_pairs", "n_eval_records", "n_same_words")

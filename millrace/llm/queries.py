@@ -24,15 +24,7 @@ def p1_links(spark: SparkSession, root: str) -> DataFrame:
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
     """Pairs and evaluation records concerned, per split and the sources of both sides."""
     records = table(spark, root, "corpus_records").withColumn("source", mixing.source_name(F.col("source"), F.col("id")))
-    pairs = overlap.split_overlaps(records, ["source", "split"])
-    return (
-        pairs.groupBy(F.col("split_eval").alias("split"), "source_eval", "source_train")
-        .agg(
-            F.count("*").alias("n_pairs"),
-            F.countDistinct("id_eval").alias("n_eval_records"),
-            F.sum((F.col("similarity") == 1).cast("int")).alias("n_same_words"),
-        )
-    )
+    return overlap.overlap_report(records, ["split", "source"], ["source"]).withColumnRenamed("split_eval", "split")
 
 
 def _in_prose_domain():

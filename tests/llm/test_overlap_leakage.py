@@ -71,6 +71,30 @@ def test_links_count_copies_without_listing_pairs(spark):
     assert overlap.overlap_links(df.limit(0), []).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_report_equals_the_pairs_counted(spark, seed):
+    rows = [r for r in rows_of(seed) if r[0]] + [("d/5", "another text of an id", "val", "b", "x", "y", 1), ("d/x", "another text of an id", "train", "b", "x", "y", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    pairs = overlap.split_overlaps(df, ["source", "split"]).collect()
+    want = {}
+    for r in pairs:
+        n, ids, same = want.get((r.split_eval, r.source_eval, r.source_train), (0, set(), 0))
+        want[r.split_eval, r.source_eval, r.source_train] = (n + 1, ids | {r.id_eval}, same + (r.similarity == 1))
+    got = overlap.overlap_report(df, ["split", "source"], ["source"]).collect()
+    assert {(r.split_eval, r.source_eval, r.source_train): (r.n_pairs, r.n_eval_records, r.n_same_words) for r in got} == {k: (n, len(i), s) for k, (n, i, s) in want.items()}
+    assert len(got) == len(want) > 1 and overlap.overlap_report(df.limit(0), ["split"], []).count() == 0
+
+
+def test_a_shingle_most_training_records_have(spark):
+    rng = random.Random(4)
+    rows = [(f"t/{i}", f"one common start {' '.join(rng.choice('abcdefgh') * 3 for _ in range(12))} {i}", "train") for i in range(3000)]
+    rows += [(f"v/{i}", rows[i * 7][1] + " end", "val") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, text string, split string").repartition(4)
+    got = {(r.id_eval, r.id_train) for r in overlap.split_overlaps(df, []).collect()}
+    assert got == brute([(i, t, s) for i, t, s in rows[:3000:7] + rows[3000:]]) | {p for p in got if int(p[1][2:]) % 7}
+    assert {(f"v/{i}", f"t/{i * 7}") for i in range(3)} <= got
+
+
 def test_a_saturated_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(overlap, "MAX_BITS", 4)
     monkeypatch.setattr(overlap, "MIN_BITS", 4)
