@@ -6,10 +6,12 @@ position, sft_toy the conversations.
 
 from __future__ import annotations
 
+import random
 import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE, json_line
@@ -18,9 +20,12 @@ from ..operators.running import dense_rank, running_sum
 from ..session import materialise, shared_dir, table
 from ..sources import readers, shards, writers
 from ..streaming import ingest
+from . import sqltext
 
-#: Parameters of the queries: tokens of the byte budget and of the mixture, blocks and shards, history.
-BUDGET_TOKENS, MIX_TOKENS, BLOCK, SHARD, DIVISOR = 20_000, 100_000, 1024, 50_000, 5
+#: Parameters of the queries: tokens of the byte budget and of the mixture, blocks and shards, parts of the subset, rows of the reservoir.
+BUDGET_TOKENS, MIX_TOKENS, BLOCK, SHARD, DIVISOR, RESERVOIR = 20_000, 100_000, 1024, 50_000, 5, 50
+#: The system message of the agent windows.
+SYSTEM = "Solve the task with the tools at hand and say what you did."
 LOG = [
     "epoch 0 | step 200 | lr 0.001 | train loss = 4.20 | val loss = 4.10 | bpb = 1.51",
     "noise",
@@ -116,14 +121,14 @@ def val_split(spark, root):
 
 
 def reservoir(spark, root):
-    """Residents and writes of a small reservoir for each domain; draws depend on counts only."""
+    """Every row's slot, stay and writing order with a reservoir for each domain; draws depend on counts only."""
     rows = dense_rank(table(spark, root, "documents").select("domain", "doc_id"), ["domain"], ["doc_id"], "t")
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     out = None
     for domain, n in sorted(sizes.items()):
-        part = split.reservoir(rows.where(F.col("domain") == domain), domain, n, 50)
+        part = split.reservoir(rows.where(F.col("domain") == domain), domain, n, RESERVOIR)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("domain").agg(F.count("*").alias("n"), F.count_if("resident").alias("n_resident"), F.count("write_order").alias("n_written"))
+    return out.select("domain", "t", "slot", "resident", "write_order")
 
 
 def smoke_subset(spark, root):
@@ -184,7 +189,7 @@ def _encoded(spark: SparkSession, root: str) -> DataFrame:
 
 def presplit(spark, root):
     docs = tokenizer.presplit(table(spark, root, "documents").where("text is not null"))
-    return docs.select("doc_id", F.md5(F.array_join("pieces", "")).alias("joined"))
+    return docs.select("doc_id", F.size("pieces").alias("n_pieces"), F.md5(F.array_join("pieces", "\x1f")).alias("pieces_md5"))
 
 
 def word_frequencies(spark, root):
@@ -204,12 +209,22 @@ def bpe_training(spark, root):
     return spark.createDataFrame(rows, "merge_no int, left_id int, right_id int, piece binary")
 
 
+def _joined(ids) -> Column:
+    """What stands for an array of numbers where results are compared."""
+    return F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","))
+
+
+def token_ids(spark, root):
+    """The tokens of each document, bos first."""
+    return _encoded(spark, root).select("doc_id", F.size("ids").alias("n_tokens"), _joined("ids").alias("ids_md5"))
+
+
 def token_bytes(spark, root):
-    """The bytes of each document's tokens, special ones 0."""
+    """The bytes of each token, special ones 0, and how often documents use it."""
     tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
-    sizes = F.array(*map(F.lit, tok.token_bytes()))
-    ids = _encoded(spark, root)
-    return ids.select("doc_id", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + F.get(sizes, i)).alias("n_bytes"))
+    used = _encoded(spark, root).select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    sizes = spark.createDataFrame(list(enumerate(tok.token_bytes())), "token_id int, n_bytes int")
+    return sizes.join(used, "token_id", "left").select("token_id", "n_bytes", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def token_round_trip(spark, root):
@@ -226,7 +241,7 @@ def _placed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
 
 def token_windows(spark, root):
     placed, total = _placed(spark, root)
-    return blocks.windows(placed, BLOCK, total)
+    return blocks.windows(placed, BLOCK, total).select("block", _joined("input_ids").alias("inputs_md5"), _joined("labels").alias("labels_md5"))
 
 
 def token_shards(spark, root):
@@ -236,38 +251,38 @@ def token_shards(spark, root):
     path = f"{shared_dir(spark)}/millrace/shards-{uuid.uuid4().hex}"
     blocks.shards(placed, SHARD).select("shard", "tokens").write.format("token_shards").mode("append").option("path", path).option("prefix", "train").save()
     read = spark.read.format("token_shards").option("path", path).option("prefix", "train").load()
-    return read.select("shard", "offset", F.size("tokens").alias("n_tokens"))
+    return read.select("shard", "offset", F.size("tokens").alias("n_tokens"), _joined("tokens").alias("tokens_md5"))
 
 
 def agent_windows(spark, root):
-    got = chat.agent_windows(table(spark, root, "sft_toy"), ["conv_id"])
+    got = chat.agent_windows(table(spark, root, "sft_toy").dropDuplicates(["conv_id"]), ["conv_id"], SYSTEM)
     text = F.transform("sample", lambda m: F.concat_ws(":", m.role, F.coalesce(m.content, F.lit("-"))))
     return got.select("conv_id", "turn", F.size("sample").alias("n_messages"), F.md5(F.array_join(text, "|")).alias("content_md5"))
 
 
 def _rendered(spark: SparkSession, root: str) -> DataFrame:
     tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
-    samples = chat.agent_windows(table(spark, root, "sft_toy"), ["conv_id"])
+    samples = chat.agent_windows(table(spark, root, "sft_toy").dropDuplicates(["conv_id"]), ["conv_id"], SYSTEM)
     return chat.rendered(samples, tok, ["conv_id", "turn"], BLOCK, "sample")
 
 
 def rendered_items(spark, root):
     inputs, labels = chat.training_item(F.col("ids"), F.col("mask"))
-    return _rendered(spark, root).where("error is null").select("conv_id", "turn", inputs.alias("input_ids"), labels.alias("labels"))
+    return _rendered(spark, root).where("error is null").select("conv_id", "turn", F.size("ids").alias("n_tokens"), _joined(inputs).alias("inputs_md5"), _joined(labels).alias("labels_md5"))
 
 
 def supervision(spark, root):
-    return chat.supervision(_rendered(spark, root).where("error is null"), 500, ["conv_id", "turn", "ids"])
+    return chat.supervision(_rendered(spark, root).where("error is null"), 500, ["conv_id", "turn"])
 
 
 def plain_conversations(spark, root):
-    got = chat.plain_conversations(table(spark, root, "sft_toy"), ["conv_id"])
+    got = chat.plain_conversations(table(spark, root, "sft_toy").dropDuplicates(["conv_id"]), ["conv_id"])
     return got.select("conv_id", "shape", F.size("sample").alias("n_messages"))
 
 
 def fitting_conversations(spark, root):
     tok = tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
-    got = chat.fitting(chat.plain_conversations(table(spark, root, "sft_toy"), ["conv_id"]), tok, ["conv_id"], BLOCK)
+    got = chat.fitting(chat.plain_conversations(table(spark, root, "sft_toy").dropDuplicates(["conv_id"]), ["conv_id"]), tok, ["conv_id"], BLOCK)
     return got.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
 
 
@@ -300,8 +315,13 @@ def written_corpus(spark, root):
 
 
 def verify_lines(spark, root):
-    lines = spark.read.option("lineSep", "\n").text(_written(spark, root))
-    return verify.check_lines(lines)
+    """Lines of records some of which have a key too many, lack one or aren't objects."""
+    records = table(spark, root, "corpus_records").where("id is not null and text is not null and source is not null")
+    line = json_line(F.col("text"), F.col("source"), F.col("id"))
+    more = F.concat(F.lit('{"more":1,'), F.substr(line, F.lit(2)))
+    less = F.to_json(F.struct("text", "id"))
+    broken = F.when(F.endswith("id", F.lit("3")), more).when(F.endswith("id", F.lit("5")), less).when(F.endswith("id", F.lit("7")), F.lit("[1]")).otherwise(line)
+    return verify.check_lines(records.select(broken.alias("value")))
 
 
 def lenient_lines(spark, root):
@@ -350,7 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, manifest,
         val_sizes, val_split, reservoir, smoke_subset, segment_sample, tokenizer_text, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
-        presplit, word_frequencies, pair_counts, bpe_training, token_bytes, token_round_trip, token_windows, token_shards,
+        presplit, word_frequencies, pair_counts, bpe_training, token_ids, token_bytes, token_round_trip, token_windows, token_shards,
         agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, hold_out,
         verify_records, verify_shares, written_corpus, verify_lines, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,
     )
@@ -384,11 +404,34 @@ m AS (SELECT * FROM o WHERE tokens_before < {MIX_TOKENS})
 """
 _HASH8 = "('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0"
 _BODY = """
-a AS (SELECT conv_id, messages AS m, [x FOR x IN messages IF x.role <> 'system'] AS said, [x FOR x IN messages IF x.role = 'user'] AS u FROM sft_toy),
+a AS (SELECT conv_id, messages AS m, [x FOR x IN messages IF x.role <> 'system'] AS said, [x FOR x IN messages IF x.role = 'user'] AS u FROM (SELECT DISTINCT conv_id, messages FROM sft_toy)),
 bd AS (SELECT conv_id, u, CASE WHEN said[1].role = 'user' THEN said[2:] ELSE said END AS body FROM a),
 tn AS (SELECT conv_id, u, body, unnest(range(1, len(body) + 1)) AS i FROM bd),
 tu AS (SELECT conv_id, u, body, i FROM tn WHERE body[i].role = 'assistant')
 """
+#: The documents' tokens; the stream of them; agent windows as samples; what is left of a rendered one under the limit.
+_MD5 = "md5(array_to_string([__i::VARCHAR FOR __i IN {0}], ','))"
+_STREAM = f"""{sqltext.token_ids("documents")}, __doc AS (SELECT doc_id, list_prepend({sqltext.special(0)}, ids) AS ids FROM documents JOIN __ids USING (text))"""
+_FLAT = """o AS (SELECT doc_id, ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM __doc),
+s AS (SELECT start + i - 1 AS p, ids[i] AS id FROM (SELECT start, ids, unnest(range(1, len(ids) + 1)) AS i FROM o))"""
+_SAMPLES = f"""{_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu),
+smp AS (SELECT conv_id, turn, list_concat([{{'role': 'system', 'content': '{SYSTEM}', 'tool_calls': NULL, 'tool_call_id': NULL}}],
+    CASE WHEN len(u) > 0 THEN [{{'role': 'user', 'content': coalesce(u[1].content, ''), 'tool_calls': NULL, 'tool_call_id': NULL}}] ELSE [] END,
+    [{{'role': x.role, 'content': x.content, 'tool_calls': x.tool_calls, 'tool_call_id': x.tool_call_id}} FOR x IN h]) AS sample FROM w)"""
+_CUT = f"""cut AS (SELECT * FROM (SELECT conv_id, turn, CASE WHEN len(ids) > {BLOCK} THEN list_concat(ids[:1], ids[-{BLOCK - 1}:]) ELSE ids END AS ids,
+    CASE WHEN len(ids) > {BLOCK} THEN list_concat(mask[:1], mask[-{BLOCK - 1}:]) ELSE mask END AS mask FROM __rendered) WHERE list_sum(mask) > 0)"""
+
+
+def _drawn_slots(most: int = 4000) -> str:
+    """VALUES of (domain, arrival, slot) hits among the first ``most`` arrivals: each arrival after the reservoir is full draws one of the places so far."""
+    rows = []
+    for domain in ("code_issues", "code_python", "code_shell", "cosmopedia", "qa_stackexchange", "terminal_docs", "web_dclm", "web_edu"):
+        draws = random.Random(split.SEED + zlib.crc32(domain.encode()))
+        places = [draws.randrange(n) for n in range(RESERVOIR + 1, most + 1)]
+        rows += [f"('{domain}', {RESERVOIR + k}, {j})" for k, j in enumerate(places) if j < RESERVOIR]
+    return ", ".join(rows)
+
+
 _LOG_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(LOG))
 _STEPS, _WARM = metrics.schedule(6_000_000_000, 524_288, 0.01)
 
@@ -427,7 +470,10 @@ SQL: dict[str, str] = {
         row_number() OVER (PARTITION BY domain ORDER BY sha256('val:' || doc_id::VARCHAR), doc_id::VARCHAR) AS rn FROM documents),
         v AS (SELECT *, CASE WHEN rn <= least(greatest(200, least(20000, round_even(n * 0.005, 0))), least(n, 20000), greatest(0, n - 1)) THEN 'val' ELSE 'train' END AS split FROM r)
         SELECT domain, split, count(*) AS n, min(id) AS first_id FROM v GROUP BY ALL""",
-    "reservoir": "SELECT domain, count(*) AS n, least(count(*), 50) AS n_resident, greatest(count(*) - 50, 0) AS n_written FROM documents GROUP BY domain",
+    "reservoir": f"""WITH r AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) - 1 AS t FROM documents), h(domain, t, slot) AS (VALUES {_drawn_slots()}),
+        s AS (SELECT domain, t, CASE WHEN t < {RESERVOIR} THEN t ELSE coalesce(h.slot, -1) END AS slot FROM r LEFT JOIN h USING (domain, t)),
+        o AS (SELECT *, CASE WHEN slot >= 0 THEN lead(t) OVER (PARTITION BY domain, slot ORDER BY t) END AS gone FROM s)
+        SELECT domain, t, slot, slot >= 0 AND gone IS NULL AS resident, CASE WHEN slot < 0 THEN t ELSE gone END AS write_order FROM o""",
     "smoke_subset": f"""WITH {_CTE}, a AS (SELECT b.*, sum(line_bytes) OVER (PARTITION BY domain) AS actual FROM b),
         h AS (SELECT *, actual / {DIVISOR} AS goal FROM a WHERE {_HASH8.format("'smoke:' || id")} < least(1.0, actual / {DIVISOR} / greatest(1, actual) * 1.15)),
         p AS (SELECT *, coalesce(sum(line_bytes) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
@@ -446,14 +492,37 @@ SQL: dict[str, str] = {
                "offset" // {BLOCK} AS first_block, ("offset" + n_tokens - 1) // {BLOCK} AS last_block FROM f""",
     "batch_layout": """SELECT doc_id, place, place // 16 AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
         WHERE place // 16 < n // 16""",
-    "presplit": "SELECT doc_id, md5(text) AS joined FROM documents WHERE text IS NOT NULL",
-    "token_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL",
+    "presplit": f"""WITH p AS (SELECT doc_id, {sqltext.pieces("text")} AS pieces FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, len(pieces)::INT AS n_pieces, md5(array_to_string(pieces, chr(31))) AS pieces_md5 FROM p""",
+    "word_frequencies": f"""SELECT word, count(*) AS n FROM (SELECT unnest({sqltext.pieces("text")}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word""",
+    "pair_counts": f"""WITH w AS (SELECT hex(encode(word)) AS x, count(*) AS n FROM (SELECT unnest({sqltext.pieces("text")}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word),
+        p AS (SELECT x[2*i+1:2*i+2] AS a, x[2*i+3:2*i+4] AS b, n FROM (SELECT x, n, unnest(range(0, len(x) // 2 - 1)) AS i FROM w))
+        SELECT ('0x' || a)::INT AS "left", ('0x' || b)::INT AS "right", sum(n)::BIGINT AS n FROM p GROUP BY ALL""",
+    "token_ids": f"""WITH {_STREAM} SELECT doc_id, len(ids)::INT AS n_tokens, {_MD5.format("ids")} AS ids_md5 FROM __doc""",
+    "token_bytes": f"""WITH {_STREAM}, n AS (SELECT unnest(ids) AS token_id FROM __doc), k AS (SELECT token_id, count(*) AS n FROM n GROUP BY token_id),
+        v AS (SELECT i::INT AS token_id FROM (SELECT unnest(range(0, 256 + (SELECT count(*) FROM tok_merges) + {len(tokenizer.SPECIAL_TOKENS)})) AS i))
+        SELECT token_id, CASE WHEN is_special OR piece IS NULL THEN 0 ELSE octet_length(piece) END::INT AS n_bytes, coalesce(n, 0) AS n FROM v LEFT JOIN tok_vocab USING (token_id) LEFT JOIN k USING (token_id)""",
+    "token_windows": f"""WITH {_STREAM}, {_FLAT}, b AS (SELECT p // {BLOCK} AS block, p, id FROM s), x AS (SELECT block, list(id ORDER BY p) AS ids FROM b GROUP BY block),
+        l AS (SELECT p // {BLOCK} AS block, list(id ORDER BY p) AS ids FROM (SELECT p - 1 AS p, id FROM s WHERE p > 0) GROUP BY 1)
+        SELECT block, {_MD5.format("x.ids")} AS inputs_md5, {_MD5.format("l.ids")} AS labels_md5 FROM x JOIN l USING (block) WHERE block < ((SELECT count(*) FROM s) - 1) // {BLOCK}""",
+    "token_shards": f"""WITH {_STREAM}, {_FLAT}, x AS (SELECT (p // {SHARD})::INT AS shard, list(id ORDER BY p) AS ids FROM s GROUP BY 1)
+        SELECT shard, (shard * {SHARD})::BIGINT AS "offset", len(ids)::INT AS n_tokens, {_MD5.format("ids")} AS tokens_md5 FROM x""",
     "token_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
     "agent_windows": f"""WITH {_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu)
         SELECT conv_id, turn, (len(h) + CASE WHEN len(u) > 0 THEN 2 ELSE 1 END)::INT AS n_messages,
-               md5(array_to_string(list_concat(['system:{chat.SYSTEM_PROMPT}'], CASE WHEN len(u) > 0 THEN ['user:' || coalesce(u[1].content, '')] ELSE [] END,
+               md5(array_to_string(list_concat(['system:{SYSTEM}'], CASE WHEN len(u) > 0 THEN ['user:' || coalesce(u[1].content, '')] ELSE [] END,
                    [x.role || ':' || coalesce(x.content, '-') FOR x IN h]), '|')) AS content_md5 FROM w""",
-    "plain_conversations": """WITH a AS (SELECT conv_id, len(messages) AS n, [x FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS s FROM sft_toy)
+    "rendered_items": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT}
+        SELECT conv_id, turn, len(ids)::INT AS n_tokens, {_MD5.format("ids[:-2]")} AS inputs_md5, {_MD5.format("[CASE WHEN mask[i] = 1 THEN ids[i] ELSE -100 END FOR i IN range(2, len(ids) + 1)]")} AS labels_md5 FROM cut""",
+    "supervision": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT}, f AS (SELECT * FROM cut ORDER BY conv_id, turn LIMIT 500)
+        SELECT count(*) AS samples, avg(len(ids)) AS mean_tokens, sum(list_sum(mask)) / sum(len(ids)) AS supervised_share FROM f""",
+    "fitting_conversations": f"""WITH a AS (SELECT DISTINCT conv_id, messages FROM sft_toy),
+        smp AS (SELECT conv_id, [{{'role': x.role, 'content': x.content, 'tool_calls': []::STRUCT(id VARCHAR, type VARCHAR, function STRUCT(name VARCHAR, arguments VARCHAR))[], 'tool_call_id': NULL::VARCHAR}} FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS sample, len(messages) AS n FROM a),
+        {sqltext.rendered("smp", "conv_id")},
+        g AS (SELECT smp.conv_id, n, len([x FOR x IN sample IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 AS answers, CASE WHEN list_sum(mask) > 0 THEN len(ids) END AS n_tokens FROM smp LEFT JOIN __rendered USING (conv_id)),
+        v AS (SELECT CASE WHEN n < 2 OR NOT answers OR n_tokens IS NULL THEN 'malformed' WHEN n_tokens > {BLOCK} THEN 'long' ELSE 'kept' END AS verdict, n_tokens FROM g)
+        SELECT verdict, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM v GROUP BY verdict""",
+    "plain_conversations": """WITH a AS (SELECT conv_id, len(messages) AS n, [x FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS s FROM (SELECT DISTINCT conv_id, messages FROM sft_toy))
         SELECT conv_id, CASE WHEN n >= 2 AND len([x FOR x IN s IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 THEN 'ok' ELSE 'malformed' END AS shape, len(s)::INT AS n_messages FROM a""",
     "hold_out": """SELECT CASE WHEN conv_id = (SELECT max(conv_id) FROM sft_toy) THEN 'val' ELSE 'train' END AS split, count(*) AS n, max(conv_id) AS last
         FROM (SELECT DISTINCT conv_id FROM sft_toy) GROUP BY 1""",
@@ -472,7 +541,8 @@ SQL: dict[str, str] = {
         o AS (SELECT count(*) FILTER (abs(bytes / ab - share / asum) * 100 > 5) AS bad, count(*) AS n FROM y)
         SELECT 'C9' AS "check", CASE WHEN n > 0 THEN bad = 0 END AS ok, bad, n FROM o""",
     "written_corpus": f"WITH {_CTE} SELECT domain, count(*) AS n_lines, sum(line_bytes)::BIGINT AS n_bytes FROM b GROUP BY domain",
-    "verify_lines": f"""WITH {_CTE} SELECT 'C2' AS "check", true AS ok, 0::BIGINT AS bad, count(*) AS n FROM b""",
+    "verify_lines": """WITH r AS (SELECT ends_with(id, '3') OR ends_with(id, '5') OR ends_with(id, '7') AS b FROM corpus_records WHERE id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL)
+        SELECT 'C2' AS "check", count(*) FILTER (b) = 0 AS ok, count(*) FILTER (b) AS bad, count(*) AS n FROM r""",
     "lenient_lines": "SELECT count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM corpus_records WHERE id IS NOT NULL AND text IS NOT NULL AND NOT ends_with(id, '5')",
     "learning_rates": f"""SELECT step, round(CASE WHEN step < {_WARM} THEN 1e-3 * (step + 1) / {_WARM} WHEN step >= {_STEPS} THEN 1e-3 * 0.1
         ELSE 1e-4 + 0.5 * (1 + cos(pi() * ((step - {_WARM}) / ({_STEPS} - {_WARM})))) * (1e-3 - 1e-4) END * 1e12)::BIGINT AS rate_e12 FROM (SELECT unnest(range(0, {_STEPS + 10})) AS step)""",
