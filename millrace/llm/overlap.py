@@ -8,11 +8,12 @@ records on the other.
    saturating counts. Shingles are ordered by (count, hash), rare ones first. Any order known to both
    sides keeps the prefix filter exact; the sketch only decides how well it prunes. Its size follows
    the evaluation side up to ``MAX_BITS`` (enough for about 170 MB of evaluation text); beyond that more candidates survive, none is lost.
-2. A record of ``m`` shingles is indexed by its first ``m - ceil(t m) + 1``: two records with Jaccard
-   >= t share one of them. A training record with fewer than ``ceil(t m)`` shingles in the bitmap can't
+2. A record of ``m`` shingles is indexed by its first ``m - ceil(t m) + k`` (``PREFIX_SHARED``): two records with Jaccard
+   >= t share ``k`` of them, or all they must share if that is less. A training record with fewer than ``ceil(t m)`` shingles in the bitmap can't
    have a partner and is dropped in the scan; of the others only prefix shingles in a second bitmap, of
-   the index, are sent.
-3. Index and probes, without their texts, are joined on the shingle and filtered by length and position. Nothing is made
+   the index, are sent, and only if there are ``k``.
+3. Index and probes, without their texts, are joined on the shingle and filtered by length and position, of each match and of all of a
+   pair together. Nothing is made
    distinct before the join, so a shingle that very many training records have is split by the engine's handling of skew.
 4. A third bitmap, of the texts in a candidate pair, keeps all other texts out of the last joins: there the texts of the candidates, equal
    texts taken as one, are compared exactly, as sets of words.
@@ -41,6 +42,8 @@ from .words import words
 SHINGLE_WORDS, SIMILARITY = 3, 0.6
 #: Bits of the bitmap: 8 for each evaluation shingle, within these bounds (2^28 bits are 32 MB); a count of a byte for every 8 bits.
 MIN_BITS, MAX_BITS = 20, 28
+#: Prefix shingles a pair must share. The more, the fewer candidates and the longer the prefixes, by one each.
+PREFIX_SHARED = 4
 _PARTS = 16
 _REMEMBERED = 300_000
 _REMEMBERED_TEXTS = 100_000
@@ -143,9 +146,9 @@ def _prefixes(texts: DataFrame, sketch: Sketch, indexed: Sketch | None, n: int,
                 there = sketch.has(h)
                 if not m or there.sum() < need:
                     continue
-                first = sketch.order(h, there)[: m - need + 1]
+                first = sketch.order(h, there)[: m - need + PREFIX_SHARED]
                 at = np.flatnonzero(there[first] if indexed is None else indexed.has(h[first]) & there[first])
-                if len(at):
+                if len(at) >= min(PREFIX_SHARED, need):
                     rows.append((fp, key, m, text, [{"h": a, "pos": b} for a, b in zip(h[first[at]].view(np.int64).tolist(), at.tolist())]))
             if rows:
                 yield dict(zip(("fp", "key", "n", "text", "probes"), zip(*rows)))
@@ -197,11 +200,16 @@ def similar_classes(left: DataFrame, right: DataFrame, text: str, n: int = SHING
         return df.select("key", "n", F.inline("probes")).select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "pos")))
 
     need = F.ceil((F.col("n_e") + F.col("n_t")) * (t / (1 + t)) - 1e-9)
-    bound = F.least(F.col("n_e") - F.col("pos_e"), F.col("n_t") - F.col("pos_t"))
+    shared = F.least(F.lit(PREFIX_SHARED), need)
+    # all shared shingles up to the last one in both prefixes are seen; of the rest the shorter end bounds their number
+    rest = lambda i, j: F.least(F.col("n_e") - i, F.col("n_t") - j)
     candidates = (
         flat(index, "e")
         .join(flat(probes, "t"), "h")
-        .where((F.least("n_e", "n_t") >= t * F.greatest("n_e", "n_t") - 1e-9) & (bound >= need))
+        .where((F.least("n_e", "n_t") >= t * F.greatest("n_e", "n_t") - 1e-9) & (rest(F.col("pos_e"), F.col("pos_t")) > need - PREFIX_SHARED))
+        .groupBy("key_e", "key_t", "n_e", "n_t")
+        .agg(F.count("*").alias("seen"), F.max("pos_e").alias("last_e"), F.max("pos_t").alias("last_t"))
+        .where((F.col("seen") >= shared) & (F.col("seen") + rest(F.col("last_e") + 1, F.col("last_t") + 1) >= need))
         .select("key_e", "key_t")
         .distinct()
     )
