@@ -6,8 +6,8 @@ document is scanned as one character per word (words the items never use become
 hit at word ``i`` is mapped back to characters through the word spans of the original text.
 
 The items are evaluation material and stay small; the automaton is built in every worker from a
-broadcast list whose size is checked (``max_item_words``). Beyond that bound the items are cut into
-several automata, and the documents are scanned once for each: no item is dropped.
+broadcast list whose size is checked before any is fetched (``max_item_words``). Beyond that bound the items are cut by the hash
+of their ids into several automata, fetched one after the other, and the documents are scanned once for each: no item is dropped.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_batches
-from .words import WORD, word_spans, words
+from .words import word_spans, words
 
 RUN_WORDS = 14
 #: Words of evaluation text one automaton may hold (about 60 bytes each in a worker).
 MAX_ITEM_WORDS = 1_000_000
 _SEPARATOR = "\x00"
 #: Codes start above the ASCII range and stay clear of the surrogates.
-_FIRST, _SURROGATES, _AFTER = 0x100, 0xD800, 0xE000
+_FIRST, _SURROGATES, _AFTER, _MOST = 0x100, 0xD800, 0xE000, 0x110000 - 0x800
 
 
 class ItemAutomaton:
@@ -46,6 +46,8 @@ class ItemAutomaton:
             for w in words(text or ""):
                 if w not in alphabet:
                     code = _FIRST + len(alphabet)
+                    if code >= _MOST:
+                        raise ValueError("the evaluation items have more distinct words than there are characters; lower max_item_words")
                     alphabet[w] = chr(code if code < _SURROGATES else code - _SURROGATES + _AFTER)
                 coded.append(alphabet[w])
             line = "".join(coded)
@@ -84,19 +86,6 @@ class ItemAutomaton:
         return out
 
 
-def _groups(items: list[tuple[int, str]], most: int) -> list[list[tuple[int, str]]]:
-    out: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for item in items:
-        size = len(WORD.findall(item[1]))
-        if held and held + size > most:
-            out.append([])
-            held = 0
-        out[-1].append(item)
-        held += size
-    return out
-
-
 def leaked_items(
     docs: DataFrame,
     items: DataFrame,
@@ -116,12 +105,16 @@ def leaked_items(
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     key = items.schema[item_id].dataType.simpleString()
-    held = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).toLocalIterator()]
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    # a word has two bytes at least, with what parts it from the next
+    size = F.coalesce(F.sum(F.octet_length("t")), F.lit(0)) / 2
+    groups = -(-int(rows.agg(size).first()[0]) // max_item_words)
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null")
     schema = f"doc_id {kind}, item_id {key}, n_words int, start int, end int"
     out = None
-    for group in _groups(held, max_item_words):
-        part = map_batches(source, _scanner(docs.sparkSession, ItemAutomaton(group, n)), schema)
+    for g in range(max(1, groups)):
+        own = rows if groups < 2 else rows.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(groups)) == g)
+        part = map_batches(source, _scanner(docs.sparkSession, ItemAutomaton([(r[0], r[1]) for r in own.orderBy("i", "t").collect()], n)), schema)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

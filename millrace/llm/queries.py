@@ -81,15 +81,32 @@ def p4_totals(spark: SparkSession, root: str) -> DataFrame:
     return tokens.token_totals(p4_tokens(spark, root), ["source", "lang", "domain"])
 
 
+def _pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of the oversized messages, redelivered conversations once."""
+    long = splitting.messages(table(spark, root, "sft_toy")).where(F.octet_length("content") > splitting.LIMIT_BYTES).distinct()
+    return splitting.split_texts(long, ["conv_id", "msg_idx", "role"], "content")
+
+
 def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
-    sft = splitting.messages(table(spark, root, "sft_toy"))
-    return splitting.split_texts(sft, ["conv_id", "msg_idx", "role"], "content").distinct()
+    return _pieces(spark, root)
+
+
+def p5_rejoined(spark: SparkSession, root: str) -> DataFrame:
+    """What the pieces of each message say of it: its text again, and how many pieces are too long, empty or overlap too much or with another text."""
+    rows = _pieces(spark, root).withColumn("raw", F.encode("piece", "UTF-8"))
+    own = F.decode(F.expr("substring(raw, cast(new_from - start + 1 as int))"), "UTF-8")
+    each = rows.select("conv_id", "msg_idx", "piece_no", own.alias("own"), F.octet_length("piece").alias("size"), (F.col("new_from") - F.col("start")).alias("overlap"), F.expr("substring(raw, 1, cast(new_from - start as int))").alias("head"), "piece")
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "own", "head", "piece")))
+    whole = each.groupBy("conv_id", "msg_idx").agg(
+        parts.alias("parts"), F.count_if(F.col("size") > 2000).alias("n_long"), F.count_if((F.length("own") == 0) | (F.col("overlap") > 200) | (F.col("overlap") < 0) | ((F.col("piece_no") > 0) & (F.col("overlap") == 0))).alias("n_odd")
+    )
+    text = F.array_join(F.transform("parts", lambda p: p.own), "")
+    unlike = F.exists(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: ~F.endswith(F.encode(F.get("parts", i - 1).piece, "UTF-8"), F.get("parts", i).head))
+    return whole.select("conv_id", "msg_idx", F.md5(text).alias("text_md5"), "n_long", "n_odd", unlike.alias("unlike"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    sft = splitting.messages(table(spark, root, "sft_toy"))
-    pieces = splitting.split_texts(sft, ["conv_id", "msg_idx"], "content")
-    return pieces.where("n_pieces > 1").select("conv_id", "msg_idx").distinct()
+    return _pieces(spark, root).where("n_pieces > 1").select("conv_id", "msg_idx").distinct()
 
 
 def _train_records(spark: SparkSession, root: str) -> DataFrame:
@@ -119,6 +136,13 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_items(counted, "doc_id", "n_tokens", expected=n).withColumnRenamed("item", "doc_id")
 
 
+def p7_assigned(spark: SparkSession, root: str) -> DataFrame:
+    """Each text's tokens and parts as its containers hold them, and how many of its containers hold too much."""
+    packed = p7_containers(spark, root)
+    over = packed.groupBy("grp", "container").agg(F.sum("size").alias("load")).where(F.col("load") > packing.CAPACITY).select("grp", "container", F.lit(1).alias("over"))
+    return packed.join(over, ["grp", "container"], "left").groupBy("doc_id").agg(F.sum("size").alias("n_tokens"), F.count("*").alias("n_parts"), F.count("over").alias("n_over"))
+
+
 def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, root))
 
@@ -142,5 +166,5 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_links, p1_report, p2_found, p2_report, p2_statistics, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p6_mixture, p6_shares, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
+    for f in (p1_found, p1_links, p1_report, p2_found, p2_report, p2_statistics, p3_found, p3_report, p4_tokens, p4_totals, p5_found, p5_pieces, p5_rejoined, p6_mixture, p6_shares, p7_assigned, p7_containers, p7_fill, p8_found, p8_passages, p9_found, p9_repairs)
 }

@@ -3,7 +3,8 @@
 For every boundary of a text the farthest legal successor is found at once: a piece that starts with
 the overlap before the boundary may end at most ``limit`` bytes after that start. Among the ends in
 reach the best kind wins: the last paragraph end, else line end, else sentence end, if it leaves the
-piece at least half full; else the last word end, else the last whole character. The successor table
+piece at least half full; else the last word end; else the last of any of these ends, however early; else the last whole
+character. The successor table
 is then squared again and again while the set of reached boundaries grows by its image, so all cuts of
 the greedy division come out after a logarithmic number of rounds instead of one after the other.
 """
@@ -80,9 +81,14 @@ def cut_points(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES
     least = offset[start] + int(limit * LEAST_FILL)
     successor = np.full(n + 1, -1, np.int32)
     kind = np.full(n + 1, 4, np.int8)
+    far = {}
     for level, marks in enumerate((*ends, whole)):
         k = np.searchsorted(marks, reach, side="right") - 1
-        to = np.r_[marks, -1].astype(np.int32)[k]  # index -1 is the -1
+        far[level] = to = np.r_[marks, -1].astype(np.int32)[k]  # index -1 is the -1
+        if level == 4:  # an early end of a better kind before a cut inside a word
+            for early in range(3):
+                ok = (successor < 0) & (far[early] > nodes) & (far[early] == np.maximum.reduce([far[i] for i in range(3)]))
+                successor[ok], kind[ok] = far[early][ok], early
         ok = (successor < 0) & (to > nodes) & ((to == n) | (level > 2) | (offset[np.maximum(to, 0)] >= least))
         successor[ok], kind[ok] = to[ok], level
     short = successor < 0  # only inside a tower of marks that cuts never reach, and at the end itself

@@ -1,5 +1,7 @@
 """SQL that DuckDB answers like the queries of this package, where SQL can."""
 
+from ..plans import sqltext
+
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 _P1 = rf"""
@@ -63,6 +65,41 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+13], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
 """
 
+P4_TOKENS = f"""WITH {sqltext.token_ids("documents")} SELECT doc_id, source, lang, domain, len(ids)::BIGINT AS n_tokens FROM documents JOIN __ids USING (text)"""
+
+P4_TOTALS = f"""
+WITH {sqltext.token_ids("documents")}, c AS (SELECT source, lang, domain, len(ids)::BIGINT AS n_tokens FROM documents JOIN __ids USING (text))
+SELECT CASE grouping(source, lang, domain) WHEN 0 THEN 'source x lang x domain' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'domain' ELSE 'all' END AS slice,
+       source, lang, domain, count(*) AS n_docs, sum(n_tokens)::BIGINT AS n_tokens
+FROM c GROUP BY GROUPING SETS ((source, lang, domain), (source), (lang), (domain), ())
+"""
+
+P5_REJOINED = """
+SELECT DISTINCT conv_id, (i - 1)::INT AS msg_idx, md5(messages[i].content) AS text_md5, 0::BIGINT AS n_long, 0::BIGINT AS n_odd, false AS unlike
+FROM (SELECT conv_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM sft_toy)
+WHERE strlen(messages[i].content) > 2000
+"""
+
+P7_ASSIGNED = f"""
+WITH {sqltext.token_ids("documents")}, c AS (SELECT doc_id, len(ids)::BIGINT AS n_tokens FROM documents JOIN __ids USING (text))
+SELECT doc_id, n_tokens, greatest(1, ceil(n_tokens / 1024))::BIGINT AS n_parts, 0::BIGINT AS n_over FROM c
+"""
+
+P8_PASSAGES = r"""
+WITH g AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS g FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, g[i] AS x FROM (SELECT doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM g)),
+o AS (SELECT doc_id, i, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM s),
+w AS (SELECT doc_id, list(lower(x) ORDER BY i) AS w, list(stop - length(x) ORDER BY i) AS a, list(stop ORDER BY i) AS z FROM o WHERE regexp_matches(x, '^[\p{L}\p{N}]') GROUP BY doc_id),
+dw AS (SELECT doc_id, a, z, k, array_to_string(w[k:k+13], ' ') AS r FROM (SELECT *, unnest(range(1, len(w) - 12)) AS k FROM w WHERE len(w) >= 14)),
+iv AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+13], ' ') AS r FROM (SELECT *, unnest(range(1, len(w) - 12)) AS k FROM iv WHERE len(w) >= 14)),
+h AS (SELECT doc_id, item_id, k, a, z FROM dw JOIN iw USING (r)),
+n AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_words FROM (SELECT doc_id, item_id, unnest(range(k, k + 14)) AS p FROM h) GROUP BY ALL),
+e AS (SELECT doc_id, item_id, min(a[k]) AS "start", max(z[k + 13]) AS "end" FROM h GROUP BY ALL)
+SELECT doc_id, item_id, n_words::INT AS n_words, "start"::INT AS "start", "end"::INT AS "end" FROM n JOIN e USING (doc_id, item_id)
+"""
+
 SQL: dict[str, str] = {
-    "p1_found": P1_PAIRS, "p1_links": P1_LINKS, "p1_report": P1_REPORT, "p5_found": P5_FOUND, "p6_mixture": P6_MIXTURE, "p6_shares": P6_SHARES, "p8_found": P8_FOUND,
+    "p1_found": P1_PAIRS, "p1_links": P1_LINKS, "p1_report": P1_REPORT, "p4_tokens": P4_TOKENS, "p4_totals": P4_TOTALS, "p5_found": P5_FOUND, "p5_rejoined": P5_REJOINED, "p6_mixture": P6_MIXTURE, "p6_shares": P6_SHARES,
+    "p7_assigned": P7_ASSIGNED, "p8_found": P8_FOUND, "p8_passages": P8_PASSAGES,
 }

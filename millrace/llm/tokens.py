@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, merges: DataFrame, keep: list[str], text: str
         for batch in batches:
             texts = batch.column(0).to_pylist()
             split = [pieces(t) for t in texts]
-            fresh = list({p for doc in split for p in doc if p not in known})
+            fresh = list(set().union(*split) - known.keys())
             known.update(zip(fresh, shared.value.counts([p.encode() for p in fresh]).tolist()))
             get = known.__getitem__
             totals = [sum(map(get, doc)) for doc in split]

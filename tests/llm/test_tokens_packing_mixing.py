@@ -180,3 +180,10 @@ def test_split_tables(spark):
     assert {r.k for r in got} == {1, 6, 7} and len([r for r in got if r.k == 1]) % 2 == 0
     assert all(len(r.piece.encode()) <= 2000 and len(r.piece.encode()) == r.end - r.start for r in got)
     assert splitting.split_texts(df.limit(0), ["k"], "body").count() == 0
+
+
+def test_an_early_end_comes_before_a_cut_inside_a_word():
+    text = "字" * 250 + "。" + "字" * 1000
+    got = splitting.cut_points(text)
+    assert got[0][2:] == (753, "sentence") and "".join(text.encode()[f:e].decode() for _, f, e, _ in got) == text
+    assert [c[3] for c in got[1:-1]] == ["character"] * (len(got) - 2)
