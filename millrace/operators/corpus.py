@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import DROP_REASONS, json_line, record_id, strip, unix_lines
 from ..session import materialise
 from .running import running_sums
+from .split import val_size
 
 MIN_DOC_BYTES = 200
 #: Domains a configuration table may have to be sent to every task.
@@ -178,12 +179,53 @@ def drop_tally(cleaned: DataFrame, kept: DataFrame) -> DataFrame:
     return out.select("domain", "n_read", "n_kept", "utf8", "too_short", (good - F.col("n_kept")).alias("duplicate"), "control_char")
 
 
+def kept_sizes(cleaned: DataFrame) -> DataFrame:
+    """(domain, n_read, n_kept, <drop reasons>, bytes) of cleaned rows: what is read, dropped and kept, with the bytes of the kept lines.
+
+    Only hashes and sizes are shuffled: copies have one size, so neither the texts nor their numbers are needed.
+    """
+    size = F.octet_length(json_line(F.col("text"), F.col("domain"), record_id(F.col("domain"), F.lit(0)))) + 1
+    texts = cleaned.groupBy("domain", "reason", F.unhex(F.sha2("text", 256)).alias("__h")).agg(F.count("*").alias("k"), F.min(size).alias("size"))
+    good = F.col("reason").isNull()
+    return texts.groupBy("domain").agg(
+        F.sum("k").alias("n_read"), F.count_if(good).alias("n_kept"),
+        *(F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("k"))), F.lit(0)).alias(r) for r in ("utf8", "too_short")),
+        F.coalesce(F.sum(F.when(good, F.col("k") - 1)), F.lit(0)).alias("duplicate"),
+        F.coalesce(F.sum(F.when(F.col("reason") == "control_char", F.col("k"))), F.lit(0)).alias("control_char"),
+        F.coalesce(F.sum(F.when(good, F.col("size"))), F.lit(0)).cast("bigint").alias("bytes"),
+    )
+
+
+def domain_results(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``kept_sizes`` with docs_train, docs_val and status for each domain of ``targets`` (domain, target_bytes)."""
+    out = targets.select("domain", "target_bytes").join(sizes, "domain", "left")
+    counts = [c for c in sizes.columns if c != "domain"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})
+    out = out.withColumn("docs_val", val_size(F.col("n_kept"))).withColumn("docs_train", F.col("n_kept") - F.col("docs_val"))
+    status = F.when(F.col("bytes") < F.col("target_bytes") * 0.95, "partial").otherwise("complete")
+    return out.withColumn("status", status)
+
+
+def build_report(results: list[dict]) -> str:
+    """A text report of domain results: sizes, then dropped records, then shortfalls and blocked domains."""
+    rows = sorted(results, key=lambda r: r["domain"])
+    lines = [f"{'domain':<20}{'train':>10}{'val':>8}{'bytes':>16}{'target':>16}  status"]
+    lines += [f"{r['domain']:<20}{r['docs_train']:>10}{r['docs_val']:>8}{r['bytes']:>16}{r['target_bytes']:>16}  {r['status']}" for r in rows]
+    lines += ["", f"{'dropped':<20}" + "".join(f"{c:>14}" for c in DROP_REASONS)]
+    lines += [f"{r['domain']:<20}" + "".join(f"{r[c]:>14}" for c in DROP_REASONS) for r in rows]
+    short = [r for r in rows if r["status"] == "partial"]
+    lines += [""] + [f"{r['domain']} is {r['target_bytes'] - r['bytes']} bytes short ({1 - r['bytes'] / max(1, r['target_bytes']):.1%})" for r in short]
+    lines += [f"{r['domain']} is blocked" for r in rows if r["status"] == "blocked"]
+    return "\n".join([*lines, f"total {sum(r['bytes'] for r in rows)} bytes"])
+
+
 def manifest(lines: DataFrame, config: DataFrame) -> DataFrame:
     """(domain, documents, bytes, actual_share, estimated_tokens) and a row of totals with a null domain.
 
-    ``lines`` has domain and line_bytes. The total's estimate is the sum of the domains'.
+    ``lines`` has domain and line_bytes, or domain, n_kept and bytes of whole domains. The total's estimate is the sum of the domains'.
     """
-    per = lines.groupBy("domain").agg(F.count("*").alias("documents"), F.sum("line_bytes").alias("bytes"))
+    summed = "line_bytes" not in lines.columns
+    per = lines.where("n_kept > 0").select("domain", F.col("n_kept").alias("documents"), "bytes") if summed else lines.groupBy("domain").agg(F.count("*").alias("documents"), F.sum("line_bytes").alias("bytes"))
     est = per.join(small(config.select("domain", "bytes_per_token")), "domain").select(
         "domain", "documents", "bytes", F.floor(F.col("bytes") / F.col("bytes_per_token")).cast("bigint").alias("estimated_tokens")
     )

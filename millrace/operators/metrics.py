@@ -51,7 +51,8 @@ def accumulation(tokens_per_step: int, micro_batch: int, block: int) -> int:
 def read_log(lines: DataFrame, line: str = "value") -> DataFrame:
     """(kind, step, train_loss, val_loss, bpb): the points of a training log and, as kind "final", its last end line's.
 
-    ``lines`` may carry ``n``, the line number, by which the last end line is chosen.
+    Points are in the order of their steps, the final row last; a log without points is an error. ``lines`` may carry ``n``, the line
+    number, by which the last end line is chosen. A log is small: one task orders it.
     """
     c = F.col(line)
     end = F.contains(c, F.lit("epoch end"))
@@ -71,7 +72,9 @@ def read_log(lines: DataFrame, line: str = "value") -> DataFrame:
         value(LOG_END, 2).cast("double").alias("val_loss"),
         value(LOG_END, 3).cast("double").alias("bpb"),
     )
-    return points.unionByName(last)
+    if points.isEmpty():
+        raise ValueError("the log has no points")
+    return points.unionByName(last).coalesce(1).sortWithinPartitions(F.desc("kind"), "step")
 
 
 def top_k(rows: DataFrame, group: list[str], score: str, k: int) -> DataFrame:

@@ -30,13 +30,36 @@ def mix_order(docs: DataFrame, weights: dict[str, float], target: int | None = N
     ``docs``: domain, pos, n_tokens (with everything that is credited). Documents are taken while fewer than
     ``target`` tokens are out; domains without weight are left out; a domain that runs dry drops out and the others go on.
     """
-    check_weights(weights)
+    placed = running_sums(_keyed(docs, weights), [], ["mix_key", "domain", "pos"], {"tokens_before": F.col("n_tokens"), "place": F.lit(1)})
+    return placed if target is None else placed.where(F.col("tokens_before") < target)
+
+
+def _weight_of(weights: dict[str, float]):
     table = F.create_map(*(x for d, w in weights.items() for x in (F.lit(d), F.lit(float(w)))))
+    return table[F.col("domain")]
+
+
+def _keyed(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The documents of domains with a weight, with mix_key."""
+    check_weights(weights)
     own = docs.where(F.col("domain").isin(list(weights)))
     inside = running_sums(own, ["domain"], ["pos"], {"__produced": F.col("n_tokens")})
-    keyed = inside.withColumn("mix_key", F.col("__produced") / table[F.col("domain")]).drop("__produced")
-    placed = running_sums(keyed, [], ["mix_key", "domain", "pos"], {"tokens_before": F.col("n_tokens"), "place": F.lit(1)})
-    return placed if target is None else placed.where(F.col("tokens_before") < target)
+    return inside.withColumn("mix_key", F.col("__produced") / _weight_of(weights)).drop("__produced")
+
+
+def credited(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``docs``, whose domains must all have a weight: a row of another one is an error when it is read."""
+    known = F.col("domain").isin(list(check_weights(weights)))
+    unknown = F.raise_error(F.concat(F.lit("no weight for domain "), F.coalesce(F.col("domain"), F.lit("null"))))
+    return docs.withColumn("domain", F.when(F.coalesce(known, F.lit(False)), F.col("domain")).otherwise(unknown))
+
+
+def check_totals(mixed: DataFrame, written: int) -> int:
+    """The tokens of a mixture, if as many were written."""
+    total = mixed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    if total != written:
+        raise ValueError(f"the mixture has {total} tokens, but {written} were written")
+    return total
 
 
 def mix_stats(mixed: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -53,16 +76,13 @@ def mix_stats(mixed: DataFrame, weights: dict[str, float]) -> DataFrame:
 def exhausted(docs: DataFrame, weights: dict[str, float], target: int) -> DataFrame:
     """(domain): the domains that were asked for a document when they had none left, before the target was reached.
 
-    The end of a domain is a row with the key (all its tokens / weight, domain), asked for only if the documents
-    with smaller keys leave the target unmet.
+    The end of a domain is a row with the key (all its tokens / weight, domain), after its documents; it takes part in the mixture's running
+    sum, and was asked for if the tokens before it leave the target unmet.
     """
-    check_weights(weights)
-    spark = docs.sparkSession
-    table = F.create_map(*(x for d, w in weights.items() for x in (F.lit(d), F.lit(float(w)))))
-    names = spark.createDataFrame([(d,) for d in weights], "domain string")
+    names = docs.sparkSession.createDataFrame([(d,) for d in check_weights(weights)], "domain string")
     sums = docs.groupBy("domain").agg(F.sum("n_tokens").alias("__t"))
-    ends = names.join(sums, "domain", "left").select("domain", (F.coalesce("__t", F.lit(0)) / table[F.col("domain")]).alias("__end"))
-    order = mix_order(docs.select("domain", "pos", "n_tokens"), weights).select(F.col("domain").alias("__d"), "mix_key", "n_tokens")
-    before = order.join(F.broadcast(ends), (F.col("mix_key") < F.col("__end")) | ((F.col("mix_key") == F.col("__end")) & (F.col("__d") <= F.col("domain"))))
-    reached = before.groupBy("domain").agg(F.sum("n_tokens").alias("__r"))
-    return ends.join(reached, "domain", "left").where(F.coalesce("__r", F.lit(0)) < target).select("domain")
+    whole = F.coalesce("__t", F.lit(0)).cast("bigint")
+    ends = names.join(sums, "domain", "left").select("domain", F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("n_tokens"), (whole / _weight_of(weights)).alias("mix_key"))
+    rows = _keyed(docs.select("domain", "pos", "n_tokens"), weights).select("domain", F.lit(0).alias("last"), F.col("pos").cast("bigint").alias("pos"), F.col("n_tokens").cast("bigint").alias("n_tokens"), "mix_key")
+    placed = running_sums(rows.unionByName(ends), [], ["mix_key", "domain", "last", "pos"], {"before": F.col("n_tokens")})
+    return placed.where((F.col("last") == 1) & (F.col("before") < target)).select("domain")

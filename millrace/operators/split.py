@@ -13,6 +13,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
+#: Documents that sampled segments touch to be sent to every task; more are joined by shuffle.
+MAX_HITS = 100_000
+#: Arrivals up to which the exact draws of a reservoir are made; more take ``hashed_val_split``.
+MAX_DRAWS = 200_000_000
 #: Fixed values of the corpus format.
 SEED, VAL_FRACTION, VAL_MIN, VAL_MAX = 20260818, 0.005, 200, 20_000
 
@@ -40,8 +46,10 @@ def hashed_val_split(rows: DataFrame, key: str = "id", seed: str = "val") -> Dat
     if short:
         few = hashed.join(F.broadcast(sizes), "domain").where((unit < bound) | F.col("domain").isin([r[0] for r in short]))
     ranked = few.withColumn("__r", F.row_number().over(Window.partitionBy("domain").orderBy("__h", key))).where("__r <= __k")
-    val = ranked.select(F.col(key).alias("__key"))
-    return rows.join(val.withColumn("__val", F.lit(True)), F.col(key) == F.col("__key"), "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__key", "__val")
+    # an id may be in several domains
+    val = ranked.select(F.col("domain").alias("__d"), F.col(key).alias("__key")).distinct()
+    same = F.col("domain").eqNullSafe(F.col("__d")) & (F.col(key) == F.col("__key"))
+    return rows.join(val.withColumn("__val", F.lit(True)), same, "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__d", "__key", "__val")
 
 
 def reservoir_hits(n: int, capacity: int, seed: int) -> Iterator[tuple[int, int]]:
@@ -63,6 +71,8 @@ def reservoir(rows: DataFrame, domain: str, n: int, capacity: int = VAL_MAX) ->
     time, an evicted row when it is evicted; residents have none. Only the draws after the first
     ``capacity`` are joined, of which few hit a slot; the table of hits is as long as the number of replacements.
     """
+    if n > MAX_DRAWS:
+        raise ValueError(f"{n} arrivals need {n} draws in a row; use hashed_val_split beyond {MAX_DRAWS}")
     spark = rows.sparkSession
     hits = list(reservoir_hits(n, capacity, SEED + zlib.crc32(domain.encode())))
     drawn = spark.createDataFrame(hits, "__t long, __s int") if hits else spark.createDataFrame([], "__t long, __s int")
@@ -83,6 +93,29 @@ def val_slots(domain: str, n: int, held: int) -> list[int]:
     return sorted(random.Random(SEED + zlib.crc32(f"{domain}:val".encode())).sample(range(held), k)) if k else []
 
 
+def val_pick(placed: DataFrame, domain: str, n: int, capacity: int = VAL_MAX) -> DataFrame:
+    """``reservoir``'s rows of a domain with split and split_order: residents drawn for validation, in the order of their slots, all others train.
+
+    To train go first the rows written while the reservoir was filled, in the order of their writing, then the residents left over, by slot.
+    """
+    drawn = val_slots(domain, n, min(n, capacity))
+    slots = F.broadcast(placed.sparkSession.createDataFrame([(i, s) for i, s in enumerate(drawn)], "__i long, __s long"))  # VAL_MAX at most
+    out = placed.join(slots, F.col("resident") & (F.col("slot") == F.col("__s")), "left")
+    place = F.when(F.col("__i").isNotNull(), F.col("__i")).when(F.col("resident"), F.lit(n).cast("bigint") + F.col("slot")).otherwise(F.col("write_order"))
+    return out.withColumns({"split": F.when(F.col("__i").isNotNull(), "val").otherwise("train"), "split_order": place}).drop("__i", "__s")
+
+
+def smoke_val(subset: DataFrame, key: str = "id") -> DataFrame:
+    """``smoke_subset``'s rows with split: of each domain's n rows max(1, min(n, max(round(0.005 n), 20))) of the smallest seeded hash are val, never all of several."""
+    n = F.col("__n")
+    k = F.greatest(F.lit(1), F.least(n, F.greatest(F.rint(n * VAL_FRACTION), F.lit(20)))).cast("bigint")
+    sizes = subset.groupBy("domain").agg(F.count("*").alias("__n")).withColumn("__k", F.least(k, F.greatest(F.lit(1), n - 1)))
+    hashed = subset.join(F.broadcast(sizes), "domain").withColumn("__h", F.sha2(F.concat(F.lit("smoke val:"), F.col(key)), 256))
+    # a subset is a small mirror of fixed size
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy("__h", key))
+    return hashed.withColumn("split", F.when(rank <= F.col("__k"), "val").otherwise("train")).drop("__h", "__n", "__k")
+
+
 def smoke_subset(lines: DataFrame, domains: DataFrame, divisor: int = 500, key: str = "id") -> DataFrame:
     """A small mirror of a corpus: of each domain the lines a seeded coin of probability ``min(1, 1.15 target / actual)`` keeps, until the byte target.
 
@@ -126,18 +159,19 @@ def segment_sample(docs: DataFrame, n_chars: int, n_segments: int, seed: int, or
     """(segment, piece, part): pieces of documents that make up the sampled segments, in order of (segment, piece).
 
     The documents joined by newlines are one long text; each segment is matched by range to the documents
-    it touches. Only lengths are gathered. Texts are cut where they lie.
+    it touches. Only positions and lengths are ranged and summed; the few documents hit are joined to that, and cut where they lie.
     """
     rows = docs.select(F.lit("").alias("domain"), F.col(order).alias("pos"), F.col(text).alias("text"))
-    return _segments(rows, {"": (n_chars, n_segments)}, seed).select("segment", "piece", "part")
+    return _segments(rows, None, {"": (n_chars, n_segments)}, seed).select("segment", "piece", "part")
 
 
-def _segments(docs: DataFrame, plan: dict[str, tuple[int, int]], seed: int) -> DataFrame:
-    """(domain, segment, piece, part) of (domain, pos, text), with (characters, segments) for each domain."""
+def _segments(docs: DataFrame, pool: DataFrame | None, plan: dict[str, tuple[int, int]], seed: int) -> DataFrame:
+    """(domain, segment, piece, part) of (domain, pos, text), with (characters, segments) for each domain; ``pool`` (domain, pos, size) has the documents that count, if not all do."""
     from .running import running_sums
 
-    rows = docs.where(F.col("text").isNotNull()).select("domain", F.col("pos").alias("piece"), F.col("text").alias("__text"), (F.length("text") + 1).alias("__len"))
-    placed = running_sums(rows, ["domain"], ["piece"], {"__at": F.col("__len")})
+    texts = docs.where(F.col("text").isNotNull())
+    sized = texts.select("domain", "pos", F.length("text").alias("size")) if pool is None else pool
+    placed = running_sums(sized.select("domain", F.col("pos").alias("piece"), (F.col("size") + 1).alias("__len")), ["domain"], ["piece"], {"__at": F.col("__len")})
     totals = {r[0]: r[1] - 1 for r in placed.groupBy("domain").agg(F.sum("__len")).collect()}
     drawn = []
     for domain, (n_chars, n_segments) in plan.items():
@@ -148,8 +182,11 @@ def _segments(docs: DataFrame, plan: dict[str, tuple[int, int]], seed: int) -> D
     end = F.col("__from") + F.col("__span")
     lo, hi = F.greatest(F.col("__from"), F.col("__at")), F.least(end, F.col("__at") + F.col("__len"))
     hit = placed.join(segments, (F.col("domain") == F.col("__d")) & (F.col("__at") < end) & (F.col("__at") + F.col("__len") > F.col("__from")))
-    whole = F.concat(F.col("__text"), F.lit("\n"))
-    return hit.select("domain", "segment", "piece", F.substr(whole, (lo - F.col("__at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    hit = materialise(hit.select(F.col("domain").alias("__d"), "segment", "piece", (lo - F.col("__at") + 1).cast("int").alias("__lo"), (hi - lo).cast("int").alias("__n")), "segments")
+    few = F.broadcast(hit) if hit.count() <= MAX_HITS else hit
+    whole = F.concat(F.col("text"), F.lit("\n"))
+    found = texts.join(few, (F.col("domain") == F.col("__d")) & (F.col("pos") == F.col("piece")))
+    return found.select("domain", "segment", "piece", F.substr(whole, F.col("__lo"), F.col("__n")).alias("part"))
 
 
 def training_text(docs: DataFrame, weights: dict[str, float], n_chars: int, n_segments: int, seed: int, oversample: int = 10) -> DataFrame:
@@ -167,10 +204,11 @@ def training_text(docs: DataFrame, weights: dict[str, float], n_chars: int, n_se
         raise ValueError("no domain has a share of the text")
     rows = docs.where(F.col("text").isNotNull() & F.col("domain").isin(list(plan))).select("domain", "pos", "text")
     limits = F.create_map(*(x for d, p in plan.items() for x in (F.lit(d), F.lit(p[0] * oversample))))
-    pool = running_sums(rows, ["domain"], ["pos"], {"__at": F.length("text")}).where(F.col("__at") < limits[F.col("domain")])
+    sized = rows.select("domain", "pos", F.length("text").alias("size"))
+    pool = materialise(running_sums(sized, ["domain"], ["pos"], {"__at": F.col("size")}).where(F.col("__at") < limits[F.col("domain")]).drop("__at"), "pool")
     if missing := set(plan) - {r[0] for r in pool.select("domain").distinct().collect()}:
         raise ValueError(f"no documents of {sorted(missing)} for the tokenizer")
-    return _segments(pool, plan, seed)
+    return _segments(rows, pool, plan, seed)
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:

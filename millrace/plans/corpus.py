@@ -7,7 +7,6 @@ position, sft_toy the conversations.
 from __future__ import annotations
 
 import random
-import uuid
 import zlib
 from collections.abc import Callable
 
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE, json_line
 from ..operators import blocks, chat, corpus, metrics, mix, split, tokenizer, verify
-from ..operators.running import dense_rank, running_sum
-from ..session import materialise, shared_dir, table
+from ..operators.running import dense_rank
+from ..session import materialise, scratch, table
 from ..sources import readers, shards, writers
 from ..streaming import ingest
 from . import sqltext
@@ -51,7 +50,10 @@ def _targets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, root: str) -> dict[str, float]:
-    return {r["domain"]: r["share"] for r in table(spark, root, "domain_config").limit(corpus.MAX_DOMAINS).collect()}
+    rows = table(spark, root, "domain_config").select("domain", "share").limit(corpus.MAX_DOMAINS + 1).collect()
+    if len(rows) > corpus.MAX_DOMAINS:
+        raise ValueError(f"more than {corpus.MAX_DOMAINS} domains")
+    return {r["domain"]: r["share"] for r in rows}
 
 
 def _sized(spark: SparkSession, root: str) -> DataFrame:
@@ -100,14 +102,16 @@ def domain_status(spark, root):
 
 
 def domain_result(spark, root):
-    cleaned, lines = _cleaned(spark, root), _lines(spark, root)
-    tally = corpus.drop_tally(cleaned, lines)
-    size = lines.groupBy("domain").agg(F.sum("line_bytes").alias("bytes"))
-    return tally.join(size, "domain", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    return corpus.kept_sizes(_cleaned(spark, root))
+
+
+def domain_outcome(spark, root):
+    """Documents to train and val, bytes, drops and status of each configured domain."""
+    return corpus.domain_results(corpus.kept_sizes(_cleaned(spark, root)), _targets(spark, root))
 
 
 def manifest(spark, root):
-    return corpus.manifest(_lines(spark, root), table(spark, root, "domain_config"))
+    return corpus.manifest(corpus.kept_sizes(_cleaned(spark, root)), table(spark, root, "domain_config"))
 
 
 def val_sizes(spark, root):
@@ -131,6 +135,21 @@ def reservoir(spark, root):
     return out.select("domain", "t", "slot", "resident", "write_order")
 
 
+def val_pick(spark, root):
+    """Rows of each domain as validation and training data, in their order."""
+    rows = dense_rank(table(spark, root, "documents").select("domain", "doc_id"), ["domain"], ["doc_id"], "t")
+    out = None
+    for domain, n in sorted((r[0], r[1]) for r in rows.groupBy("domain").count().collect()):
+        placed = split.reservoir(rows.where(F.col("domain") == domain), domain, n, RESERVOIR)
+        part = split.val_pick(placed, domain, n, RESERVOIR)
+        out = part if out is None else out.unionByName(part)
+    return out.select("domain", "doc_id", "split", "split_order")
+
+
+def smoke_val(spark, root):
+    return split.smoke_val(smoke_subset(spark, root)).select("domain", "pos", "split")
+
+
 def smoke_subset(spark, root):
     lines = _lines(spark, root)
     goals = lines.groupBy("domain").agg(F.sum("line_bytes").alias("target_bytes"))
@@ -236,7 +255,8 @@ def token_round_trip(spark, root):
 def _placed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     ids = _encoded(spark, root)
     total = ids.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    return blocks.stream_offsets(ids, ["doc_id"], "n") if "n" in ids.columns else running_sum(ids, [], ["doc_id"], F.size("ids"), "offset"), total
+    # only sizes are ranged and summed, the tokens are joined to their offsets
+    return ids.join(blocks.stream_offsets(ids.select("doc_id", F.size("ids").alias("n_tokens")), ["doc_id"]).drop("n_tokens"), "doc_id"), total
 
 
 def token_windows(spark, root):
@@ -248,7 +268,7 @@ def token_shards(spark, root):
     """Shards written to files and read again."""
     shards.register(spark)
     placed, _ = _placed(spark, root)
-    path = f"{shared_dir(spark)}/millrace/shards-{uuid.uuid4().hex}"
+    path = scratch(spark, "shards")
     blocks.shards(placed, SHARD).select("shard", "tokens").write.format("token_shards").mode("append").option("path", path).option("prefix", "train").save()
     read = spark.read.format("token_shards").option("path", path).option("prefix", "train").load()
     return read.select("shard", "offset", F.size("tokens").alias("n_tokens"), _joined("tokens").alias("tokens_md5"))
@@ -286,6 +306,29 @@ def fitting_conversations(spark, root):
     return got.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def _tokenizer(spark: SparkSession, root: str) -> tokenizer.Tokenizer:
+    return tokenizer.Tokenizer.from_table(table(spark, root, "tok_merges"))
+
+
+def prompt_tokens(spark, root):
+    """The tokens before the answer of each agent window's task and history."""
+    samples = chat.agent_windows(table(spark, root, "sft_toy").dropDuplicates(["conv_id"]), ["conv_id"], SYSTEM)
+    before = samples.select("conv_id", "turn", F.slice("sample", F.lit(1), F.size("sample") - 1).alias("sample"))
+    got = chat.prompts(before, _tokenizer(spark, root), ["conv_id", "turn"], BLOCK, "sample")
+    return got.select("conv_id", "turn", F.size("ids").alias("n_tokens"), _joined("ids").alias("ids_md5"))
+
+
+def sft_samples(spark, root):
+    """The first conversations that fit, a half of all at most, in shuffled order."""
+    talks = table(spark, root, "sft_toy").dropDuplicates(["conv_id"])
+    return chat.sft_samples(talks, _tokenizer(spark, root), "conv_id", BLOCK, max(1, talks.count() // 2), 7)[0].select("conv_id", "n_tokens", "place")
+
+
+def sft_counts(spark, root):
+    talks = table(spark, root, "sft_toy").dropDuplicates(["conv_id"])
+    return chat.sft_samples(talks, _tokenizer(spark, root), "conv_id", BLOCK, max(1, talks.count() // 2), 7)[1]
+
+
 def hold_out(spark, root):
     got = chat.hold_out(table(spark, root, "sft_toy").select("conv_id").distinct(), "conv_id")
     return got.groupBy("split").agg(F.count("*").alias("n"), F.max("conv_id").alias("last"))
@@ -297,12 +340,12 @@ def verify_records(spark, root):
 
 
 def verify_shares(spark, root):
-    sizes = _lines(spark, root).groupBy("domain").agg(F.sum("line_bytes").alias("bytes"))
+    sizes = corpus.kept_sizes(_cleaned(spark, root)).select("domain", "bytes")
     return verify.check_shares(sizes, table(spark, root, "domain_config"))
 
 
 def _written(spark: SparkSession, root: str) -> str:
-    path = f"{shared_dir(spark)}/millrace/corpus-{uuid.uuid4().hex}"
+    path = scratch(spark, "corpus")
     lines = _lines(spark, root).select("text", F.col("domain").alias("source"), "id", "domain", F.lit("train").alias("split"), "pos")
     writers.write_corpus(lines, path, limit=100_000)
     return path
@@ -360,7 +403,7 @@ def training_log(spark, root):
 
 def stream_ingest(spark, root):
     """The raw records taken in as a stream; what is kept."""
-    out = f"{shared_dir(spark)}/millrace/ingest-{uuid.uuid4().hex}"
+    out = scratch(spark, "ingest")
     ingest.ingest(spark, f"{root}/raw_records.parquet", out, table(spark, root, "domain_config")).awaitTermination()
     return spark.read.parquet(f"{out}/kept").select("domain", "pos")
 
@@ -368,10 +411,10 @@ def stream_ingest(spark, root):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, manifest,
-        val_sizes, val_split, reservoir, smoke_subset, segment_sample, tokenizer_text, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
+        clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, domain_outcome, manifest,
+        val_sizes, val_split, reservoir, val_pick, smoke_subset, smoke_val, segment_sample, tokenizer_text, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
         presplit, word_frequencies, pair_counts, bpe_training, token_ids, token_bytes, token_round_trip, token_windows, token_shards,
-        agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, hold_out,
+        agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, prompt_tokens, sft_samples, sft_counts, hold_out,
         verify_records, verify_shares, written_corpus, verify_lines, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,
     )
 }
@@ -414,24 +457,57 @@ _MD5 = "md5(array_to_string([__i::VARCHAR FOR __i IN {0}], ','))"
 _STREAM = f"""{sqltext.token_ids("documents")}, __doc AS (SELECT doc_id, list_prepend({sqltext.special(0)}, ids) AS ids FROM documents JOIN __ids USING (text))"""
 _FLAT = """o AS (SELECT doc_id, ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM __doc),
 s AS (SELECT start + i - 1 AS p, ids[i] AS id FROM (SELECT start, ids, unnest(range(1, len(ids) + 1)) AS i FROM o))"""
-_SAMPLES = f"""{_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu),
-smp AS (SELECT conv_id, turn, list_concat([{{'role': 'system', 'content': '{SYSTEM}', 'tool_calls': NULL, 'tool_call_id': NULL}}],
+_SAMPLE_OF = f"""smp AS (SELECT conv_id, turn, list_concat([{{'role': 'system', 'content': '{SYSTEM}', 'tool_calls': NULL, 'tool_call_id': NULL}}],
     CASE WHEN len(u) > 0 THEN [{{'role': 'user', 'content': coalesce(u[1].content, ''), 'tool_calls': NULL, 'tool_call_id': NULL}}] ELSE [] END,
     [{{'role': x.role, 'content': x.content, 'tool_calls': x.tool_calls, 'tool_call_id': x.tool_call_id}} FOR x IN h]) AS sample FROM w)"""
+_SAMPLES = f"{_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu), {_SAMPLE_OF}"
 _CUT = f"""cut AS (SELECT * FROM (SELECT conv_id, turn, CASE WHEN len(ids) > {BLOCK} THEN list_concat(ids[:1], ids[-{BLOCK - 1}:]) ELSE ids END AS ids,
     CASE WHEN len(ids) > {BLOCK} THEN list_concat(mask[:1], mask[-{BLOCK - 1}:]) ELSE mask END AS mask FROM __rendered) WHERE list_sum(mask) > 0)"""
 
 
+_DOMAINS = ("code_issues", "code_python", "code_shell", "cosmopedia", "qa_stackexchange", "terminal_docs", "web_dclm", "web_edu")
+
+
 def _drawn_slots(most: int = 4000) -> str:
     """VALUES of (domain, arrival, slot) hits among the first ``most`` arrivals: each arrival after the reservoir is full draws one of the places so far."""
     rows = []
-    for domain in ("code_issues", "code_python", "code_shell", "cosmopedia", "qa_stackexchange", "terminal_docs", "web_dclm", "web_edu"):
+    for domain in _DOMAINS:
         draws = random.Random(split.SEED + zlib.crc32(domain.encode()))
         places = [draws.randrange(n) for n in range(RESERVOIR + 1, most + 1)]
         rows += [f"('{domain}', {RESERVOIR + k}, {j})" for k, j in enumerate(places) if j < RESERVOIR]
     return ", ".join(rows)
 
 
+def _drawn_val() -> str:
+    """VALUES of (domain, held, place, slot): the validation slots of a domain with ``held`` of at most RESERVOIR rows in its reservoir, in their order.
+
+    As the least validation size is above the reservoir, all slots are drawn, or all but one where no row is beyond it.
+    """
+    rows = []
+    for domain in _DOMAINS:
+        for held in range(2, RESERVOIR + 1):
+            for k in {held - 1, held} if held == RESERVOIR else {held - 1}:
+                picked = random.Random(split.SEED + zlib.crc32(f"{domain}:val".encode())).sample(range(held), k)
+                rows += [f"('{domain}', {held}, {k}, {i}, {s})" for i, s in enumerate(sorted(picked))]
+    return ", ".join(rows)
+
+
+_SMOKE = f"""a AS (SELECT b.*, sum(line_bytes) OVER (PARTITION BY domain) AS actual FROM b),
+        h AS (SELECT *, actual / {DIVISOR} AS goal FROM a WHERE {_HASH8.format("'smoke:' || id")} < least(1.0, actual / {DIVISOR} / greatest(1, actual) * 1.15)),
+        p AS (SELECT *, coalesce(sum(line_bytes) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+        o AS (SELECT domain, pos, id FROM p WHERE before < goal)"""
+_SUBSET = f"""SELECT * FROM o UNION ALL
+        SELECT domain, pos, id FROM a WHERE domain NOT IN (SELECT domain FROM o) AND bytes_before < actual / {DIVISOR} AND n < 50"""
+_RESERVOIR = f"""r AS (SELECT domain, doc_id, row_number() OVER (PARTITION BY domain ORDER BY doc_id) - 1 AS t, count(*) OVER (PARTITION BY domain) AS n FROM documents), h(domain, t, slot) AS (VALUES {_drawn_slots()}),
+        s AS (SELECT domain, doc_id, t, n, CASE WHEN t < {RESERVOIR} THEN t ELSE coalesce(h.slot, -1) END AS slot FROM r LEFT JOIN h USING (domain, t)),
+        o AS (SELECT *, CASE WHEN slot >= 0 THEN lead(t) OVER (PARTITION BY domain, slot ORDER BY t) END AS gone FROM s)"""
+_FIT = f"""a AS (SELECT DISTINCT conv_id, messages FROM sft_toy),
+        smp AS (SELECT conv_id, [{{'role': x.role, 'content': x.content, 'tool_calls': []::STRUCT(id VARCHAR, type VARCHAR, function STRUCT(name VARCHAR, arguments VARCHAR))[], 'tool_call_id': NULL::VARCHAR}} FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS sample, len(messages) AS n FROM a),
+        {sqltext.rendered("smp", "conv_id")},
+        g AS (SELECT smp.conv_id, n, len([x FOR x IN sample IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 AS answers, CASE WHEN list_sum(mask) > 0 THEN len(ids) END AS n_tokens FROM smp LEFT JOIN __rendered USING (conv_id)),
+        v AS (SELECT conv_id, CASE WHEN n < 2 OR NOT answers OR n_tokens IS NULL THEN 'malformed' WHEN n_tokens > {BLOCK} THEN 'long' ELSE 'kept' END AS verdict, n_tokens FROM g),
+        k AS (SELECT *, count(*) FILTER (verdict = 'kept') OVER (ORDER BY conv_id) AS before_and_this FROM v),
+        q AS (SELECT * FROM k WHERE before_and_this - (verdict = 'kept')::INT < greatest(1, (SELECT count(*) FROM a) // 2))"""
 _LOG_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(LOG))
 _STEPS, _WARM = metrics.schedule(6_000_000_000, 524_288, 0.01)
 
@@ -470,16 +546,28 @@ SQL: dict[str, str] = {
         row_number() OVER (PARTITION BY domain ORDER BY sha256('val:' || doc_id::VARCHAR), doc_id::VARCHAR) AS rn FROM documents),
         v AS (SELECT *, CASE WHEN rn <= least(greatest(200, least(20000, round_even(n * 0.005, 0))), least(n, 20000), greatest(0, n - 1)) THEN 'val' ELSE 'train' END AS split FROM r)
         SELECT domain, split, count(*) AS n, min(id) AS first_id FROM v GROUP BY ALL""",
-    "reservoir": f"""WITH r AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) - 1 AS t FROM documents), h(domain, t, slot) AS (VALUES {_drawn_slots()}),
-        s AS (SELECT domain, t, CASE WHEN t < {RESERVOIR} THEN t ELSE coalesce(h.slot, -1) END AS slot FROM r LEFT JOIN h USING (domain, t)),
-        o AS (SELECT *, CASE WHEN slot >= 0 THEN lead(t) OVER (PARTITION BY domain, slot ORDER BY t) END AS gone FROM s)
+    "val_pick": f"""WITH {_RESERVOIR}, d(domain, held, k, i, slot) AS (VALUES {_drawn_val()}),
+        p AS (SELECT o.domain, doc_id, t, n, o.slot, gone, i FROM o LEFT JOIN d ON o.slot >= 0 AND gone IS NULL AND d.domain = o.domain AND d.slot = o.slot AND d.held = least(n, {RESERVOIR}) AND d.k = least(200, least(n, {RESERVOIR}), n - 1))
+        SELECT domain, doc_id, CASE WHEN i IS NULL THEN 'train' ELSE 'val' END AS split,
+               CASE WHEN i IS NOT NULL THEN i WHEN slot >= 0 AND gone IS NULL THEN n + slot WHEN slot < 0 THEN t ELSE gone END AS split_order FROM p""",
+    "smoke_val": f"""WITH {_CTE}, {_SMOKE}, sub AS ({_SUBSET}), z1 AS (SELECT *, count(*) OVER (PARTITION BY domain) AS m, row_number() OVER (PARTITION BY domain ORDER BY sha256('smoke val:' || id), id) AS rk FROM sub)
+        SELECT domain, pos, CASE WHEN rk <= least(greatest(1, least(m, greatest(round_even(m * 0.005, 0), 20))), greatest(1, m - 1)) THEN 'val' ELSE 'train' END AS split FROM z1""",
+    "domain_outcome": f"""WITH {_CTE}, y AS (SELECT domain, count(*) AS n_read, count(*) FILTER (reason = 'utf8') AS utf8, count(*) FILTER (reason = 'too_short') AS too_short,
+        count(*) FILTER (reason = 'control_char') AS control_char, count(*) FILTER (reason IS NULL) AS good FROM x GROUP BY domain),
+        w AS (SELECT domain, count(*) AS n_kept, sum(line_bytes)::BIGINT AS bytes FROM b GROUP BY domain),
+        j AS (SELECT g.domain, target_bytes, coalesce(n_read, 0) AS n_read, coalesce(n_kept, 0) AS n_kept, coalesce(utf8, 0) AS utf8, coalesce(too_short, 0) AS too_short, coalesce(good, 0) - coalesce(n_kept, 0) AS duplicate,
+            coalesce(control_char, 0) AS control_char, coalesce(bytes, 0)::BIGINT AS bytes FROM g LEFT JOIN y USING (domain) LEFT JOIN w USING (domain)),
+        v AS (SELECT *, least(greatest(200, least(20000, round_even(n_kept * 0.005, 0))), least(n_kept, 20000), greatest(0, n_kept - 1))::BIGINT AS docs_val FROM j)
+        SELECT *, n_kept - docs_val AS docs_train, CASE WHEN bytes < target_bytes * 0.95 THEN 'partial' ELSE 'complete' END AS status FROM v""",
+    "prompt_tokens": f"""WITH {_BODY}, w AS (SELECT conv_id, (i - 1)::INT AS turn, u, body[greatest(1, i - 6):i] AS h FROM tu), {_SAMPLE_OF}, pre AS (SELECT conv_id, turn, sample[:-2] AS sample FROM smp),
+        {sqltext.rendered("pre", "conv_id, turn")}, f AS (SELECT conv_id, turn, list_append(ids, {sqltext.special(3)}) AS ids FROM __rendered),
+        c2 AS (SELECT conv_id, turn, CASE WHEN len(ids) > {BLOCK} THEN list_concat(ids[:1], ids[-{BLOCK - 1}:]) ELSE ids END AS ids FROM f)
+        SELECT conv_id, turn, len(ids)::INT AS n_tokens, {_MD5.format("ids")} AS ids_md5 FROM c2""",
+    "sft_samples": f"""WITH {_FIT} SELECT conv_id, n_tokens::INT AS n_tokens, row_number() OVER (ORDER BY sha256('7:' || conv_id::VARCHAR)) - 1 AS place FROM q WHERE verdict = 'kept'""",
+    "sft_counts": f"""WITH {_FIT} SELECT verdict, count(*) AS n FROM q GROUP BY verdict""",
+    "reservoir": f"""WITH {_RESERVOIR}
         SELECT domain, t, slot, slot >= 0 AND gone IS NULL AS resident, CASE WHEN slot < 0 THEN t ELSE gone END AS write_order FROM o""",
-    "smoke_subset": f"""WITH {_CTE}, a AS (SELECT b.*, sum(line_bytes) OVER (PARTITION BY domain) AS actual FROM b),
-        h AS (SELECT *, actual / {DIVISOR} AS goal FROM a WHERE {_HASH8.format("'smoke:' || id")} < least(1.0, actual / {DIVISOR} / greatest(1, actual) * 1.15)),
-        p AS (SELECT *, coalesce(sum(line_bytes) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
-        o AS (SELECT domain, pos, id FROM p WHERE before < goal)
-        SELECT * FROM o UNION ALL
-        SELECT domain, pos, id FROM a WHERE domain NOT IN (SELECT domain FROM o) AND bytes_before < actual / {DIVISOR} AND n < 50""",
+    "smoke_subset": f"""WITH {_CTE}, {_SMOKE} {_SUBSET}""",
     "epoch_order": "SELECT * FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('1235:' || doc_id::VARCHAR)) - 1 AS place FROM documents) WHERE place >= 10",
     "mix_order": f"WITH {_MIX} SELECT doc_id, domain, place, tokens_before FROM m",
     "mix_stats": f"""WITH {_MIX}, t AS (SELECT c.domain, share AS target_share, coalesce(sum(n_tokens), 0)::BIGINT AS tokens, count(n_tokens) AS documents
@@ -516,12 +604,7 @@ SQL: dict[str, str] = {
         SELECT conv_id, turn, len(ids)::INT AS n_tokens, {_MD5.format("ids[:-2]")} AS inputs_md5, {_MD5.format("[CASE WHEN mask[i] = 1 THEN ids[i] ELSE -100 END FOR i IN range(2, len(ids) + 1)]")} AS labels_md5 FROM cut""",
     "supervision": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT}, f AS (SELECT * FROM cut ORDER BY conv_id, turn LIMIT 500)
         SELECT count(*) AS samples, avg(len(ids)) AS mean_tokens, sum(list_sum(mask)) / sum(len(ids)) AS supervised_share FROM f""",
-    "fitting_conversations": f"""WITH a AS (SELECT DISTINCT conv_id, messages FROM sft_toy),
-        smp AS (SELECT conv_id, [{{'role': x.role, 'content': x.content, 'tool_calls': []::STRUCT(id VARCHAR, type VARCHAR, function STRUCT(name VARCHAR, arguments VARCHAR))[], 'tool_call_id': NULL::VARCHAR}} FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS sample, len(messages) AS n FROM a),
-        {sqltext.rendered("smp", "conv_id")},
-        g AS (SELECT smp.conv_id, n, len([x FOR x IN sample IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 AS answers, CASE WHEN list_sum(mask) > 0 THEN len(ids) END AS n_tokens FROM smp LEFT JOIN __rendered USING (conv_id)),
-        v AS (SELECT CASE WHEN n < 2 OR NOT answers OR n_tokens IS NULL THEN 'malformed' WHEN n_tokens > {BLOCK} THEN 'long' ELSE 'kept' END AS verdict, n_tokens FROM g)
-        SELECT verdict, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM v GROUP BY verdict""",
+    "fitting_conversations": f"""WITH {_FIT} SELECT verdict, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM v GROUP BY verdict""",
     "plain_conversations": """WITH a AS (SELECT conv_id, len(messages) AS n, [x FOR x IN messages IF x.role IN ('system', 'user', 'assistant')] AS s FROM (SELECT DISTINCT conv_id, messages FROM sft_toy))
         SELECT conv_id, CASE WHEN n >= 2 AND len([x FOR x IN s IF x.role = 'assistant' AND coalesce(x.content, '') <> '']) > 0 THEN 'ok' ELSE 'malformed' END AS shape, len(s)::INT AS n_messages FROM a""",
     "hold_out": """SELECT CASE WHEN conv_id = (SELECT max(conv_id) FROM sft_toy) THEN 'val' ELSE 'train' END AS split, count(*) AS n, max(conv_id) AS last

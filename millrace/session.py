@@ -24,10 +24,13 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all run on this machine, as in tests."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_millrace_dir", None)
     if not given:
+        master = sc.getConf().get("spark.master") or "local"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = sc._millrace_dir = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getpid()}")
     return given.rstrip("/")
 
@@ -49,19 +52,26 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder in the shared one, removed when the JVM ends."""
+    path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Cuts the lineage at the price of one write; the table survives the loss of any executor
     and is removed when the JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, tag)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -9,12 +9,14 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import map_partition
 
+#: Splits of text files whose first line numbers are sent to every task; more are joined by shuffle.
+MAX_SPLITS = 200_000
 RECORD = "text string, source string, id string"
 MESSAGES = (
     "array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string>>"
@@ -52,6 +54,19 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``read_lines`` with ``line``, the number of each line in its file, from 1.
+
+    Every split counts its lines first; a line's number is its place in its split and the lines of the file's earlier splits.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    splits = rows.groupBy("file", "__b").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "__b", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    small = F.broadcast(splits) if splits.limit(MAX_SPLITS + 1).count() <= MAX_SPLITS else splits
+    return rows.join(small, ["file", "__b"]).select("value", "file", (F.col("__before") + F.col("__m") - F.col("__first") + 1).alias("line"))
+
+
 def read_zstd_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file) of zstandard files: each file is decompressed as a stream by one task."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -82,7 +97,7 @@ def lenient(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def strict(lines: DataFrame, where: Column) -> DataFrame:
-    """``lines`` with text; a malformed line, or a text that is missing, empty or no string, is an error that names ``where``.
+    """``lines`` with text; a malformed line, or a text that is missing, empty or no string, is an error that names ``where``, as file:line.
 
     Blank lines are passed over.
     """
@@ -95,31 +110,41 @@ def strict(lines: DataFrame, where: Column) -> DataFrame:
     return lines.where(F.btrim("value", F.lit(" \t\r\n")) != "").withColumn("text", checked)
 
 
-def corpus_files(root: str, domain: str, split: str) -> list[str]:
-    """The sorted JSON-lines files of a split, found before a job starts."""
-    folder = Path(root) / domain
-    if not folder.is_dir():
+def corpus_files(spark: SparkSession, root: str, domain: str, split: str) -> list[str]:
+    """The sorted JSON-lines files of a split, on any file system, found before a job starts."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{domain}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def found(pattern: str) -> list[str]:
+        return sorted(s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, pattern)) or [])
+
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
         raise FileNotFoundError(f"no folder {folder}")
-    if found := sorted(map(str, folder.glob(f"{split}_*.jsonl"))):
-        return found
-    if list(folder.glob(f"{split}_*.jsonl.zst")):
+    if files := found(f"{split}_*.jsonl"):
+        return files
+    if found(f"{split}_*.jsonl.zst"):
         raise FileNotFoundError(f"{folder} has only compressed {split} files; decompress them or use read_zstd_lines")
     raise FileNotFoundError(f"{folder} has no {split} files")
 
 
+def _place() -> Column:
+    return F.concat("file", F.lit(":"), F.col("line").cast("string"))
+
+
 def read_corpus(spark: SparkSession, root: str, domain: str, split: str) -> DataFrame:
     """(text, source, id, file) of a domain's split, read strictly."""
-    lines = strict(read_lines(spark, corpus_files(root, domain, split)), F.col("file"))
+    lines = strict(numbered_lines(spark, corpus_files(spark, root, domain, split)), _place())
     rest = F.from_json("value", "source string, id string")
     return lines.select("text", rest["source"].alias("source"), rest["id"].alias("id"), "file")
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     """(messages, file) of SFT lines; a line without a non-empty message list is an error."""
-    lines = read_lines(spark, path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
+    lines = numbered_lines(spark, path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
     messages = F.from_json("value", f"messages {MESSAGES}")["messages"]
     ok = F.coalesce(F.size(messages), F.lit(0)) > 0
-    return lines.select(F.when(ok, messages).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": no messages")))).alias("messages"), "file")
+    return lines.select(F.when(ok, messages).otherwise(F.raise_error(F.concat(_place(), F.lit(": no messages")))).alias("messages"), "file")
 
 
 _OVERSTRIKE = ".\x08"

@@ -85,3 +85,11 @@ def test_top_k_keeps_ties(spark):
     assert [tuple(p) for p in df.select(metrics.top_k_of(F.col("v"), 3)).first()[0]] == [(0, 5), (2, 5), (3, 3), (4, 3)]
     rows = df.select("k", F.posexplode("v").alias("i", "s"))
     assert sorted(r.i for r in metrics.top_k(rows, ["k"], "s", 3).collect()) == [0, 2, 3, 4]
+
+
+def test_logs_are_ordered_and_have_points(spark):
+    lines = ["step 20 train loss = 2.0 val loss = 3.0 bpb = 1.0", "x", "step 10 train loss = 4.0 val loss = 5.0 bpb = 1.5", "[epoch end] step 30 val loss = 2.5 bpb = 0.9"]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    assert [(r.kind, r.step) for r in metrics.read_log(df).collect()] == [("point", 10), ("point", 20), ("final", 30)]
+    with pytest.raises(ValueError, match="no points"):
+        metrics.read_log(df.where("n = 1"))

@@ -240,3 +240,68 @@ def test_file_share_and_smoke_checks(spark):
     assert verify.check_smoke(sizes, small).first().ok is True and verify.check_smoke(sizes, sizes).first().ok is False
     lines = spark.createDataFrame([('{"text":"a","source":"b","id":"c"}',), ("",), ("x",), ('{"text":1}',)], "value string")
     assert tuple(verify.check_lines(lines).first())[2:] == (2, 3)
+
+
+def test_sizes_equal_the_numbered_lines(spark):
+    rows = [(t, d, None) for d in ("a", "b") for t in ("one text", "two texts", "one text", "thr\"ee")] + [(None, "a", r) for r in ("utf8", "too_short", "too_short", "control_char")] + [(None, "c", "utf8")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "text string, domain string, reason string, pos bigint")
+    lines = corpus.numbered(corpus.first_copies(df.where("reason is null").drop("reason")))
+    want = {r.domain: r.asDict() for r in corpus.drop_tally(df, lines).collect()}
+    size = {r[0]: r[1] for r in lines.groupBy("domain").agg(F.sum("line_bytes")).collect()}
+    got = {r.domain: r.asDict() for r in corpus.kept_sizes(df).collect()}
+    assert got == {d: {**w, "bytes": size.get(d, 0)} for d, w in want.items()}
+    assert corpus.kept_sizes(df.limit(0)).count() == 0
+    targets = spark.createDataFrame([("a", 10), ("b", 10_000), ("z", 5)], "domain string, target_bytes bigint")
+    out = {r.domain: r for r in corpus.domain_results(corpus.kept_sizes(df), targets).collect()}
+    assert (out["a"].status, out["a"].docs_val, out["a"].docs_train) == ("complete", 2, 1) and out["b"].status == out["z"].status == "partial" and out["z"].n_read == 0
+    report = corpus.build_report([r.asDict() for r in out.values()])
+    assert "b is " in report and "z is 5 bytes short (100.0%)" in report and "a is" not in report
+
+
+def test_an_id_in_two_domains_is_split_in_each(spark):
+    rows = [(d, f"{i}") for d in ("a", "b") for i in range(300)]
+    got = split.hashed_val_split(spark.createDataFrame(rows, "domain string, id string"))
+    assert got.count() == 600 and {(r.domain, r["n"]) for r in got.where("split = 'val'").groupBy("domain").agg(F.count("*").alias("n")).collect()} == {("a", 200), ("b", 200)}
+
+
+def test_validation_pick_in_its_order(spark):
+    n, held = 900, 300
+    rows = spark.range(n).select(F.lit("d").alias("domain"), F.col("id").alias("t"))
+    got = split.val_pick(split.reservoir(rows, "d", n, held), "d", n, held).collect()
+    # a model that walks through the arrivals
+    import random
+    import zlib
+
+    draws, places, train = random.Random(split.SEED + zlib.crc32(b"d")), [], []
+    for t in range(n):
+        j = t if t < held else draws.randrange(t + 1)
+        if j >= held:
+            train.append(t)
+        elif t < held:
+            places.append(t)
+        else:
+            train.append(places[j])
+            places[j] = t
+    drawn = split.val_slots("d", n, held)
+    train += [t for s, t in enumerate(places) if s not in set(drawn)]
+    by = lambda s: [r.t for r in sorted((r for r in got if r.split == s), key=lambda r: r.split_order)]
+    assert by("val") == [places[s] for s in drawn] and sorted(by("train")) == sorted(train) and by("train")[-len(places) + len(drawn) :] == train[-len(places) + len(drawn) :]
+
+
+def test_small_mirrors_have_a_validation_part(spark):
+    rows = [(d, i, f"{d}/{i}") for d, n in (("a", 1), ("b", 2), ("c", 30)) for i in range(n)]
+    got = {(r.domain, r.split): r.n for r in split.smoke_val(spark.createDataFrame(rows, "domain string, pos bigint, id string")).groupBy("domain", "split").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", "val"): 1, ("b", "val"): 1, ("b", "train"): 1, ("c", "val"): 20, ("c", "train"): 10}
+
+
+def test_texts_are_not_ranged(spark, monkeypatch):
+    """What running sums range and write has keys and sizes alone."""
+    from millrace.operators import running
+
+    seen = []
+    whole = running.materialise
+    monkeypatch.setattr(running, "materialise", lambda df, tag: seen.append(df.columns) or whole(df, tag))
+    docs = spark.createDataFrame([(i, "d", "some text of a document") for i in range(50)], "pos bigint, domain string, text string")
+    split.segment_sample(docs, 100, 5, 0).collect()
+    split.training_text(docs, {"d": 1.0}, 100, 5, 0).collect()
+    assert seen and all("text" not in c for c in seen)

@@ -1,6 +1,8 @@
 import ast
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -37,3 +39,10 @@ def test_the_shared_folder_is_the_clusters_or_our_own(spark):
 
     own = shared_dir(Bare)
     assert own.startswith("file:///") and shared_dir(Bare) == own
+
+    class Cluster(Bare):
+        class sparkContext:
+            getConf = staticmethod(lambda: {"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)

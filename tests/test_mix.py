@@ -46,3 +46,13 @@ def test_shares_and_bad_weights(spark):
     for bad in ({}, {"a": 0.5}, {"a": 1.5, "b": -0.5}):
         with pytest.raises(ValueError):
             mix.mix_order(df, bad)
+
+
+def test_unknown_domains_and_totals(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], "domain string, pos bigint, n_tokens bigint")
+    assert mix.credited(df, {"a": 0.5, "b": 0.5}).count() == 2
+    with pytest.raises(Exception, match="no weight for domain b"):
+        mix.credited(df, {"a": 1.0}).collect()
+    assert mix.check_totals(df, 30) == 30 and mix.check_totals(df.limit(0), 0) == 0
+    with pytest.raises(ValueError):
+        mix.check_totals(df, 31)

@@ -27,7 +27,7 @@ def test_strict_and_lenient_lines(spark, tmp_path):
     (tmp_path / "b" / "train_000.jsonl.zst").write_bytes(b"")
     for domain, message in (("b", "compressed"), ("c", "no folder"), ("a", "no val")):
         with pytest.raises(FileNotFoundError, match=message):
-            readers.corpus_files(str(tmp_path), domain, "val" if domain == "a" else "train")
+            readers.corpus_files(spark, str(tmp_path), domain, "val" if domain == "a" else "train")
 
 
 def test_compressed_lines(spark, tmp_path):
@@ -126,3 +126,24 @@ def test_ingest_in_batches_keeps_what_one_batch_keeps(spark, tmp_path):
     file = next((tmp_path / "one").glob("*.parquet"))
     ingest.ingest(spark, str(file), str(tmp_path / "out2"), config).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out2") + "/kept").count() == len(seen)
+
+
+def test_errors_name_the_line(spark, tmp_path):
+    good = '{"text": "some text", "source": "a", "id": "a/1"}\n'
+    folder = tmp_path / "a"
+    folder.mkdir()
+    (folder / "train_000.jsonl").write_text(good * 700)
+    for k, bad in enumerate(("not json", '{"id": "no text"}', '{"text": 5}')):
+        (folder / "train_001.jsonl").write_text(good * 300 + "\n" + good * 20 + bad + "\n" + good * 500)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits
+        try:
+            lines = readers.numbered_lines(spark, readers.corpus_files(spark, str(tmp_path), "a", "train"))
+            per = lines.groupBy("file").agg(F.count("*"), F.countDistinct("line"), F.max("line")).collect()
+            assert sorted(tuple(r)[1:] for r in per) == [(700, 700, 700), (822, 822, 822)]
+            with pytest.raises(Exception, match=r"train_001.jsonl:322: "):
+                readers.read_corpus(spark, str(tmp_path), "a", "train").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "s.jsonl").write_text('{"messages": [{"role": "user", "content": "q"}]}\n\n{"messages": []}\n')
+    with pytest.raises(Exception, match=r"s.jsonl:3: no messages"):
+        readers.read_conversations(spark, str(tmp_path / "s.jsonl")).collect()
