@@ -7,6 +7,7 @@ string replacement: greedy, left to right, without overlap.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 from collections import Counter
@@ -28,6 +29,7 @@ SPECIAL_TOKENS = (
     *(f"<|reserved_{i}|>" for i in range(32)),
 )
 CACHE_WORDS = 100_000
+MAX_RULES = 65_536 - 256
 #: Token ids are characters from here on, clear of the surrogates.
 LIFT = 0x10000
 
@@ -124,8 +126,11 @@ class Tokenizer:
 
     @classmethod
     def from_table(cls, merges: DataFrame) -> Tokenizer:
-        """From a (merge_no, left_id, right_id, new_id) table."""
-        return cls([(r[1], r[2]) for r in sorted(merges.select("merge_no", "left_id", "right_id").collect())])
+        """From a (merge_no, left_id, right_id, new_id) table; ids of 16 bits allow no more rules than ``MAX_RULES``."""
+        rows = merges.select("merge_no", "left_id", "right_id").limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} merge rules")
+        return cls([(r[1], r[2]) for r in sorted(rows)])
 
 
 def _utf8(text: str) -> bytes:
@@ -181,47 +186,72 @@ def train(words: list[tuple[str, int]], n_merges: int) -> Tokenizer:
     """Learn merges from (word, count) in order of first occurrence.
 
     The pair with the largest weighted count wins, ties the pair met first. Counts are kept up to date for the words that
-    a merge changes instead of counting all words again. Stops early when no pair is left.
+    a merge changes instead of counting all words again. A heap has the pairs by count and first word; an entry that has become
+    worse is put right when it comes up, one that becomes better is put in anew, so a merge costs what it changes. Stops early when no pair is left.
     """
     lifted = [_lift(_utf8(w)) for w, _ in words]
     freqs = [n for _, n in words]
-    counts: Counter = Counter()
+    counts: dict[str, int] = {}
     where: dict[str, set[int]] = {}
     for i, (s, n) in enumerate(zip(lifted, freqs)):
-        for k in range(len(s) - 1):
-            counts[s[k : k + 2]] += n
-            where.setdefault(s[k : k + 2], set()).add(i)
+        for p in map(str.__add__, s, s[1:]):
+            counts[p] = counts.get(p, 0) + n
+            where.setdefault(p, set()).add(i)
+    heap = [(-n, min(where[p]), p) for p, n in counts.items()]
+    heapq.heapify(heap)
     merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges and counts:
-        top = max(counts.values())
-        tied = [p for p, n in counts.items() if n == top]
-        if len(tied) > 1:
-            tied = [min(tied, key=lambda p: min((i, lifted[i].find(p)) for i in where[p]))]
-        pair = tied[0]
+    while len(merges) < n_merges:
+        tied: list[str] = []  # of one count and one first word
+        key = None
+        while heap and (key is None or heap[0][:2] == key):
+            *found, p = heapq.heappop(heap)
+            now = counts.get(p, 0)
+            if now <= 0:
+                continue
+            true = (-now, min(where[p]))
+            if true != tuple(found):
+                heapq.heappush(heap, (*true, p))
+            elif p not in tied:
+                key = true
+                tied.append(p)
+        if key is None:
+            break
+        pair = min(tied, key=lifted[key[1]].find)
+        for p in tied:
+            if p != pair:
+                heapq.heappush(heap, (*key, p))
         new = chr(LIFT + 256 + len(merges))
-        for i in list(where[pair]):
-            before = lifted[i]
+        changed: dict[str, int] = {}
+        earlier: set[str] = set()
+        for i in sorted(where[pair]):
+            before, n = lifted[i], freqs[i]
             after = before.replace(pair, new)
-            for s, sign in ((before, -1), (after, 1)):
-                for k in range(len(s) - 1):
-                    p = s[k : k + 2]
-                    counts[p] += sign * freqs[i]
-                    if sign > 0:
-                        where.setdefault(p, set()).add(i)
-            left = {after[k : k + 2] for k in range(len(after) - 1)}
-            for k in range(len(before) - 1):
-                p = before[k : k + 2]
-                if p not in left:
-                    where[p].discard(i)
+            old, left = list(map(str.__add__, before, before[1:])), list(map(str.__add__, after, after[1:]))
+            for p in old:
+                changed[p] = changed.get(p, 0) - n
+            for p in left:
+                changed[p] = changed.get(p, 0) + n
+            kept = set(left)
+            for p in set(old) - kept:
+                where[p].discard(i)
+            for p in kept.difference(old):
+                where.setdefault(p, set()).add(i)
+                earlier.add(p)
             lifted[i] = after
+        for p, d in changed.items():
+            if d:
+                counts[p] = counts.get(p, 0) + d
+                if counts[p] <= 0:
+                    del counts[p]
+                    where.pop(p, None)
+        for p in earlier:  # pairs in more words, which alone can have become better
+            if p in counts:
+                heapq.heappush(heap, (-counts[p], min(where[p]), p))
         merges.append((ord(pair[0]) - LIFT, ord(pair[1]) - LIFT))
-        for p in [p for p, n in counts.items() if n <= 0]:
-            del counts[p]
-            where.pop(p, None)
     return Tokenizer(merges)
 
 
-def train_on(docs: DataFrame, order: str, vocab_size: int, text: str = "text", max_words: int = 20_000_000) -> Tokenizer:
+def train_on(docs: DataFrame, order: str, vocab_size: int, text: str = "text", max_words: int = 2_000_000) -> Tokenizer:
     """Train on a table; words are counted by Spark, the distinct ones (at most ``max_words``) merged on the driver.
 
     The training text is a sample of fixed size (see ``split.segment_sample``), so its distinct words are bounded too.

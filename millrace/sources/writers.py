@@ -32,8 +32,11 @@ def write_corpus(records: DataFrame, path: str, compression: str = "none", limit
     The output committer makes the write atomic. ``compression``: none, gzip or bzip2.
     """
     line = json_line(F.col("text"), F.col("source"), F.col("id"))
-    sized = records.select("domain", "split", "pos", line.alias("value"), (F.octet_length(line) + 1).cast("bigint").alias("line_bytes"))
-    numbered = file_numbers(sized, limit)
+    # sizes alone are ranged and summed; lines are joined to their files and moved there
+    sized = records.select("domain", "split", "pos", (F.octet_length(line) + 1).cast("bigint").alias("line_bytes"))
+    files = file_numbers(sized, limit).select(F.col("domain").alias("__d"), F.col("split").alias("__s"), F.col("pos").alias("__q"), "file_no")
+    lines = records.select("domain", "split", "pos", line.alias("value"))
+    numbered = lines.join(files, F.col("domain").eqNullSafe(F.col("__d")) & F.col("split").eqNullSafe(F.col("__s")) & (F.col("pos") == F.col("__q")))
     out = numbered.repartition("domain", "split", "file_no").sortWithinPartitions("domain", "split", "file_no", "pos")
     out.select("value", "domain", "split", "file_no").write.mode("overwrite").option("compression", compression).partitionBy("domain", "split", "file_no").text(path)
 

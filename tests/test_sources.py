@@ -147,3 +147,29 @@ def test_errors_name_the_line(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"messages": [{"role": "user", "content": "q"}]}\n\n{"messages": []}\n')
     with pytest.raises(Exception, match=r"s.jsonl:3: no messages"):
         readers.read_conversations(spark, str(tmp_path / "s.jsonl")).collect()
+
+
+def test_ingest_compacts_what_it_has_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+    config = spark.createDataFrame([("a", 1.0, 4.0, 3)], "domain string, share double, bytes_per_token double, min_doc_bytes int")
+    out, want = str(tmp_path / "out"), {}
+    for i in range(7):
+        texts = [f"text {k}" for k in range(i * 3, i * 3 + 8)]
+        batch = spark.createDataFrame([(t.encode(), "a", 0, i * 100 + k) for k, t in enumerate(texts)], ingest.RAW)
+        for _ in range(1 + i % 2):  # every second batch is repeated
+            ingest.ingest_batch(batch, i, out, config)
+        for k, t in enumerate(texts):
+            want.setdefault(t, i * 100 + k)
+        assert {r.text: r.pos for r in spark.read.parquet(f"{out}/kept").collect()} == want
+        assert ingest.seen_texts(spark, out).count() == len(want)
+    assert sorted(p.name for p in (tmp_path / "out" / "seen").iterdir() if p.is_dir()) == ["run=4", "run=5", "run=6", "upto=3", "upto=5"]
+    files = spark.read.parquet(f"{out}/kept").select("text").distinct().count()
+    assert files == len(want) and len(ingest._runs(spark, out)) == 2
+
+
+def test_ingest_by_bytes(spark, tmp_path):
+    config = spark.createDataFrame([("a", 1.0, 4.0, 3)], "domain string, share double, bytes_per_token double, min_doc_bytes int")
+    for i in range(4):
+        spark.createDataFrame([(f"text {i} {k}".encode(), "a", 0, i * 100 + k) for k in range(20)], ingest.RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), config, bytes_per_batch=1000).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "kept")).count() == 80 and len(list((tmp_path / "out" / "kept").glob("batch=*"))) > 1
