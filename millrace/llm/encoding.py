@@ -107,8 +107,11 @@ def round_trip(text: str, legacy: str, intended: str) -> str | None:
         out = _HIGH.sub(run, text)
         return out if changed else None
     raw = _encode(text, legacy)
-    if raw is None:
-        return None
+    return None if raw is None else _decode(raw, intended)
+
+
+def _decode(raw: bytes, intended: str) -> str | None:
+    """Strictly."""
     try:
         return raw.decode(intended)
     except UnicodeError:
@@ -209,9 +212,15 @@ class CostModel:
             got = {}
             before, worst = self._of(token)
             odd = worst > LOOK or any(self.pair(p) >= self.rare[script(p)] for p in map(str.__add__, f" {token.lower()}", f"{token.lower()} ") if not p.isascii())
-            if odd or _RUN.search(token):
+            runs = _RUN.search(token) is not None  # UTF-8 has no single bytes of other than ASCII characters
+            if odd or runs:
+                raws = {legacy: _encode(token, legacy) for legacy in READ_IN} if odd else {}
                 for pair in PAIRS if odd else UTF8_PAIRS:
-                    fixed = self.taken_back(token, pair)
+                    if pair[1] == "utf-8" and pair[0] not in MULTI:
+                        fixed = self.taken_back(token, pair) if runs else None
+                    else:
+                        raw = raws[pair[0]] if odd else _encode(token, pair[0])
+                        fixed = self._sound(token, None if raw is None else _decode(raw, pair[1]), pair)
                     if fixed is None or (pair[1] in MULTI and len(_CJK.findall(fixed)) < 2):
                         continue
                     after = self.cost(fixed)
@@ -226,7 +235,10 @@ class CostModel:
     @staticmethod
     def taken_back(token: str, pair: tuple[str, str]) -> str | None:
         """The token re-encoded and decoded strictly, if that changes it to something text can be."""
-        fixed = round_trip(token, *pair)
+        return CostModel._sound(token, round_trip(token, *pair), pair)
+
+    @staticmethod
+    def _sound(token: str, fixed: str | None, pair: tuple[str, str]) -> str | None:
         if fixed is None or fixed == token or _REPLACEMENT in fixed or (pair[1] != "utf-8" and _ODD.search(fixed)):
             return None
         return fixed
