@@ -1,8 +1,9 @@
 """Problem 7: filling containers of fixed capacity by multiway differencing.
 
-Items are first cut where one alone exceeds the capacity. They are then spread by a hash of their id
-over groups of about ``GROUP_ITEMS`` items, whatever their number, so that no task grows with the data
-and no source can make a group hot. Each group is packed on its own:
+Items are first cut where one alone exceeds the capacity. Full parts are containers already, however many an item has; they are numbered
+and need no packing. All other parts, at most one of an item, are spread by a hash of their id
+over groups of about ``GROUP_ITEMS``, whatever their number, so that no task grows with the data
+and neither a source nor an item can make a group hot. Each group is packed on its own:
 
 * Karmarkar-Karp: every item is a partial partition of ``k`` windows; the two partial partitions with
   the largest imbalance are merged, the fullest windows of one with the emptiest of the other, until
@@ -19,7 +20,7 @@ import heapq
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -180,7 +181,7 @@ def cut_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY)
 
 
 def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, expected: int | None = None) -> DataFrame:
-    """(item, part, start, size, grp, container): every item in one container ``(grp, container)``.
+    """(item, part, start, size, grp, container): every item in one container ``(grp, container)``; containers of full parts have negative numbers.
 
     ``start`` is the offset of a part in its item. ``item`` must be unique; null sizes give no row,
     items of size 0 take no room. ``expected`` is the number of items if known, else they are counted.
@@ -189,7 +190,10 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY,
     ship(items.sparkSession)
     total = items.where(F.col(size).isNotNull()).count() if expected is None else expected
     groups = max(1, round(total / group_items))
-    parts = cut_items(items, item, size, capacity).withColumn("grp", F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(groups)).cast("int"))
+    parts = cut_items(items, item, size, capacity).withColumn("grp", F.pmod(F.xxhash64(F.col("item").cast("string"), "part"), F.lit(groups)).cast("int"))
+    full = parts.where(F.col("size") >= capacity)
+    full = full.withColumn("container", -F.row_number().over(Window.partitionBy("grp").orderBy("item", "part")))
+    parts = parts.where(F.col("size") < capacity)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item", "part"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -198,7 +202,8 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY,
 
     kind = items.schema[item].dataType.simpleString()
     # the rows are small but the work isn't, so partitions go by the number of groups and aren't merged by size
-    return parts.repartition(-(-groups // GROUPS_A_TASK), "grp").groupBy("grp").applyInPandas(run, f"item {kind}, part int, start bigint, size bigint, grp int, container int")
+    packed = parts.repartition(-(-groups // GROUPS_A_TASK), "grp").groupBy("grp").applyInPandas(run, f"item {kind}, part int, start bigint, size bigint, grp int, container int")
+    return packed.unionByName(full)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -187,3 +187,13 @@ def test_an_early_end_comes_before_a_cut_inside_a_word():
     got = splitting.cut_points(text)
     assert got[0][2:] == (753, "sentence") and "".join(text.encode()[f:e].decode() for _, f, e, _ in got) == text
     assert [c[3] for c in got[1:-1]] == ["character"] * (len(got) - 2)
+
+
+def test_an_item_of_very_many_parts_is_no_hot_group(spark):
+    df = spark.createDataFrame([(0, 1024 * 30_000 + 5)] + [(i, 100 + i) for i in range(1, 40)], "doc int, n bigint")
+    got = packing.pack_items(df, "doc", "n", group_items=10).collect()
+    assert len(got) == 30_001 + 39 and sum(r["size"] for r in got if r.item == 0) == 1024 * 30_000 + 5
+    load: dict = {}
+    for r in got:
+        load[r.grp, r.container] = load.get((r.grp, r.container), 0) + r["size"]
+    assert max(load.values()) == 1024 and sum(c < 0 for _, c in load) == 30_000
