@@ -264,6 +264,17 @@ def token_windows(spark, root):
     return blocks.windows(placed, BLOCK, total).select("block", _joined("input_ids").alias("inputs_md5"), _joined("labels").alias("labels_md5"))
 
 
+def last_window(spark, root):
+    """The last window, fetched alone."""
+    placed, total = _placed(spark, root)
+    return blocks.window_at(placed, BLOCK, total, -1).select("block", _joined("input_ids").alias("inputs_md5"), _joined("labels").alias("labels_md5"))
+
+
+def special_tokens(spark, root):
+    tok = _tokenizer(spark, root)
+    return spark.createDataFrame(sorted(tok.special.items()), "name string, token_id int")
+
+
 def token_shards(spark, root):
     """Shards written to files and read again."""
     shards.register(spark)
@@ -291,6 +302,13 @@ def rendered_items(spark, root):
     return _rendered(spark, root).where("error is null").select("conv_id", "turn", F.size("ids").alias("n_tokens"), _joined(inputs).alias("inputs_md5"), _joined(labels).alias("labels_md5"))
 
 
+def padded_batches(spark, root):
+    """The rendered items of each eight conversations, filled to the longest of their batch."""
+    inputs, labels = chat.training_item(F.col("ids"), F.col("mask"))
+    items = _rendered(spark, root).where("error is null").select("conv_id", "turn", F.expr("cast(conv_id div 8 as bigint)").alias("batch"), inputs.alias("input_ids"), labels.alias("labels"))
+    return chat.padded(items).select("conv_id", "turn", F.size("input_ids").alias("n"), _joined("input_ids").alias("inputs_md5"), _joined("labels").alias("labels_md5"))
+
+
 def supervision(spark, root):
     return chat.supervision(_rendered(spark, root).where("error is null"), 500, ["conv_id", "turn"])
 
@@ -339,6 +357,23 @@ def verify_records(spark, root):
     return verify.check_records(records, table(spark, root, "domain_config"))
 
 
+def verify_files(spark, root):
+    """A corpus's files by domain and split, against a manifest in which one domain's bytes are wrong and one is blocked."""
+    records = table(spark, root, "corpus_records").where("text is not null and id is not null")
+    domain = F.substring_index("file_name", "/", 1)
+    files = records.groupBy(domain.alias("domain"), F.concat("split", F.lit("_000.jsonl")).alias("name")).agg((F.sum(F.octet_length("text")) * 400).alias("bytes"))
+    sizes = files.groupBy("domain").agg(F.sum("bytes").alias("bytes"))
+    wrong = F.when(F.col("domain") == "web_edu", F.col("bytes") + 1).otherwise(F.col("bytes"))
+    config = table(spark, root, "domain_config").select("domain").join(sizes, "domain", "left")
+    return verify.check_files(files, config.select("domain", wrong.alias("bytes"), F.when(F.col("domain") == "code_shell", "blocked").otherwise("complete").alias("status")))
+
+
+def verify_smoke(spark, root):
+    """The small mirror against the corpus, of which it lacks a domain."""
+    sizes = corpus.kept_sizes(_cleaned(spark, root)).select("domain", "bytes")
+    return verify.check_smoke(sizes, sizes.where("domain <> 'web_edu'"))
+
+
 def verify_shares(spark, root):
     sizes = corpus.kept_sizes(_cleaned(spark, root)).select("domain", "bytes")
     return verify.check_shares(sizes, table(spark, root, "domain_config"))
@@ -367,6 +402,54 @@ def verify_lines(spark, root):
     return verify.check_lines(records.select(broken.alias("value")))
 
 
+def strict_records(spark, root):
+    """Records written as JSON lines and read again strictly, line by line."""
+    path = scratch(spark, "strict")
+    records = table(spark, root, "corpus_records").where("id is not null and text <> '' and source is not null")
+    line = json_line(F.col("text"), F.col("source"), F.col("id"))
+    records.select(line.alias("value")).write.mode("overwrite").text(f"{path}/some")
+    lines = readers.strict(readers.numbered_lines(spark, f"{path}/some"), F.concat("file", F.lit(":"), F.col("line").cast("string")))
+    rest = F.from_json("value", "source string, id string")
+    return lines.select(rest["id"].alias("id"), rest["source"].alias("source"), F.md5("text").alias("text_md5"))
+
+
+def conversation_file(spark, root):
+    """Conversations written as lines and read again."""
+    path = scratch(spark, "talk")
+    talks = table(spark, root, "sft_toy").where("size(messages) > 0").dropDuplicates(["conv_id"])
+    writers.write_conversations(talks, f"{path}/some")
+    said = F.transform("messages", lambda m: F.concat_ws(":", m.role, F.coalesce(m.content, F.lit("-"))))
+    got = readers.read_conversations(spark, f"{path}/some")
+    return got.select(F.size("messages").alias("n_messages"), F.md5(F.array_join(said, "|")).alias("content_md5"))
+
+
+def parquet_rows(spark, root):
+    """A parquet source as the builder reads it."""
+    got = readers.open_source(spark, "parquet", f"{root}/documents.parquet", "text")
+    return got.select(F.md5("raw").alias("raw_md5")).groupBy("raw_md5").agg(F.count("*").alias("n"))
+
+
+def chosen_domains(spark, root):
+    known = list(_weights(spark, root))
+    return corpus.select_domains(_cleaned(spark, root), known, ["code_python", "web_edu"]).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+def corpus_bytes(spark, root):
+    """Bytes of the files of a written corpus, and those to have free for its targets."""
+    need = corpus.disk_needed([r[0] for r in _targets(spark, root).select("target_bytes").collect()])
+    path = _written(spark, root)
+    # without what the committer leaves beside the files
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.agg(F.sum("length").alias("n_bytes")).withColumn("disk_needed", F.lit(need).cast("bigint"))
+
+
+def credited_tokens(spark, root):
+    """The tokens of each domain that has a weight."""
+    weights = _weights(spark, root)
+    own = _sized(spark, root).where(F.col("domain").isin(list(weights)))
+    return mix.credited(own, weights).groupBy("domain").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
 def lenient_lines(spark, root):
     """Every fifth record's line broken, then read leniently."""
     records = table(spark, root, "corpus_records").where("id is not null")
@@ -413,9 +496,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_text, clean_reasons, dedup_exact, dedup_counts, incremental_load, document_ids, byte_budget, slot_budget, domain_status, domain_result, domain_outcome, manifest,
         val_sizes, val_split, reservoir, val_pick, smoke_subset, smoke_val, segment_sample, tokenizer_text, epoch_order, mix_order, mix_stats, mix_exhausted, stream_layout, batch_layout,
-        presplit, word_frequencies, pair_counts, bpe_training, token_ids, token_bytes, token_round_trip, token_windows, token_shards,
-        agent_windows, rendered_items, supervision, plain_conversations, fitting_conversations, prompt_tokens, sft_samples, sft_counts, hold_out,
-        verify_records, verify_shares, written_corpus, verify_lines, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,
+        presplit, word_frequencies, pair_counts, bpe_training, token_ids, token_bytes, token_round_trip, token_windows, last_window, special_tokens, token_shards,
+        agent_windows, rendered_items, padded_batches, supervision, plain_conversations, fitting_conversations, prompt_tokens, sft_samples, sft_counts, hold_out,
+        verify_records, verify_files, verify_smoke, verify_shares, written_corpus, verify_lines, strict_records, conversation_file, parquet_rows, chosen_domains, corpus_bytes, credited_tokens, lenient_lines, learning_rates, evaluation, top_scores, training_log, stream_ingest,
     )
 }
 
@@ -509,7 +592,11 @@ _FIT = f"""a AS (SELECT DISTINCT conv_id, messages FROM sft_toy),
         k AS (SELECT *, count(*) FILTER (verdict = 'kept') OVER (ORDER BY conv_id) AS before_and_this FROM v),
         q AS (SELECT * FROM k WHERE before_and_this - (verdict = 'kept')::INT < greatest(1, (SELECT count(*) FROM a) // 2))"""
 _LOG_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(LOG))
-_STEPS, _WARM = metrics.schedule(6_000_000_000, 524_288, 0.01)
+#: The schedule of 6,000,000,000 tokens, 524,288 a step, a hundredth of it warm-up.
+_STEPS, _WARM = "greatest(2, 6000000000 // 524288)", "greatest(1, least(6000000000 // 524288 - 1, floor(6000000000 // 524288 * 0.01)::BIGINT))"
+_NAMES = ", ".join(f"('{name}', {i})" for i, name in enumerate(
+    ["<|bos|>", *(f"<|{x}_{y}|>" for x in ("user", "assistant", "system", "tool_call", "tool_result") for y in ("start", "end")), *(f"<|fim_{x}|>" for x in ("prefix", "suffix", "middle")), *(f"<|reserved_{i}|>" for i in range(32))]
+))
 
 SQL: dict[str, str] = {
     "clean_text": f"WITH {_CTE} SELECT domain, slot, pos, CASE WHEN reason IS NULL THEN t END AS text, reason FROM x",
@@ -593,6 +680,9 @@ SQL: dict[str, str] = {
     "token_windows": f"""WITH {_STREAM}, {_FLAT}, b AS (SELECT p // {BLOCK} AS block, p, id FROM s), x AS (SELECT block, list(id ORDER BY p) AS ids FROM b GROUP BY block),
         l AS (SELECT p // {BLOCK} AS block, list(id ORDER BY p) AS ids FROM (SELECT p - 1 AS p, id FROM s WHERE p > 0) GROUP BY 1)
         SELECT block, {_MD5.format("x.ids")} AS inputs_md5, {_MD5.format("l.ids")} AS labels_md5 FROM x JOIN l USING (block) WHERE block < ((SELECT count(*) FROM s) - 1) // {BLOCK}""",
+    "last_window": f"""WITH {_STREAM}, {_FLAT}, k AS (SELECT (count(*) - 1) // {BLOCK} - 1 AS block FROM s)
+        SELECT block, (SELECT {_MD5.format("list(id ORDER BY p)")} FROM s WHERE p // {BLOCK} = block) AS inputs_md5, (SELECT {_MD5.format("list(id ORDER BY p)")} FROM s WHERE p > 0 AND (p - 1) // {BLOCK} = block) AS labels_md5 FROM k""",
+    "special_tokens": f"""SELECT name, (256 + (SELECT count(*) FROM tok_merges) + i)::INT AS token_id FROM (VALUES {_NAMES}) AS v(name, i)""",
     "token_shards": f"""WITH {_STREAM}, {_FLAT}, x AS (SELECT (p // {SHARD})::INT AS shard, list(id ORDER BY p) AS ids FROM s GROUP BY 1)
         SELECT shard, (shard * {SHARD})::BIGINT AS "offset", len(ids)::INT AS n_tokens, {_MD5.format("ids")} AS tokens_md5 FROM x""",
     "token_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
@@ -602,6 +692,10 @@ SQL: dict[str, str] = {
                    [x.role || ':' || coalesce(x.content, '-') FOR x IN h]), '|')) AS content_md5 FROM w""",
     "rendered_items": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT}
         SELECT conv_id, turn, len(ids)::INT AS n_tokens, {_MD5.format("ids[:-2]")} AS inputs_md5, {_MD5.format("[CASE WHEN mask[i] = 1 THEN ids[i] ELSE -100 END FOR i IN range(2, len(ids) + 1)]")} AS labels_md5 FROM cut""",
+    "padded_batches": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT},
+        t AS (SELECT conv_id, turn, conv_id // 8 AS batch, ids[:-2] AS a, [CASE WHEN mask[i] = 1 THEN ids[i] ELSE -100 END FOR i IN range(2, len(ids) + 1)] AS b FROM cut),
+        wide AS (SELECT *, max(len(a)) OVER (PARTITION BY batch) AS n FROM t), f AS (SELECT conv_id, turn, n, list_concat(a, [0 FOR i IN range(len(a), n)]) AS a, list_concat(b, [-100 FOR i IN range(len(b), n)]) AS b FROM wide)
+        SELECT conv_id, turn, n::INT AS n, {_MD5.format("a")} AS inputs_md5, {_MD5.format("b")} AS labels_md5 FROM f""",
     "supervision": f"""WITH {_SAMPLES}, {sqltext.rendered("smp", "conv_id, turn")}, {_CUT}, f AS (SELECT * FROM cut ORDER BY conv_id, turn LIMIT 500)
         SELECT count(*) AS samples, avg(len(ids)) AS mean_tokens, sum(list_sum(mask)) / sum(len(ids)) AS supervised_share FROM f""",
     "fitting_conversations": f"""WITH {_FIT} SELECT verdict, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM v GROUP BY verdict""",
@@ -620,6 +714,24 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'C5', count(*) FILTER (t AND v), count(*) FROM d
         UNION ALL SELECT 'C8', sum(k - 1)::BIGINT, sum(k)::BIGINT FROM h)
         SELECT "check", bad = 0 AS ok, bad, n FROM u""",
+    "verify_files": """WITH f AS (SELECT split_part(file_name, '/', 1) AS domain, split || '_000.jsonl' AS name, sum(strlen(text))::BIGINT * 400 AS bytes FROM corpus_records WHERE text IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+        s AS (SELECT domain, bool_or(name LIKE 'train#_%' ESCAPE '#') AND bool_or(name LIKE 'val#_%' ESCAPE '#') AS present, sum(bytes)::BIGINT AS bytes FROM f GROUP BY domain),
+        m AS (SELECT domain, s.bytes + (domain = 'web_edu')::INT AS want FROM domain_config c LEFT JOIN s USING (domain) WHERE domain <> 'code_shell'),
+        j AS (SELECT m.domain AS md, s.domain AS sd, present, want, bytes FROM m FULL JOIN s ON m.domain = s.domain),
+        u AS (SELECT 'C1' AS "check", count(*) FILTER (md IS NOT NULL AND NOT coalesce(present, false)) AS bad, count(md) AS n FROM j
+        UNION ALL SELECT 'C10', count(*) FILTER (bytes > 536870912), count(*) FROM f
+        UNION ALL SELECT 'C11', count(*) FILTER (want IS DISTINCT FROM bytes), count(*) FROM j)
+        SELECT "check", bad = 0 AS ok, bad, n FROM u""",
+    "verify_smoke": f"""WITH {_CTE}, d AS (SELECT domain, coalesce(sum(line_bytes), 0)::BIGINT AS bytes FROM (SELECT DISTINCT domain FROM x) LEFT JOIN b USING (domain) GROUP BY domain),
+        o AS (SELECT count(*) FILTER (domain = 'web_edu') + CASE WHEN sum(bytes) FILTER (domain <> 'web_edu') BETWEEN 30000000 AND 80000000 THEN 0 ELSE 1 END AS bad, count(*) AS n FROM d)
+        SELECT 'C12' AS "check", bad = 0 AS ok, bad::BIGINT AS bad, n FROM o""",
+    "strict_records": "SELECT id, source, md5(text) AS text_md5 FROM corpus_records WHERE id IS NOT NULL AND text <> '' AND source IS NOT NULL",
+    "conversation_file": """SELECT len(messages)::INT AS n_messages, md5(array_to_string([x.role || ':' || coalesce(x.content, '-') FOR x IN messages], '|')) AS content_md5
+        FROM (SELECT DISTINCT conv_id, messages FROM sft_toy) WHERE len(messages) > 0""",
+    "parquet_rows": "SELECT md5(text) AS raw_md5, count(*) AS n FROM documents GROUP BY text",
+    "chosen_domains": f"WITH {_CTE} SELECT domain, count(*) AS n FROM x WHERE domain IN ('code_python', 'web_edu') GROUP BY domain",
+    "corpus_bytes": f"""WITH {_CTE} SELECT (SELECT sum(line_bytes)::BIGINT FROM b) AS n_bytes, (ceil((SELECT sum(target_bytes) FROM g) * 1.05) + 2147483648)::BIGINT AS disk_needed""",
+    "credited_tokens": "SELECT d.domain, sum(strlen(text) // 4 + 1)::BIGINT AS n_tokens FROM documents d JOIN domain_config c USING (domain) WHERE text IS NOT NULL GROUP BY d.domain",
     "verify_shares": f"""WITH {_CTE}, p AS (SELECT b.domain, sum(line_bytes) AS bytes FROM b GROUP BY b.domain), y AS (SELECT p.*, share, sum(bytes) OVER () AS ab, sum(share) OVER () AS asum FROM p JOIN domain_config USING (domain)),
         o AS (SELECT count(*) FILTER (abs(bytes / ab - share / asum) * 100 > 5) AS bad, count(*) AS n FROM y)
         SELECT 'C9' AS "check", CASE WHEN n > 0 THEN bad = 0 END AS ok, bad, n FROM o""",
@@ -628,7 +740,7 @@ SQL: dict[str, str] = {
         SELECT 'C2' AS "check", count(*) FILTER (b) = 0 AS ok, count(*) FILTER (b) AS bad, count(*) AS n FROM r""",
     "lenient_lines": "SELECT count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM corpus_records WHERE id IS NOT NULL AND text IS NOT NULL AND NOT ends_with(id, '5')",
     "learning_rates": f"""SELECT step, round(CASE WHEN step < {_WARM} THEN 1e-3 * (step + 1) / {_WARM} WHEN step >= {_STEPS} THEN 1e-3 * 0.1
-        ELSE 1e-4 + 0.5 * (1 + cos(pi() * ((step - {_WARM}) / ({_STEPS} - {_WARM})))) * (1e-3 - 1e-4) END * 1e12)::BIGINT AS rate_e12 FROM (SELECT unnest(range(0, {_STEPS + 10})) AS step)""",
+        ELSE 1e-4 + 0.5 * (1 + cos(pi() * ((step - {_WARM}) / ({_STEPS} - {_WARM})))) * (1e-3 - 1e-4) END * 1e12)::BIGINT AS rate_e12 FROM (SELECT unnest(range(0, {_STEPS} + 10)) AS step)""",
     "evaluation": """WITH s AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -100 ELSE (doc_id % 1667)::INT END AS label, strlen(text) % 64 / 16.0 AS nll FROM documents WHERE text IS NOT NULL),
         v AS (SELECT token_id AS label, CASE WHEN is_special THEN 0 ELSE octet_length(piece) END AS n_bytes FROM tok_vocab),
         a AS (SELECT sum(nll)::DOUBLE AS t, count(*) AS n_tokens, coalesce(sum(n_bytes), 0)::BIGINT AS n_bytes FROM s LEFT JOIN v USING (label) WHERE label <> -100)
