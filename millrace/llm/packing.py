@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 
 CAPACITY = 1024
 #: Items a group holds on average. The unused end of a group is a fraction of one container.
@@ -191,6 +191,8 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int = CAPACITY,
     total = items.where(F.col(size).isNotNull()).count() if expected is None else expected
     groups = max(1, round(total / group_items))
     parts = cut_items(items, item, size, capacity).withColumn("grp", F.pmod(F.xxhash64(F.col("item").cast("string"), "part"), F.lit(groups)).cast("int"))
+    # written, as the sizes may have been counted from texts
+    parts = materialise(parts, "p7-parts")
     full = parts.where(F.col("size") >= capacity)
     full = full.withColumn("container", -F.row_number().over(Window.partitionBy("grp").orderBy("item", "part")))
     parts = parts.where(F.col("size") < capacity)
