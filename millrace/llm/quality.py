@@ -6,14 +6,16 @@ written once. Mean and covariance of prose are then estimated for every language
 of the prose domains, so that no number of copies makes a text the norm:
 
 * Statistics that are shares or counts are put on a scale on which prose is about normal (``STATS``).
-* The start is each language's medians with the spread of all; then, a few times, the part ``CORE`` of all texts nearest to
-  the last fit gives the next one (concentration steps), so junk has no part in it while it is less than the rest.
+* Only plausible texts take part: those within ``PLAUSIBLE`` of the medians and spreads of all texts, whatever their language, in the
+  statistics that mean the same in every language. So a language that noise is taken for doesn't learn the noise, even if it is half of its texts.
+* The start is each language's medians with the spread of all; then, a few times, the part ``CORE`` of each language's plausible texts nearest to
+  the last fit gives the next one (concentration steps).
 * A language's covariance is shrunk towards that of all languages, the more the fewer texts it has; languages with hardly
   any take mean and covariance of all.
 
 Nothing bounds a deviation: how far each statistic may stray, and with which others, is learned. The threshold is
 learned too: the logarithms of squared distances are about normal, and what lies ``CUT`` robust deviations
-above their median isn't natural prose. The statistics' contributions add up to the squared distance.
+above the median of the plausible texts isn't natural prose. The statistics' contributions add up to the squared distance.
 """
 
 from __future__ import annotations
@@ -48,10 +50,12 @@ STATS = {
 }
 #: Common words per language, and the least share of a language's documents that have such a word.
 COMMON_WORDS, COMMON_SHARE = 50, 0.02
-#: Robust standard deviations of the log squared distance above its median from which a text isn't natural prose (about one normal value in 10,000).
-CUT = 3.72
-#: Share of the texts nearest to the fit that give the next one, and how often.
-CORE, STEPS = 0.85, 3
+#: Robust standard deviations of the log squared distance above its median from which a text isn't natural prose (about one normal value in 100,000).
+CUT = 4.25
+#: The statistics a text is plausible by, and the squared distance: of six normal values one in a million is beyond it.
+COMMON, PLAUSIBLE = ("symbol_ratio", "digit_ratio", "separator_rate", "strangeness", "punct_line_share", "repetition"), 38.26
+#: Share of a language's plausible texts nearest to the fit that give the next one, and how often.
+CORE, STEPS = 0.95, 3
 #: Documents a language's covariance must have to count as much as that of all languages, and for a mean of its own.
 SHRINK_DOCS, OWN_DOCS = 100, 20
 #: Least variance of a statistic, for those (nearly) constant in prose: this part of the sampling variance 1/(4 n) of a share of n words or characters on its scale.
@@ -224,6 +228,7 @@ def prose_model(stats: DataFrame, text_key: str | None = None) -> ProseModel:
     rows = stats.where("lang is not null").select(*key, "lang", *names)
     # copies meet map-side; all statistics follow from the text
     rows = materialise(map_batches((rows.distinct() if key else rows).select("lang", *names), scale, kinds), "p2-scaled")
+    rows = _plausible(rows)
     middles = rows.groupBy("lang").agg(F.count("*").alias("n"), *(F.percentile_approx(n, 0.5, 1000).alias(n) for n in names)).collect()
     if sum(r["n"] for r in middles) < OWN_DOCS:
         return ProseModel({})
@@ -237,40 +242,55 @@ def prose_model(stats: DataFrame, text_key: str | None = None) -> ProseModel:
         off = np.abs(x - np.array([shared.value[lang] for lang in batch.column(0).to_pylist()]))
         return {"lang": batch.column(0)} | dict(zip(names, off.T))
 
-    # a normal value is within 0.674 deviations half the time, and within 1.44 in 85 of 100 cases
     at = map_batches(rows, deviations, kinds).agg(*(F.percentile_approx(n, [0.5, 0.85], 1000).alias(n) for n in names)).first()
     spread = np.array([max(at[n][0] / 0.674, at[n][1] / 1.44) for n in names])
     least = {lang: _least_variances(m) for lang, m in centre.items()} | {"": _least_variances(whole)}
     start = {lang: np.diag(1 / np.maximum(spread**2, v)) for lang, v in least.items()}
     model = ProseModel({lang: (mean, start[lang]) for lang, mean in (centre | {"": whole}).items()})
     for _ in range(STEPS):
-        cut = distances(rows, model).agg(F.percentile_approx("d", CORE, 1000)).first()[0]
-        model = _estimate(_moments(rows, model, cut), model, least)
+        cuts = {r[0]: r[1] for r in distances(rows, model).groupBy("lang").agg(F.percentile_approx("d", CORE, 1000)).collect()}
+        model = _estimate(_moments(rows, model, cuts), model, least)
     low, mid, high = distances(rows, model).agg(F.percentile_approx(F.log(F.col("d") + 1e-9), [0.25, 0.5, 0.75], 1000)).first()[0]
     model.threshold = math.exp(mid + CUT * max(high - low, 0.1) / 1.349)  # a normal distribution's middle half is 1.349 deviations wide
     return model
 
 
 def distances(rows: DataFrame, model: ProseModel) -> DataFrame:
-    """(d): the squared distance of each row (lang, <scaled statistics>)."""
+    """(lang, d): the squared distance of each row (lang, <scaled statistics>)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-        return {"d": shared.value.contributions(np.array(batch.column(0).to_pylist()), x).sum(axis=1)}
+        return {"lang": batch.column(0), "d": shared.value.contributions(np.array(batch.column(0).to_pylist()), x).sum(axis=1)}
 
-    return map_batches(rows, run, "d double")
+    return map_batches(rows, run, "lang string, d double")
 
 
-def _moments(rows: DataFrame, model: ProseModel, cut: float) -> dict[str, np.ndarray]:
-    """Per language the sums of 1, x and x x' over the texts within ``cut`` of ``model``, flattened."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _plausible(rows: DataFrame) -> DataFrame:
+    """The rows near the medians of all in the statistics that mean the same in every language."""
+    middle = rows.agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in COMMON)).first()
+    if middle[0] is None:
+        return rows
+    off = {c: F.abs(F.col(c) - F.lit(float(middle[c]))) for c in COMMON}
+    at = rows.agg(*(F.percentile_approx(off[c], [0.5, 0.85], 1000).alias(c) for c in COMMON)).first()
+    # a normal value is within 0.674 deviations half the time, and within 1.44 in 85 of 100 cases
+    spread = {c: max(at[c][0] / 0.674, at[c][1] / 1.44, 1e-3) for c in COMMON}
+    total = F.lit(0.0)
+    for c in COMMON:
+        total = total + F.pow(off[c] / F.lit(spread[c]), F.lit(2.0))
+    return rows.where(total <= PLAUSIBLE)
+
+
+def _moments(rows: DataFrame, model: ProseModel, cuts: dict[str, float]) -> dict[str, np.ndarray]:
+    """Per language the sums of 1, x and x x' over the texts within its cut of ``model``, flattened."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, cuts))
     k = len(STATS)
 
     def part(batch: pa.RecordBatch) -> dict | None:
         langs = np.array(batch.column(0).to_pylist())
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-        good = shared.value.contributions(langs, x).sum(axis=1) <= cut
+        model, cuts = shared.value
+        good = model.contributions(langs, x).sum(axis=1) <= np.array([cuts[lang] for lang in langs.tolist()])
         out = []
         for lang in set(langs.tolist()):
             own = x[good & (langs == lang)]
