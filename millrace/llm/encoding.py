@@ -263,13 +263,15 @@ def restore(text: str, model: CostModel) -> tuple[str, list[str], int, str]:
             if drops[pair] < (TEXT_DROP if _structured(pair) else SWAP_DROP):
                 break
             sure = [i for i, found in enumerate(options) if pair in found]
-            if _structured(pair) or _agreed(tokens[sure[0] : sure[-1] + 1], pair, model):
+            if not _structured(pair):
+                sure = _agreed(tokens, sure, pair, model)
+            if sure:
                 best = pair
                 break
         if best is None:
             break
         if not layers:
-            quoted = [(*tokens[i][:2], options[i][best][0]) for i in sure]
+            quoted = [(*tokens[i][:2], options[i][best][0]) for i in sure if best in options[i]]
             if _quoted(text, quoted):
                 plain = _replaced(text, [(a, b, "") for a, b, _ in quoted])
                 break
@@ -281,15 +283,24 @@ def restore(text: str, model: CostModel) -> tuple[str, list[str], int, str]:
     return text, layers, changed, plain
 
 
-def _agreed(stretch: list[tuple[int, int, str]], pair: tuple[str, str], model: CostModel) -> bool:
-    """Whether a swap of single bytes suits the stretch as a whole: most of its tokens, and all together, get cheaper by it."""
-    total, cheaper = 0.0, 0
-    for _, _, token in stretch:
+def _agreed(tokens: list[tuple[int, int, str]], sure: list[int], pair: tuple[str, str], model: CostModel) -> list[int]:
+    """Those of ``sure`` in the stretch of tokens that a swap of single bytes makes cheapest; none if it isn't enough, or too few tokens of the stretch get cheaper."""
+    drops = []
+    for _, _, token in tokens[sure[0] : sure[-1] + 1]:
         out = model.taken_back(token, pair)
-        drop = model.cost(token) - model.cost(out) if out is not None else 0.0
-        total += drop
-        cheaper += drop > 0
-    return total >= SWAP_DROP and cheaper >= SWAP_AGREED * len(stretch)
+        drops.append(0.0 if out is None else model.cost(token) - model.cost(out))
+    best, start, total, begin = (0.0, 0, 0), 0, 0.0, 0
+    for i, d in enumerate(drops):  # the stretch of the largest sum
+        if total <= 0:
+            total, begin = 0.0, i
+        total += d
+        if total > best[0]:
+            best = (total, begin, i + 1)
+    total, start, end = best
+    inside = drops[start:end]
+    if total < SWAP_DROP or sum(d > 0 for d in inside) < SWAP_AGREED * len(inside):
+        return []
+    return [i for i in sure if start <= i - sure[0] < end]
 
 
 def _stretch(tokens: list[tuple[int, int, str]], sure: list[int], pair: tuple[str, str], model: CostModel) -> list[tuple[int, int, str]]:
