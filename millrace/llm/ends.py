@@ -216,10 +216,6 @@ def _class_of(word: Column) -> Column:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def unlikely(contexts: DataFrame, counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The distinct ``contexts`` whose end scores under ``least``."""
     from ..session import materialise
@@ -240,10 +236,11 @@ def unlikely(contexts: DataFrame, counts: DataFrame, least: float = LEAST_SCORE)
         return left.join(right, same, "left").drop(*(f"__{k}" for k in keys)).fillna(0, [f"e{name}", f"n{name}"])
 
     # the text model: classes only, so its tables are small
+    small = F.broadcast if text.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else lambda df: df
     scored = contexts
     for i, keys in enumerate((["a"], ["b", "a"], ["c", "b", "a"]), 1):
         names = {"shape": F.col("kind")} | {k: F.col(k) for k in keys}
-        scored = joined(scored, _small(level(text, names, f"t{i}")), ["shape", *keys], f"t{i}")
+        scored = joined(scored, small(level(text, names, f"t{i}")), ["shape", *keys], f"t{i}")
     totals = text.agg(F.coalesce(F.sum("n_ends"), F.lit(0)).alias("ends"), F.coalesce(F.sum("n_all"), F.lit(0)).alias("all")).first()
     n_ends, n_in = float(max(1, totals[0])), float(max(1, totals[1] - totals[0]))
     own = lambda i: F.greatest(F.col(f"et{i}") - 1, F.lit(0))
@@ -259,8 +256,9 @@ def unlikely(contexts: DataFrame, counts: DataFrame, least: float = LEAST_SCORE)
     unit = unit.withColumnsRenamed({"b": "prev", "a": "word"})
     words = materialise(unit.groupBy("kind", "word").agg(*both), "p3-words")
     of_class = words.withColumn("class", _class_of(F.col("word")))
-    out = joined(open_, _small(level(words.selectExpr("kind", "e n_ends", "n n_all"), {"kind": F.col("kind")}, "0")), ["kind"], "0")
-    out = joined(out, _small(level(of_class.selectExpr("kind", "class", "e n_ends", "n n_all"), {"kind": F.col("kind"), "class": F.col("class")}, "1")), ["kind", "class"], "1")
+    # kinds are five, and classes characters
+    out = joined(open_, F.broadcast(level(words.selectExpr("kind", "e n_ends", "n n_all"), {"kind": F.col("kind")}, "0")), ["kind"], "0")
+    out = joined(out, F.broadcast(level(of_class.selectExpr("kind", "class", "e n_ends", "n n_all"), {"kind": F.col("kind"), "class": F.col("class")}, "1")), ["kind", "class"], "1")
     out = joined(out, words.select(F.col("kind").alias("__kind"), F.col("word").alias("__word"), F.col("e").alias("e2"), F.col("n").alias("n2")), ["kind", "word"], "2")
     pairs = unit.select(F.col("kind").alias("__kind"), F.col("prev").alias("__prev"), F.col("word").alias("__word"), F.col("n_ends").alias("e3"), F.col("n_all").alias("n3"))
     out = joined(out, pairs, ["kind", "prev", "word"], "3")
